@@ -16,6 +16,7 @@ from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -83,9 +84,53 @@ def mapped(uri: str) -> np.ndarray:
         return np.frombuffer(f.read(), np.uint8)
 
 
+def existing(uri: str) -> np.ndarray:
+    """``mapped``, or no bytes where there is no such file (a shard without rows has none)."""
+    try:
+        return mapped(uri)
+    except FileNotFoundError:
+        return np.zeros(0, np.uint8)
+
+
 def parts(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """How many partitions a shuffle of about the size of ``df`` takes: the session's number, or more for larger input."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(at_least, min(size // bytes_each, 1 << 20)) if size < 1 << 62 else at_least
+
+
+class KeySet:
+    """Integers in sorted files of the shared folder: tasks map the files and search them, so nothing is broadcast."""
+
+    def __init__(self, path: str, shards: int) -> None:
+        self.path, self.shards = path, shards
+
+    @classmethod
+    def write(cls, keys: DataFrame, name: str) -> KeySet:
+        """From the one bigint column of ``keys``; nulls are dropped, repeats count once."""
+        from pyspark.sql import functions as F
+
+        spark, (column,) = keys.sparkSession, keys.columns
+        shards = parts(keys, 32 << 20)
+        path = fresh(spark, name)
+
+        def save(table: pa.Table) -> pa.Table:
+            shard = table["shard"][0].as_py()
+            put(f"{path}/{shard}", np.unique(table["key"].to_numpy()).tobytes())
+            return pa.table({"shard": pa.array([shard], pa.int32())})
+
+        keyed = keys.select(F.col(column).cast("bigint").alias("key")).dropna()
+        keyed.withColumn("shard", F.pmod(F.col("key"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(save, "shard int").count()
+        return cls(path, shards)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """For each key (int64), whether it is in the set."""
+        shard, out = np.mod(keys, self.shards), np.zeros(len(keys), bool)
+        for s in np.unique(shard):
+            at = np.flatnonzero(shard == s)
+            own = existing(f"{self.path}/{s}").view(np.int64)
+            if len(own):
+                i = np.minimum(np.searchsorted(own, keys[at]), len(own) - 1)
+                out[at] = own[i] == keys[at]
+        return out

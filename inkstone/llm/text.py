@@ -19,6 +19,8 @@ _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 for _a, _b in ((48, 57), (65, 90), (97, 122)):
     _WORD[_a : _b + 1] = True
+_KIND = np.where(_WORD, 1, 2).astype(np.uint8)
+_KIND[:33] = 0
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=U64)
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F)
 _S32 = U64(32)
@@ -91,22 +93,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
-def words(texts: pa.Array) -> Words:
-    """Words of every text."""
-    data, offsets = flat(lower(texts))
+def _runs(texts: pa.Array, kinds: np.ndarray) -> Words:
+    """Maximal runs of bytes of one kind; kind 0 separates."""
+    data, offsets = flat(texts)
     n = len(data) - 8
-    is_word = _WORD[data[:n]]
-    before = np.zeros(n, bool)
-    before[1:] = is_word[:-1]
-    edges = offsets[:-1][offsets[:-1] < n]
-    before[edges] = False
-    after = np.zeros(n, bool)
-    after[:-1] = is_word[1:]
-    after[edges[edges > 0] - 1] = False
-    starts, ends = np.flatnonzero(is_word & ~before), np.flatnonzero(is_word & ~after) + 1
+    kind = kinds[data[:n]]
+    edge = np.ones(n + 1, bool)
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    starts, ends = at[:-1], at[1:]
+    inside = kind[starts] != 0 if n else np.zeros(0, bool)
+    starts, ends = starts[inside], ends[inside]
     return Words(word_hashes(data, starts, ends), starts, ends, np.searchsorted(starts, offsets), data, offsets)
 
 
+def words(texts: pa.Array) -> Words:
+    """Words of every text."""
+    return _runs(lower(texts), _WORD.astype(np.uint8))
+
+
+def word_puncts(texts: pa.Array) -> Words:
+    """Words and, as units of their own, runs of other visible characters; case counts."""
+    return _runs(texts, _KIND)
+
+
 def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``n`` words within a unit, and where each unit's runs begin. A unit of 1 to n - 1 words has
     one run, all its words."""
