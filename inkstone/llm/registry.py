@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op6_best_fit_packing
 from .quality import op4_quality_rules
 from .secrets import op1_secret_scan
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op6_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
