@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP5_SQL, op5_benchmark_matches
+from .lines import OP3_SQL, op3_line_dedup
 from .packing import op6_best_fit_packing
 from .quality import op4_quality_rules
 from .secrets import op1_secret_scan
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_benchmark_matches, op6_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {"op5_benchmark_matches": OP5_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_line_dedup, op4_quality_rules, op5_benchmark_matches, op6_best_fit_packing)}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_benchmark_matches": OP5_SQL}

@@ -134,3 +134,81 @@ class KeySet:
                 i = np.minimum(np.searchsorted(own, keys[at]), len(own) - 1)
                 out[at] = own[i] == keys[at]
         return out
+
+
+class PairMap:
+    """(key, value) rows of bigints in sorted files of the shared folder, to be searched by key."""
+
+    def __init__(self, path: str, shards: int) -> None:
+        self.path, self.shards = path, shards
+
+    @classmethod
+    def write(cls, rows: DataFrame, name: str) -> PairMap:
+        """From the two bigint columns of ``rows``, without nulls; repeated rows count once."""
+        from pyspark.sql import functions as F
+
+        shards = parts(rows, 32 << 20)
+        path = fresh(rows.sparkSession, name)
+
+        def save(table: pa.Table) -> pa.Table:
+            shard = table["shard"][0].as_py()
+            k, v = table["k"].to_numpy(), table["v"].to_numpy()
+            order = np.lexsort((v, k))
+            put(f"{path}/{shard}", np.concatenate([k[order], v[order]]).tobytes())
+            return pa.table({"shard": pa.array([shard], pa.int32())})
+
+        named = rows.toDF("k", "v").distinct()
+        named.withColumn("shard", F.pmod(F.col("k"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(save, "shard int").count()
+        return cls(path, shards)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``keys``, value) of every row whose key is among ``keys``."""
+        from .blobs import ranges
+
+        shard, at_, values = np.mod(keys, self.shards), [], []
+        for s in np.unique(shard):
+            at = np.flatnonzero(shard == s)
+            own = existing(f"{self.path}/{s}").view(np.int64)
+            k, v = own[: len(own) // 2], own[len(own) // 2 :]
+            lo, hi = np.searchsorted(k, keys[at], "left"), np.searchsorted(k, keys[at], "right")
+            at_.append(np.repeat(at, hi - lo))
+            values.append(v[ranges(lo, hi - lo)])
+        if not at_:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place, value = np.concatenate(at_), np.concatenate(values)
+        order = np.lexsort((value, place))
+        return place[order], value[order]
+
+
+class Counts:
+    """How often each 64-bit hash occurs, for those that occur twice or more, in sorted files of the shared folder."""
+
+    def __init__(self, path: str, shards: int) -> None:
+        self.path, self.shards = path, shards
+
+    def shard(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int32)
+
+    def save(self, shard: int, hashes: np.ndarray, counts: np.ndarray) -> int:
+        """Adds up the counts of equal hashes and writes the shard; gives how many it keeps."""
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, int)
+        total = np.add.reduceat(counts, first) if len(first) else counts
+        hashes, total = hashes[first][total > 1], total[total > 1]
+        put(f"{self.path}/{shard}", hashes.tobytes() + total.astype(np.uint64).tobytes())
+        return len(hashes)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The count of each hash; 1 for those not kept."""
+        shard, out = self.shard(hashes), np.ones(len(hashes), np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in range(self.shards):
+            at = order[cuts[s] : cuts[s + 1]]
+            own = existing(f"{self.path}/{s}").view(np.uint64) if len(at) else ()
+            if len(own):
+                k, v = own[: len(own) // 2], own[len(own) // 2 :]
+                i = np.minimum(np.searchsorted(k, hashes[at]), len(k) - 1)
+                out[at] = np.where(k[i] == hashes[at], v[i].astype(np.int64), 1)
+        return out
