@@ -93,11 +93,11 @@ def existing(uri: str) -> np.ndarray:
 
 
 def parts(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """How many partitions a shuffle of about the size of ``df`` takes: the session's number, or more for larger input."""
-    spark = df.sparkSession
+    """How many shards a shuffle of about the size of ``df`` takes: the session's number of partitions, or more for
+    larger input. Beyond 4096 it grows as the square root, so that the blocks of an all-to-all shuffle stay large."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(at_least, min(size // bytes_each, 1 << 20)) if size < 1 << 62 else at_least
+    n = size // bytes_each if size < 1 << 60 else 0  # an unknown size is given as a huge one
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n if n <= 4096 else int(64 * n**0.5))
 
 
 class KeySet:
