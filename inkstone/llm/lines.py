@@ -96,7 +96,7 @@ def postings(batch: pa.RecordBatch, counts: Counts, t: float, shards: int) -> It
     by_rarity = np.lexsort((vocabulary, tf))
     rarity[by_rarity] = np.arange(len(vocabulary))
     line = np.repeat(np.arange(len(doc)), np.diff(w.bounds))
-    both = np.unique(line * len(vocabulary) + rarity[place])
+    both = T.distinct(line * len(vocabulary) + rarity[place])
     line, word = both // len(vocabulary), by_rarity[both % len(vocabulary)]
     hashes = vocabulary[word]
     n = np.bincount(line, minlength=len(doc))
@@ -127,18 +127,29 @@ def postings(batch: pa.RecordBatch, counts: Counts, t: float, shards: int) -> It
     position = np.arange(len(line)) - bounds[line]
     use = first[line] & (position < (n - needed(n, t) + 1)[line]) & (tf[word] > 1)
     line, hashes, position = line[use], hashes[use], position[use]
-    columns = (hashes, ids[line], doc_id[line], number[line], n[line], position, sign[0, line], sign[1, line])
-    for shard, blob in split(counts.shard(hashes), *columns):
-        yield shard, 0, blob
+    rarest = np.zeros(len(doc), np.uint64)
+    head = np.concatenate([[True], line[1:] != line[:-1]]) if len(line) else np.zeros(0, bool)
+    rarest[line[head]] = hashes[head]
+    order = np.argsort(hashes)
+    line, hashes, position = line[order], hashes[order], position[order]
+    cuts = np.searchsorted(counts.shard(hashes), np.arange(shards + 1))
+    for shard in range(shards):
+        at = slice(cuts[shard], cuts[shard + 1])
+        if cuts[shard] < cuts[shard + 1]:
+            i, steps = line[at], np.diff(hashes[at], prepend=T.U64(0))
+            yield shard, 0, pack(steps, ids[i], doc_id[i], number[i], n[i], position[at], sign[0, i], sign[1, i], rarest[i])
 
 
 def candidates(blobs: list[bytes], t: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """From all prefix entries of a shard: (0, later doc, later line, 0, 0, 0) of lines that equal an earlier one as a
     set, and (1, later doc and line, earlier doc and line, distance) of pairs that pass the filters."""
-    h, s, d, number, n, p, a, b = unpack_all(blobs)
+    entries = [unpack(x) for x in blobs]
+    for e in entries:
+        e[0] = np.cumsum(e[0])
+    h, s, d, number, n, p, a, b, rarest = (np.concatenate(c) for c in zip(*entries))
     d, number, n, p = (x.view(np.int64) for x in (d, number, n, p))
     order = np.lexsort((number, d, s, h))
-    h, s, d, number, n, p, a, b = (x[order] for x in (h, s, d, number, n, p, a, b))
+    h, s, d, number, n, p, a, b, rarest = (x[order] for x in (h, s, d, number, n, p, a, b, rarest))
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
@@ -147,7 +158,7 @@ def candidates(blobs: list[bytes], t: float) -> Iterator[tuple[int, np.ndarray,
     yield 0, d[later], number[later], none, none, none
     order = np.flatnonzero(~same)
     order = order[np.lexsort((n[order], h[order]))]
-    h, d, number, n, p, a, b = (x[order] for x in (h, d, number, n, p, a, b))
+    h, d, number, n, p, a, b, rarest = (x[order] for x in (h, d, number, n, p, a, b, rarest))
     word = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     top = int(n.max(initial=0)) + 1
     key = word * top + n
@@ -162,7 +173,8 @@ def candidates(blobs: list[bytes], t: float) -> Iterator[tuple[int, np.ndarray,
         y = ranges(np.arange(i, j) + 1, c)
         i = j
         need = overlap(n[x] + n[y], t)
-        ok = 1 + np.minimum(n[x] - p[x], n[y] - p[y]) - 1 >= need
+        ok = np.minimum(n[x] - p[x], n[y] - p[y]) >= need
+        ok &= (rarest[x] != rarest[y]) | (rarest[x] == h[x])  # else the list of that word has the pair
         x, y, need = x[ok], y[ok], need[ok]
         far = np.bitwise_count(a[x] ^ a[y]).astype(np.int64) + np.bitwise_count(b[x] ^ b[y])
         ok = (far <= n[x] + n[y] - 2 * need) & ((d[x] != d[y]) | (number[x] != number[y]))

@@ -187,7 +187,8 @@ class Counts:
         self.path, self.shards = path, shards
 
     def shard(self, hashes: np.ndarray) -> np.ndarray:
-        return ((hashes >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int32)
+        """Ranges of hashes, so that sorted ones are close to each other within a shard."""
+        return ((hashes >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int32)
 
     def save(self, shard: int, hashes: np.ndarray, counts: np.ndarray) -> int:
         """Adds up the counts of equal hashes and writes the shard; gives how many it keeps."""

@@ -140,16 +140,30 @@ def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     return h, out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; ``np.unique`` hashes where it need not sort, which is far slower on 64-bit integers."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]
+
+
 def unit_sets(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each unit, and where each unit's begin."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((values, owner))
+    """Distinct values of each unit in ascending order, and where each unit's begin."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    bits = U64(max(1, n.bit_length()))
+    order = np.argsort((owner.astype(U64) << (U64(64) - bits)) | (values >> bits))
     values, owner = values[order], owner[order]
+    same = owner[1:] == owner[:-1]
+    if (same & (values[1:] < values[:-1])).any():  # values of a unit that agree in all but their last bits
+        order = np.lexsort((values, owner))
+        values, owner = values[order], owner[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[keep], owner[keep]
     out = np.zeros(len(bounds), np.int64)
-    np.cumsum(np.bincount(owner, minlength=len(bounds) - 1), out=out[1:])
+    np.cumsum(np.bincount(owner, minlength=n), out=out[1:])
     return values, out
 
 
