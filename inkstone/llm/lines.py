@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .blobs import pack, ranges, split, unpack, unpack_all
-from .shared import Counts, PairMap, fresh, parts, staged
+from .shared import Counts, PairMap, fresh, parts, staged, unused
 
 THRESHOLD = 0.8
 _EPS = 1e-9
@@ -294,6 +294,29 @@ def line_dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     return docs.withColumn("text", rewrite(F.col("text").cast("string"), F.col("doc_id").cast("bigint")))
 
 
+def deduped(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` after line dedup: ``n_chars`` follows a changed text, and a document that lost all its text
+    goes; all other columns are as they were."""
+    gone = PairMap.write(removed_lines(docs, t), "line-gone")
+
+    @F.arrow_udf("string")
+    def rewrite(texts: pa.Array, ids: pa.Array) -> pa.Array:
+        return without(texts, ids, gone)
+
+    new = unused(docs, "new_text")
+    both = docs.withColumn(new, rewrite(F.col("text").cast("string"), F.col("doc_id").cast("bigint")))
+    both = both.filter(F.coalesce(F.length(new) > 0, F.lit(True)) | (F.length("text") == 0))
+    columns = []
+    for c, kind in docs.dtypes:
+        if c == "text":
+            columns.append(F.col(new).alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(F.col(new) != F.col("text"), F.length(new)).otherwise(F.col(c)).cast(kind).alias(c))
+        else:
+            columns.append(F.col(f"`{c}`"))
+    return both.select(*columns)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text")
 

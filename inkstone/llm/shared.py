@@ -49,6 +49,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def local(uri: str) -> str | None:
     """The path of a ``file:`` URI or of a plain path; None for other file systems."""
     parts = urlparse(uri)
