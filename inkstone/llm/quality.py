@@ -3,7 +3,7 @@ raw corpus, per n-gram, held against a fixed threshold.
 
 Features are single units and pairs of neighbours among words and runs of punctuation, hashed into ``BUCKETS``; a pair
 of equal units is one feature whatever the unit, so that stutter is seen in any language. Both multinomials are counted
-over whole tables: every document counts as raw, every document that ``labels`` trusts counts as target also. A
+over whole tables, with few enough buckets that a small corpus fills them: every document counts as raw, every document that ``labels`` trusts counts as target also. A
 partition adds up its own histogram, so the shuffle takes one row a bucket and partition, and the model that goes to the
 tasks has a fixed size. The ids of trusted documents are looked up in mapped files; the corpus is never shuffled.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import text as T
 from .shared import KeySet
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 SMOOTHING = 1.0
 #: Mean log-likelihood ratio a feature, in nats, under which a document is rejected.
 THRESHOLD = -0.25
