@@ -100,3 +100,10 @@ def ole_prog_id(s: Column) -> Column:
 def opacity(fixed: Column) -> Column:
     """16.16 fixed point to a percentage."""
     return F.concat(F.regexp_replace(F.format_string("%.2f", fixed * 100 / 65536.0), r"\.?0+$", ""), F.lit("%"))
+
+
+def list_label(template: Column, numbers: list[Column]) -> Column:
+    """The label of a list item: ``%1`` is the number of the first level, and so on."""
+    for k, n in enumerate(numbers, 1):
+        template = F.replace(template, F.lit(f"%{k}"), n.cast("string"))
+    return template

@@ -78,3 +78,36 @@ def grid(df: DataFrame, key: str, row: str, left: str, right: str) -> DataFrame:
     out = df.join(a, (F.col(key) == F.col("__k")) & (F.col(left) == F.col("__e"))).drop("__k", "__e")
     out = out.join(b, (F.col(key) == F.col("__k")) & (F.col(right) == F.col("__e"))).drop("__k", "__e")
     return out.withColumn("span", F.col("limit") - F.col("first")).drop("limit")
+
+
+def positional(refs: DataFrame, texts: DataFrame, key: str, order: list[str], value: str, ref_name: str, text_name: str) -> DataFrame:
+    """The i-th reference of a key beside its i-th text; what has no partner stands alone, so that counts can be compared."""
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        return df.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("bigint").alias("ord"), F.col(value).alias(name))
+
+    return numbered(refs, ref_name).join(numbered(texts, text_name), [key, "ord"], "full_outer")
+
+
+def bracket_match(df: DataFrame, key: list[str], order: list[str], opens: str, value: str) -> DataFrame:
+    """Each opening mark with its level and the ``value`` of the mark that closes it: the next of the same level, if that
+    closes; null for a mark that stays open."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levelled = df.withColumn("level", F.sum(F.when(F.col(opens), 1).otherwise(-1)).over(w) + F.when(F.col(opens), 0).otherwise(1))
+    same = Window.partitionBy(*key, "level").orderBy(*order)
+    nexts = levelled.withColumn("__next", F.lead(value).over(same)).withColumn("__opens", F.lead(opens).over(same))
+    return nexts.filter(opens).withColumn("partner", F.when(~F.col("__opens"), F.col("__next"))).drop("__next", "__opens")
+
+
+def contained_2d(inner: DataFrame, outer: DataFrame, key: str, ident: str, slack: int = 0) -> DataFrame:
+    """Rectangles (l, r, t, u) of ``inner`` that lie within another one of ``outer`` of the same key."""
+    o = outer.select(F.col(key).alias("__k"), F.col(ident).alias("__id"), *[F.col(c).alias(f"__{c}") for c in "lrtu"])
+    within = (F.col("__l") <= F.col("l")) & (F.col("r") <= F.col("__r") + slack) & (F.col("__t") <= F.col("t")) & (F.col("u") <= F.col("__u"))
+    return inner.join(o, (F.col(key) == F.col("__k")) & (F.col(ident) != F.col("__id")) & within, "left_semi")
+
+
+def range_overrides(cells: DataFrame, ranges: DataFrame, key: list[str], cell: str, low: str, high: str, order: str, value: str) -> DataFrame:
+    """Each cell with the value of the last range that covers it; null where none does."""
+    r = ranges.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(low).alias("__lo"), F.col(high).alias("__hi"), F.col(order).alias("__o"), F.col(value).alias("__v"))
+    on = [F.col(k) == F.col(f"__{k}") for k in key] + [F.col("__lo") <= F.col(cell), F.col(cell) < F.col("__hi")]
+    return cells.join(r, on, "left").groupBy(*key, cell).agg(F.max_by("__v", "__o").alias(value))
