@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def last_wins(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """``value`` of the last row of each key: a fold of assignments, combined map-side."""
@@ -48,12 +50,15 @@ def full_outer(a: DataFrame, b: DataFrame, key: str, a_name: str, b_name: str, s
 
 def chain(spark: SparkSession, nodes: DataFrame, node: str, parent: str, values: list[str], depth_limit: int = 64) -> DataFrame:
     """Each node's values overlaid on its ancestors' along ``parent``, with its depth; nodes under a missing parent are
-    roots, nodes on or under a cycle are left out. Distances double: ``depth_limit`` needs its binary logarithm of steps."""
+    roots, nodes on or under a cycle or deeper than the limit are left out. Distances double, so a depth of d takes log2(d)
+    joins; each ends in a written table, else every step would double the plan."""
     up = {c: f"__up_{c}" for c in values}
     known = nodes.select(F.col(node).alias("__p"))
     state = nodes.join(known, F.col(parent) == F.col("__p"), "left").select(node, F.col("__p").alias("__at"), F.lit(0).alias("depth"), *values)
-    steps = max(1, depth_limit.bit_length())
-    for _ in range(steps):
+    state = cut(state)
+    for _ in range(depth_limit.bit_length()):
+        if state.filter("__at IS NOT NULL").isEmpty():
+            break
         above = state.select(F.col(node).alias("__n"), F.col("__at").alias("__next"), F.col("depth").alias("__d"), *[F.col(c).alias(u) for c, u in up.items()])
         state = state.join(above, F.col("__at") == F.col("__n"), "left").select(
             node,
@@ -61,6 +66,7 @@ def chain(spark: SparkSession, nodes: DataFrame, node: str, parent: str, values:
             F.when(F.col("__n").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("__d") + 1).alias("depth"),
             *[F.coalesce(c, u).alias(c) for c, u in up.items()],
         )
+        state = cut(state)
     return state.filter("__at IS NULL").drop("__at")
 
 
