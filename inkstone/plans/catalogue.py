@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, text_model  # noqa: F401
+from . import documents, relational, text_model  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["story_paragraph_count"](spark, sf_dir)
+    return QUERIES["doc_paragraphs"](spark, sf_dir)

@@ -16,6 +16,8 @@ import numpy as np
 from .errors import CorruptDocument, NeedsPassword, UnsupportedVersion, WrongPassword, part, take
 
 BLOCK, CLEAR = 512, 68
+#: Blocks from which all are advanced together.
+FEW = 128
 _PAD = bytes.fromhex("BBFFFFBAFFFFB98000BE0F00BF0F00")
 
 
@@ -69,11 +71,28 @@ def xor_stream(data: bytes, password: str, clear: int = 0) -> bytes:
     return np.where(keep, raw, other).tobytes()
 
 
+def _keystream(key: bytes, block: bytes) -> bytes:
+    """RC4 of one block by itself, for streams too short to be worth a numpy call a step."""
+    box, b = bytearray(range(256)), 0
+    for a, k in enumerate((key * (256 // len(key) + 1))[:256]):
+        b = b + box[a] + k & 255
+        box[a], box[b] = box[b], box[a]
+    b, out = 0, bytearray()
+    for n in range(1, len(block) + 1):
+        a = n & 255
+        x = box[a]
+        b = b + x & 255
+        box[a] = y = box[b]
+        box[b] = x
+        out.append(box[x + y & 255])
+    return bytes(np.frombuffer(block, np.uint8) ^ np.frombuffer(out, np.uint8))
+
+
 def rc4_blocks(data: bytes, keys: list[bytes], size: int = BLOCK) -> bytes:
     """RC4 of every block of ``data`` under its own key."""
     n = len(keys)
-    if not n:
-        return b""
+    if n < FEW:
+        return b"".join(_keystream(k, data[i * size : (i + 1) * size]) for i, k in enumerate(keys))
     rows = np.arange(n)
     key = np.array([np.frombuffer(k, np.uint8) for k in keys], np.int64)
     s = np.tile(np.arange(256, dtype=np.uint8), (n, 1))
