@@ -234,6 +234,7 @@ def train(docs: DataFrame) -> Model:
             yield blobs(list(split(blank.word_shard(h), h, n)))
 
     def save_words(table: pa.Table) -> pa.Table:
+        T.release()
         h, n = unpack_all(table["data"].to_pylist())
         order = np.argsort(h)
         h, n = h[order], n[order].astype(np.int64)
@@ -270,6 +271,7 @@ def train(docs: DataFrame) -> Model:
             yield blobs([(k, pack(np.diff(a[u:v], prepend=0), b[u:v], c[u:v])) for k, (u, v) in enumerate(zip(cuts[:-1], cuts[1:])) if u < v])
 
     def save_trie(table: pa.Table) -> pa.Table:
+        T.release()
         entries = [unpack(x) for x in table["data"].to_pylist()]
         a = np.concatenate([np.cumsum(e[0]) for e in entries]).astype(np.int64)
         b, c = (np.concatenate([e[k] for e in entries]).astype(np.int64) for k in (1, 2))

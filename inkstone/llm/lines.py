@@ -78,6 +78,7 @@ def count_words(docs: DataFrame) -> Counts:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "data"])
 
     def save(table: pa.Table) -> pa.Table:
+        T.release()
         h, n = unpack_all(table["data"].to_pylist())
         return pa.table({"n": pa.array([counts.save(table["shard"][0].as_py(), h, n.astype(np.int64))], pa.int64())})
 
@@ -206,6 +207,7 @@ def removed_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "kind", "data"])
 
     def reduce(table: pa.Table) -> pa.Table:
+        T.release()
         kind, data = table["kind"].to_pylist(), table["data"].to_pylist()
         out = []
         for k, blob in zip(kind, data):

@@ -33,8 +33,18 @@ def folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of at most about ``size`` bytes: each is held by the executor's JVM and by its Python worker, some of
+    them more than once. A session that sets smaller ones keeps them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).strip().lower().rstrip("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, size)
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; it is removed when the driver ends."""
+    small_batches(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     if local(path):
         atexit.register(shutil.rmtree, local(path), ignore_errors=True)

@@ -6,6 +6,7 @@ separates.  Words never cross documents.  A null text is an empty text: it has n
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +26,10 @@ _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF],
 _C1, _C2, _C3 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F)
 _S32 = U64(32)
 LONG_WORD = 64
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 
 #: Texts are hashed in slices of about so many bytes, which bounds the worker's memory; one longer text is a slice.
 SLICE_BYTES = 4 << 20
@@ -180,6 +185,13 @@ def set_hash(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, np.maximum(h, U64(1)), U64(0))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on, and its neighbours share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of a piece take about ``most`` bytes; a longer text is a piece of its own."""
     for batch in batches:
@@ -192,3 +204,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             j = max(i + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(i, j - i)
             done, i = int(ends[j - 1]), j
+    release()
