@@ -98,7 +98,7 @@ def package(doc: dict) -> bytes:
                 out += f'<w:r>{props}<w:{i["kind"]}Reference w:id="{i["text"]}"/></w:r>'
             elif i["kind"] == "comment":
                 out += f'<w:r>{props}<w:commentReference w:id="{int(i["text"]) - 1}"/></w:r>'
-            else:
+            elif i["kind"] not in ("picture", "shape"):
                 out += f"<w:r>{props}{_INLINE.get(i['kind']) or _text(i['text'])}</w:r>"
         return out + due(p["cp_end"] - 1) + "</w:p>"
 

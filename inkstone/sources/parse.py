@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from . import drawing as D
 from . import modifiers as M
 from . import word as W
 from .ciphers import unlock
-from .compound import MAX_FILE, Compound
+from .compound import MAX_FILE, Compound, build
 from .errors import CorruptDocument, DocumentError
 from .story import Paragraph, Spans, assemble, read
 
@@ -51,8 +52,10 @@ MODEL = pa.schema([
     ("fonts", _list(ix=_I, name=_S)),
     ("lists", _list(list_id=_I, level=_I, start=_I, format=_I, text=_S)),
     ("list_uses", _list(id=_I, list_id=_I)),
-    ("shapes", _list(story=_S, anchor_cp=_I, shape_id=_L, l=_I, t=_I, r=_I, b=_I, wrap=_I, behind=_B)),
-    ("ole_objects", _list(name=_S, size=_L)),
+    ("shapes", _list(story=_S, anchor_cp=_I, shape_id=_L, l=_I, t=_I, r=_I, b=_I, wrap=_I, behind=_B, type=_I, parent=_L, rotation=pa.float64(), image=_I, fill=_S, line=_S, text=_S)),
+    ("pictures", _list(id=_I, cp=_I, format=_S, width_twips=_I, height_twips=_I, data=pa.binary())),
+    ("images", _list(id=_I, format=_S, data=pa.binary())),
+    ("ole_objects", _list(name=_S, size=_L, content=pa.binary())),
     ("core_properties", pa.map_(_S, _S)),
     ("settings", pa.map_(_S, _S)),
     ("diagnostics", _list(severity=_S, code=_S, n=_L)),
@@ -143,7 +146,17 @@ def parse_document(data: bytes, password: str | None = None) -> dict:
     targets = {m["name"].casefold() for m in marks}
     foot, end = W.notes(get("footnote_refs"), get("footnote_texts")), W.notes(get("endnote_refs"), get("endnote_texts"))
     said = W.comments(get("comment_refs"), get("comment_texts"), get("comment_owners"))
+    pictures = []
+    for a, _, props in chars:
+        if text[a : a + 1] == "\x01" and props.get("special") and "picture_location" in props and not props.get("data") and not props.get("ole"):
+            try:
+                pictures.append({"id": len(pictures) + 1, "cp": a, **D.inline_picture(extra, props["picture_location"])})
+            except DocumentError:  # one bad picture costs itself
+                tally["INLINE_PICTURE_INVALID"] += 1
+    drawn, images = D.drawings(get("drawing"), word)
+    anchors = W.shapes(get("shapes_main"), "main") + W.shapes(get("shapes_headers"), "headers")
     refs = {n["ref_cp"]: (kind, k) for kind, some in (("footnote", foot), ("endnote", end), ("comment", said)) for k, n in enumerate(some, 1)}
+    refs |= {p["cp"]: ("picture", p["id"]) for p in pictures} | {s["anchor_cp"]: ("shape", s["shape_id"]) for s in anchors if s["story"] == "main"}
     cuts = W.sections(get("sections"), word, unknown)
     breaks = {s["cp_end"] for s in cuts[:-1]}
 
@@ -184,7 +197,27 @@ def parse_document(data: bytes, password: str | None = None) -> dict:
             tally["BOOKMARK_DEFERRED"] += 1
     list_at = h.slots.get("lists", (0, 0))
     abstract, used = W.lists(tables[list_at[0] :] if list_at[1] else b"", get("list_uses"))
-    anchors = W.shapes(get("shapes_main"), "main") + W.shapes(get("shapes_headers"), "headers")
+    boxes: dict[int, str] = {}
+    for slot_name, which in (("textbox_texts", "textboxes"), ("header_textbox_texts", "header_textboxes")):
+        at_, entries = W.plc(get(slot_name), 22)
+        for k, e in enumerate(entries):
+            if (number := struct.unpack_from("<i", e, 14)[0]) > 0:
+                boxes.setdefault(number, beside(which, at_[k], at_[k + 1]))
+    known = {}
+    for d in drawn:
+        known.setdefault(d["shape_id"], d)
+    shapes = [s | {k: known.get(s["shape_id"], {}).get(k) for k in ("type", "parent", "rotation", "image", "fill", "line")} | {"text": boxes.get(s["shape_id"])} for s in anchors]
+    own = {s["shape_id"]: s for s in shapes}
+    for d in drawn:  # shapes inside an anchored group take its place, mapped through its frame
+        top = known.get(d["parent"])
+        if top and d["shape_id"] not in own and d["parent"] in own and "frame" in top and "anchor" in d:
+            g = own[d["parent"]]
+            left, upper, right, lower = D.placed(d["anchor"], top["frame"], (g["l"], g["t"], g["r"], g["b"]))
+            own[d["shape_id"]] = g | {k: d.get(k) for k in ("shape_id", "type", "parent", "rotation", "image", "fill", "line")} | {"l": left, "t": upper, "r": right, "b": lower, "text": boxes.get(d["shape_id"])}
+    shapes = sorted(own.values(), key=lambda s: (s["anchor_cp"], s["shape_id"]))
+    for s in shapes:
+        if s["image"] is not None and not (0 < s["image"] <= len(images) and images[s["image"] - 1]):
+            raise CorruptDocument(f"shape {s['shape_id']} shows an image that is not there")
     try:
         core = W.summary(file.read("\x05SummaryInformation")) if "\x05SummaryInformation" in file.entries else {}
     except DocumentError:
@@ -196,11 +229,11 @@ def parse_document(data: bytes, password: str | None = None) -> dict:
         tally["STYLE_MISSING"] += len(missing)
     if unknown:
         tally["UNSUPPORTED_MODIFIER"] += len(unknown)
-    objects = [{"name": p.rpartition("/")[2], "size": sum(e.size for q, e in file.entries.items() if q.startswith(f"{p}/"))} for p, e in file.entries.items() if e.kind == "storage" and p.startswith("ObjectPool/") and p.count("/") == 1]
+    objects = [{"name": p.rpartition("/")[2], "size": sum(e.size for q, e in file.entries.items() if q.startswith(f"{p}/")), "content": build(file.storage(p))} for p, e in file.entries.items() if e.kind == "storage" and p.startswith("ObjectPool/") and p.count("/") == 1]
     kinds = Counter(n["kind"] for n in nodes)
     stats = {
         "piece_count": len(table), "character_count": h.counts["main"], "paragraph_count": len(paragraphs), "table_count": kinds["table"], "table_row_count": kinds["row"], "table_cell_count": kinds["cell"], "field_count": len(fields), "live_field_count": sum(f["live"] for f in fields),
-        "bookmark_count": len(marks), "footnote_count": len(foot), "endnote_count": len(end), "comment_count": len(said), "section_count": len(cuts), "style_count": len(sheet), "font_count": len(typefaces), "list_count": len(abstract), "list_use_count": len(used), "shape_count": len(anchors),
+        "bookmark_count": len(marks), "footnote_count": len(foot), "endnote_count": len(end), "comment_count": len(said), "section_count": len(cuts), "style_count": len(sheet), "font_count": len(typefaces), "list_count": len(abstract), "list_use_count": len(used), "shape_count": len(shapes), "picture_count": len(pictures), "image_count": len(images), "textbox_count": len(boxes),
         "ole_object_count": len(objects), "header_footer_count": len(placed), "core_property_count": len(core), "char_span_count": len(chars), "para_span_count": len(paras), "tab_count": sum(i["kind"] == "tab" for i in inlines), "break_count": sum(i["kind"] in ("break", "page_break") for i in inlines),
         "numbered_paragraph_count": sum("list_id" in p["props"] and p["props"]["list_id"] != "None" for p in paragraphs), "warning_count": sum(tally.values()), "unsupported_modifier_count": len(unknown),
     }
@@ -214,7 +247,7 @@ def parse_document(data: bytes, password: str | None = None) -> dict:
         "sections": [{"ix": k, "cp_start": s["cp_start"], "cp_end": s["cp_end"], "props": _props(s["props"])} for k, s in enumerate(cuts)], "section_stories": placed,
         "styles": [{"id": s.number, "kind": s.kind, "name": s.name, "based_on": s.based_on, "next_style": s.next, "chp": _props(styled[s.number][0]), "pap": _props({k: v for k, v in styled[s.number][1].items() if k != "row"})} for s in sheet.values()],
         "fonts": [{"ix": k, "name": f} for k, f in enumerate(typefaces)],
-        "lists": [{"list_id": x["list_id"], "level": k, **lv} for x in abstract for k, lv in enumerate(x["levels"])], "list_uses": used, "shapes": anchors, "ole_objects": objects,
+        "lists": [{"list_id": x["list_id"], "level": k, **lv} for x in abstract for k, lv in enumerate(x["levels"])], "list_uses": used, "shapes": shapes, "pictures": pictures, "images": [{"id": k, "format": i[0], "data": i[1]} for k, i in enumerate(images, 1) if i], "ole_objects": objects,
         "core_properties": core, "settings": _props(W.settings(get("settings"))),
         "diagnostics": [{"severity": "warning", "code": k, "n": n} for k, n in sorted(tally.items())], "stats": stats,
     }

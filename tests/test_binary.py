@@ -189,3 +189,54 @@ def test_other_formats_are_refused():
     assert parse.tried(compound.build({"WordDocument": bytes(old)}), None)["error_class"] == "UnsupportedVersion"
     assert issubclass(CorruptDocument, DocumentError)
     assert story.classify("= 1 + 2", set()) == ("=", "live")
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + bytes(20)
+
+
+def test_drawings_pictures_objects():
+    from inkstone.sources import drawing as D
+
+    blip = D.record(0xF01E, 0x6E0, bytes(16) + b"\xff" + PNG)
+    entry = D.record(0xF007, 6, bytes(28) + struct.pack("<IBBBB", 0, 0, 0, 0, 0) + blip)
+    top = D.record(0xF000, 0, D.record(0xF001, 1, entry, True), True)
+    opts = struct.pack("<HiHiHi", 0x4, 45 << 16, 0x4104, 1, 0x181, 0x0000FF)
+
+    def sp(kind, number, flags, extra=b""):
+        return D.record(0xF004, 0, D.record(0xF00A, kind, struct.pack("<II", number, flags)) + extra, True)
+
+    group = D.record(0xF003, 0, sp(0, 2000, 1, D.record(0xF009, 0, struct.pack("<iiii", 0, 0, 100, 100))) + sp(1, 2001, 2, D.record(0xF00F, 0, struct.pack("<iiii", 50, 0, 100, 50))), True)
+    page = b"\0" + D.record(0xF002, 0, D.record(0xF003, 0, sp(0, 1, 5) + sp(75, 1025, 0xA00, D.record(0xF00B, 3, opts)) + group, True), True)
+    spa = lambda n, a: struct.pack("<iiiiiHi", n, *a, 2 << 5, 0)
+    anchors = struct.pack("<iii", 0, 1, 4) + spa(1025, (0, 0, 10, 10)) + spa(2000, (0, 0, 200, 200))
+    picf = bytearray(68)
+    inline = D.record(0xF004, 0, b"", True) + blip
+    struct.pack_into("<IHH", picf, 0, 68 + len(inline), 68, 0x64)
+    struct.pack_into("<HHHH", picf, 28, 1000, 500, 1000, 1000)
+    special = struct.pack("<HBHI", 0x0855, 1, 0x6A03, 0)
+    data = builder.document("\x08\x08\x01\r", char_runs=[(2, 3, special)], tables={"drawing": top + page, "shapes_main": anchors}, streams={"Data": bytes(picf) + inline, "ObjectPool/_7/Contents": b"body"})
+    d = parse.parse_document(data)
+    assert [(s["shape_id"], s["type"], s["rotation"], s["image"], s["fill"]) for s in d["shapes"]][0] == (1025, 75, 45.0, 1, "FF0000")
+    child = next(s for s in d["shapes"] if s["shape_id"] == 2001)
+    assert (child["l"], child["t"], child["r"], child["b"], child["parent"]) == (100, 0, 200, 100, 2000)
+    assert d["images"] == [{"id": 1, "format": "png", "data": PNG}]
+    assert d["pictures"] == [{"id": 1, "cp": 2, "format": "png", "width_twips": 1000, "height_twips": 500, "data": PNG}]
+    assert [i["kind"] for i in d["inlines"]] == ["shape", "shape", "picture"] and not d["diagnostics"]
+    assert compound.Compound(d["ole_objects"][0]["content"]).read("Contents") == b"body"
+    bad = parse.parse_document(builder.document("\x01\r", char_runs=[(0, 1, special)], streams={"Data": bytes(80)}))
+    assert [x["code"] for x in bad["diagnostics"]] == ["INLINE_PICTURE_INVALID", "OBJECT_ANCHOR_DEFERRED"]
+
+
+def test_images():
+    from inkstone.sources import drawing as D
+
+    dib = struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
+    assert D.bitmap_file(dib)[:14] == struct.pack("<2sIII", b"BM", 58, 0, 54)
+    import zlib
+
+    assert D.inflate(zlib.compress(b"x" * 1000)) == b"x" * 1000
+    with pytest.raises(TooLarge):
+        D.inflate(zlib.compress(b"x" * 1000), 100)
+    with pytest.raises(CorruptDocument):
+        D.image(bytes(17) + b"no png", 0xF01E, 0x6E0, 0, 23)
+    assert D.polygon(struct.pack("<HHHhhhh", 2, 2, 4, 0, 0, 10, 5)) == [(0, 0), (21600, 21600)]

@@ -111,3 +111,17 @@ def test_chain_missing_parents_and_cycles(spark):
 def test_entry_has_a_stable_schema(spark):
     df = catalogue.entry(spark, SF)
     assert df.columns == ["doc_id", "paragraphs", "longest"] and df.count() == 200
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from inkstone.__main__ import main, password_of
+
+    assert main(["batch", f"file://{folder}", str(tmp_path)], spark) == 1  # one file is no document
+    assert '"succeeded":1' in capsys.readouterr().out and (tmp_path / "a.docx").exists()
+    assert main(["inspect", "-r", f"file://{folder}/sub"], spark) == 0
+    secret = tmp_path / "secret"
+    secret.write_bytes("pass wörd\r\n".encode())
+    assert password_of(str(secret)) == "pass wörd"
+    secret.write_bytes(b"x" * 5000)
+    with pytest.raises(ValueError, match="too large"):
+        password_of(str(secret))
