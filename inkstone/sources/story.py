@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
@@ -10,6 +11,7 @@ from inkstone.functions.dims import ACTIVE, LIVE, TARGET
 
 MAX_TABLES = 64
 _LEGAL = lambda c: c in "\t\n\r" or " " <= c <= "퟿" or "" <= c <= "�" or c >= "\U00010000"
+_PLAIN = re.compile("[ -\ud7ff\ue000-\ufffd]+")
 
 
 class Spans:
@@ -24,6 +26,14 @@ class Spans:
         return self.spans[i][2] if i >= 0 and cp < self.spans[i][1] else self.default
 
 
+    def until(self, cp: int) -> tuple[dict, int]:
+        """The value at a position and where the next one may differ."""
+        i = bisect_right(self.starts, cp) - 1
+        if i >= 0 and cp < self.spans[i][1]:
+            return self.spans[i][2], self.spans[i][1]
+        return self.default, self.starts[i + 1] if i + 1 < len(self.starts) else 1 << 62
+
+
 @dataclass
 class Paragraph:
     cp_start: int
@@ -67,9 +77,10 @@ def read(text: str, start: int, end: int, chars: Spans, paras: Spans, refs: dict
     stack: list[Open] = []
     runs: list[dict] = []
     begun = at = start
+    marked = sorted(refs)
 
-    def add(kind: str, value: str, cp: int) -> None:
-        props = chars.at(cp)
+    def add(kind: str, value: str, cp: int, props: dict | None = None) -> None:
+        props = chars.at(cp) if props is None else props
         if runs and kind == "text" and runs[-1]["kind"] == "text" and runs[-1]["props"] == props:
             runs[-1]["text"] += value
             return
@@ -86,6 +97,14 @@ def read(text: str, start: int, end: int, chars: Spans, paras: Spans, refs: dict
         begun, runs = stop, []
 
     while at < end:
+        if at not in refs and not any(f.separator is None for f in stack):
+            props, stop = chars.until(at)
+            nth = bisect_right(marked, at)
+            plain = _PLAIN.match(text, at, min(end, stop, marked[nth] if nth < len(marked) else end))
+            if plain:  # ordinary characters of one format, at once
+                add("text", plain[0], at, props)
+                at = plain.end()
+                continue
         c, cp = text[at], at
         at += 1
         if "\ud800" <= c <= "\udbff" and at < end and "\udc00" <= text[at] <= "\udfff":

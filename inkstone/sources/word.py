@@ -124,7 +124,13 @@ def units(word: bytes, table: list[Piece]) -> str:
     out = []
     for p in table:
         raw = part(word, p.offset, (p.end - p.start) * (1 if p.narrow else 2))
-        out.append(raw.decode("latin-1").translate(_BYTES) if p.narrow else "".join(map(chr, struct.unpack(f"<{p.end - p.start}H", raw))))
+        if p.narrow:
+            out.append(raw.decode("latin-1").translate(_BYTES))
+            continue
+        wide = raw.decode("utf-16-le", "surrogatepass")
+        if len(wide) != p.end - p.start:  # pairs take two places
+            wide = "".join(map(chr, struct.unpack(f"<{p.end - p.start}H", raw)))
+        out.append(wide)
     return "".join(out)
 
 
