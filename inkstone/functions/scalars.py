@@ -107,3 +107,41 @@ def list_label(template: Column, numbers: list[Column]) -> Column:
     for k, n in enumerate(numbers, 1):
         template = F.replace(template, F.lit(f"%{k}"), n.cast("string"))
     return template
+
+
+def merged_list(own: Column, defaults: list[int]) -> Column:
+    """A sparse list over its defaults: what is missing or null takes the default of its place."""
+    whole = F.array(*[F.lit(d) for d in defaults])
+    return F.transform(whole, lambda d, i: F.coalesce(F.get(own, i), d))
+
+
+def in_square(points: Column, size: int = 21600) -> Column:
+    """Points (x, y) of a polygon moved and scaled into a square; halves go to the even neighbour."""
+
+    def axis(name: str) -> tuple[Column, Column]:
+        values = F.transform(points, lambda p: p[name])
+        low = F.array_min(values)
+        return low, F.greatest(F.lit(1), F.array_max(values) - low)
+
+    (x0, w), (y0, h) = axis("x"), axis("y")
+    to = lambda v, low, extent: F.bround((v - low) * size / extent).cast("int")
+    return F.transform(points, lambda p: F.struct(to(p["x"], x0, w).alias("x"), to(p["y"], y0, h).alias("y")))
+
+
+def present(*columns: Column) -> Column:
+    """How many of some properties are set."""
+    total = F.lit(0)
+    for c in columns:
+        total = total + c.isNotNull().cast("int")
+    return total
+
+
+def font_name(name: Column, alternate: Column) -> Column:
+    """The first name that a document can hold; else none."""
+    fits = lambda c: F.when(~c.rlike(NOT_XML) & (F.length(c) > 0), c)
+    return F.coalesce(fits(name), fits(alternate))
+
+
+def header_distance(lid: Column) -> Column:
+    """The distance of headers from the edge, in twips: less where pages are A4 by custom of East Asia."""
+    return F.when(lid.isin(1041, 1042, 2052, 1028), 851).otherwise(720)
