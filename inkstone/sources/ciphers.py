@@ -116,8 +116,9 @@ def _blocks(data: bytes, key_of: Callable[[int], bytes]) -> bytes:
 
 
 def md5_key(password: str, salt: bytes) -> Callable[[int], bytes]:
-    short = hashlib.md5(password[:255].encode("utf-16-le")).digest()[:5]
-    seed = hashlib.md5((short + salt) * 16).digest()[:5]
+    wide = password[:255].encode("utf-16-le")
+    first = hashlib.md5(wide).digest()[:5]
+    seed = hashlib.md5(16 * (first + salt)).digest()[:5]
     return lambda block: hashlib.md5(seed + struct.pack("<I", block)).digest()
 
 

@@ -64,7 +64,8 @@ _i8, _u16, _i16, _i32, _u32 = _number("b"), _number("H"), _number("h"), _number(
 _lid = lambda b: LANGUAGES.get(_u16(b))
 _bool = lambda b: b[0] != 0
 
-TOGGLES = {0x0835: "bold", 0x0836: "italic", 0x0837: "strike", 0x0838: "outline", 0x0839: "shadow", 0x083A: "small_caps", 0x083B: "caps", 0x083C: "hidden", 0x0854: "imprint", 0x0858: "emboss", 0x085C: "bold_cs", 0x085D: "italic_cs"}
+_EIGHT = "bold italic strike outline shadow small_caps caps hidden".split()
+TOGGLES = {0x0835 + k: name for k, name in enumerate(_EIGHT)} | {0x0854: "imprint", 0x0858: "emboss", 0x085C: "bold_cs", 0x085D: "italic_cs"}
 PLAIN: dict[int, tuple[str, Callable]] = {
     0x0800: ("deleted", _bool), 0x0801: ("inserted", _bool), 0x0855: ("special", _bool), 0x0806: ("data", _bool), 0x080A: ("ole", _bool), 0x0811: ("web_hidden", _bool), 0x0875: ("no_proof", _bool), 0x085A: ("rtl", _bool), 0x2A53: ("double_strike", _bool),
     0x2A3E: ("underline", _named(_UNDERLINES)), 0x4A43: ("size_half_points", _u16), 0x4A61: ("size_cs_half_points", _u16), 0x4845: ("raised_half_points", _i16), 0x2A42: ("color", _named(PALETTE)), 0x6870: ("color", _colour), 0x6877: ("underline_color", _colour),

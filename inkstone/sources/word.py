@@ -145,7 +145,8 @@ def joined(text: str) -> tuple[str, int]:
 
 def single(prm: int) -> list[tuple[int, bytes]]:
     """The one modifier that a piece can carry itself, of those that character formatting has."""
-    named = {0x55: 0x0835, 0x56: 0x0836, 0x57: 0x0837, 0x58: 0x0838, 0x59: 0x0839, 0x5A: 0x083A, 0x5B: 0x083B, 0x5C: 0x083C, 0x5E: 0x2A3E, 0x62: 0x2A42, 0x68: 0x2A48, 0x53: 0x2A33, 0x05: 0x2403, 0x07: 0x2405, 0x08: 0x2406, 0x09: 0x2407, 0x0E: 0x240C, 0x18: 0x2416, 0x19: 0x2417, 0x25: 0x2423, 0x4C: 0x2A0C}
+    named = {0x55 + k: 0x0835 + k for k in range(8)} | {0x05 + k: c for k, c in ((0, 0x2403), (2, 0x2405), (3, 0x2406), (4, 0x2407), (9, 0x240C))}
+    named |= {0x18: 0x2416, 0x19: 0x2417, 0x25: 0x2423} | {0x4C: 0x2A0C, 0x53: 0x2A33, 0x5E: 0x2A3E, 0x62: 0x2A42, 0x68: 0x2A48}
     code, value = prm >> 1 & 0x7F, prm >> 8
     return [(named[code], bytes([value]))] if code in named else []
 
