@@ -4,7 +4,9 @@ The model is fitted on labelled texts and on their counterfactuals, in which eve
 of its group. Beside the usual loss and a ridge, the squared change of the logit between a text and its counterfactual
 is penalised, so that weight which rests on a mention of a group moves to the words that make a text toxic; a neutral
 mention then is no evidence. Features are whether each of ``FEATURES`` words occurs, chosen by their log-likelihood
-ratio between toxic and other texts; each is a word of its own, not a bucket that others share.
+ratio between toxic and other texts; each is a word of its own, not a bucket that others share. Beside words these are
+their beginnings of ``STEMS`` bytes, so that inflected and compound forms of a word count together; identity terms have
+none, so that what they share with other words does not tie them to these.
 
 Only the fit is bounded: it takes at most ``MAX_LABELLED`` labelled documents, by the order of a hash of their id, and
 its cost does not grow with the corpus. Labels are looked up in mapped files, so that no text is shuffled to meet them;
@@ -19,6 +21,7 @@ are ignored. ``toxic`` is whether the score reaches ``CUT``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import PairMap
+from .shared import PairMap, staged
 
 MAX_LABELLED = 20_000
 FEATURES = 4096
+STEMS = (4, 6)
 CUT = 0.5
 FAIRNESS = 1.0
 RIDGE = 2e-4
@@ -50,6 +54,7 @@ def _hashes(words: list[str]) -> np.ndarray:
     return T.words(pa.array(words)).hashes
 
 
+@lru_cache(maxsize=8)
 def swaps(groups: tuple[tuple[str, ...], ...] = GROUPS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the identity terms, sorted, and of what each is replaced by."""
     terms = [(g[i], g[(i + 1) % len(g)]) for g in groups for i in range(len(g))]
@@ -58,6 +63,25 @@ def swaps(groups: tuple[tuple[str, ...], ...] = GROUPS) -> tuple[np.ndarray, np.
     return a[order], b[order]
 
 
+def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text and of their beginnings, and where each text's begin."""
+    w = T.words(texts)
+    owner, size = w.owner, w.ends - w.starts
+    term = swaps()[0]
+    at = np.minimum(np.searchsorted(term, w.hashes), len(term) - 1)
+    free = term[at] != w.hashes
+    hashes, owners = [w.hashes], [owner]
+    for n in STEMS:
+        use = np.flatnonzero(free & (size > n))
+        hashes.append(T.word_hashes(w.data, w.starts[use], w.starts[use] + n) ^ T._C3)
+        owners.append(owner[use])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    bounds = np.zeros(len(w.bounds), np.int64)
+    np.cumsum(np.bincount(owner, minlength=len(bounds) - 1), out=bounds[1:])
+    return np.concatenate(hashes)[order], bounds
+
+
 def choose(values: np.ndarray, owner: np.ndarray, toxic: np.ndarray, most: int) -> np.ndarray:
     """The words whose occurrence tells most about the label, by log-likelihood ratio; sorted hashes."""
     word, place = np.unique(values, return_inverse=True)
@@ -76,13 +100,13 @@ def choose(values: np.ndarray, owner: np.ndarray, toxic: np.ndarray, most: int)
     return np.sort(word[use])
 
 
-def fit(values: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, groups=GROUPS, most: int = FEATURES, fairness: float = FAIRNESS) -> tuple[np.ndarray, np.ndarray, float]:  # noqa: ANN001
-    """(sorted words, weights, bias) from the word sets of labelled texts."""
+def fit(values: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, groups=GROUPS, most: int = FEATURES, fairness: float = FAIRNESS, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:  # noqa: ANN001
+    """(sorted words, weights, bias) from the word sets of labelled texts; ``chosen`` are the features, if known."""
     if not toxic.any() or toxic.all():
         return np.zeros(0, np.uint64), np.zeros(0), -np.inf
     owner = np.repeat(np.arange(len(toxic)), np.diff(bounds))
     term, other = swaps(groups)
-    words = T.distinct(np.concatenate([choose(values, owner, toxic, most), term]))
+    words = T.distinct(np.concatenate([choose(values, owner, toxic, most) if chosen is None else chosen, term]))
 
     def rows(v: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(words, v), len(words) - 1)
@@ -118,12 +142,13 @@ def fit(values: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, groups=GROUPS
 
 
 def logits(texts: pa.Array, words: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    w = T.words(texts)
-    out = np.full(len(w.bounds) - 1, bias)
-    if len(words) and len(w.hashes):
-        at = np.minimum(np.searchsorted(words, w.hashes), len(words) - 1)
-        use = words[at] == w.hashes
-        both = T.distinct(w.owner[use] * len(words) + at[use])
+    hashes, bounds = units(texts)
+    out = np.full(len(bounds) - 1, bias)
+    if len(words) and len(hashes):
+        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+        use = np.flatnonzero(words[at] == hashes)
+        owner = np.searchsorted(bounds, use, side="right") - 1
+        both = T.distinct(owner * len(words) + at[use])
         out += np.bincount(both // len(words), weights=weights[both % len(words)], minlength=len(out))
     return out
 
@@ -139,16 +164,53 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple
             place, toxic = some.find(np.asarray(batch.column("doc_id"), dtype=np.int64))
             if not len(place):
                 continue
-            w = T.words(batch.column("text").take(pa.array(place)))
-            values, bounds = T.unit_sets(w.hashes, w.bounds)
+            values, bounds = T.unit_sets(*units(batch.column("text").take(pa.array(place))))
             sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(place)), pa.array(toxic > 0), pa.array(sets, pa.binary())], ["doc_id", "toxic", "words"])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    table = slim.mapInArrow(run, "doc_id bigint, toxic boolean, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    labelled = staged(slim.mapInArrow(run, "doc_id bigint, toxic boolean, words binary"), "toxic-labelled")
+    tally = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = _chosen(labelled, tally.get(True, 0), tally.get(False, 0))
+    keep = T.distinct(np.concatenate([chosen, swaps()[0]]))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+            few = [x[np.isin(x, keep)].tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(few, pa.binary())], ["doc_id", "toxic", "words"])
+
+    # What the driver gets is bounded by the labelled documents and the features; the words of a text stay with the tasks.
+    table = labelled.mapInArrow(select, "doc_id bigint, toxic boolean, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
     sets = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-    return fit(np.concatenate(sets) if sets else np.zeros(0, np.uint64), bounds, np.array(table["toxic"].to_pylist(), bool))
+    return fit(np.concatenate(sets) if sets else np.zeros(0, np.uint64), bounds, np.array(table["toxic"].to_pylist(), bool), chosen=chosen)
+
+
+def _chosen(labelled: DataFrame, n1: int, n0: int, most: int = FEATURES) -> np.ndarray:
+    """``choose`` over a table of word sets, by counts that are added up by word."""
+    if not n1 or not n0:
+        return np.zeros(0, np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("words").to_pylist()]
+            if not sets:
+                continue
+            word, place = np.unique(np.concatenate(sets), return_inverse=True)
+            toxic = np.repeat(np.array(batch.column("toxic").to_pylist(), bool), [len(x) for x in sets])
+            k1 = np.bincount(place, weights=toxic, minlength=len(word)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(k1), pa.array(np.bincount(place, minlength=len(word)) - k1)], ["word", "k1", "k0"])
+
+    def part(k, n, p):  # noqa: ANN001, ANN202
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
+
+    k1, k0, both = F.col("k1"), F.col("k0"), (F.col("k1") + F.col("k0")) / F.lit(float(n1 + n0))
+    g = 2 * (part(k1, n1, k1 / F.lit(float(n1))) + part(k0, n0, k0 / F.lit(float(n0))) - part(k1, n1, both) - part(k0, n0, both))
+    counted = labelled.select("toxic", "words").mapInArrow(count, "word bigint, k1 bigint, k0 bigint").groupBy("word").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
+    best = counted.filter("k1 + k0 > 1").select("word", g.alias("g")).filter("g > 3.84").orderBy(F.col("g").desc(), "word").limit(most)
+    return np.sort(np.array([r["word"] for r in best.collect()], np.int64).view(np.uint64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:

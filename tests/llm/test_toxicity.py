@@ -66,3 +66,23 @@ def test_swaps_and_edges(spark):
     assert got(X.toxicity(frame(spark, []), spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int"))) == []
     some = spark.createDataFrame([(i, int(i == 3)) for i in range(10)] + [(4, 1), (4, 0)], "doc_id bigint, toxic int")
     assert len(got(X.toxicity(frame(spark, rows), some))) == len(rows)
+
+
+def test_chosen_words_equal_those_of_one_array(spark):
+    data = sample(random.Random(6), 300, True)
+    values, bounds = T.unit_sets(*X.units(pa.array([t for t, _ in data])))
+    toxic = np.array([y for _, y in data])
+    rows = [(k, bool(toxic[k]), bytearray(values[bounds[k] : bounds[k + 1]].tobytes())) for k in range(len(data))]
+    table = spark.createDataFrame(rows, "doc_id bigint, toxic boolean, words binary").repartition(3)
+    whole = X.choose(values, np.repeat(np.arange(len(data)), np.diff(bounds)), toxic, X.FEATURES)
+    assert len(whole) > 10 and X._chosen(table, int(toxic.sum()), int((~toxic).sum())).tolist() == whole.tolist()
+
+
+def test_beginnings_of_words(spark):
+    rng = random.Random(7)
+    data = [(prose(rng, 30) + (f" vermin{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" if k % 2 else ""), bool(k % 2)) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(y)) for k, (_, y) in enumerate(data[:300])], "doc_id bigint, toxic int")
+    found = {r[0]: r[2] for r in got(X.toxicity(frame(spark, [(k, t) for k, (t, _) in enumerate(data)]), labels))}
+    assert np.mean([found[k] == data[k][1] for k in range(300, 600)]) > 0.97
+    values, bounds = X.units(pa.array(["women girls", "", None, "vermin"]))
+    assert np.diff(bounds).tolist() == [2, 0, 0, 2]  # identity terms have no beginnings; a word of six bytes has one of four
