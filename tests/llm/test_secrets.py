@@ -41,5 +41,21 @@ def test_rules_and_edges(spark):
     assert sum(r[0] == 0 for r in found) == 6  # a repeated row is reported again
 
 
+def test_numbers_followed_by_more_and_away_from_the_keyword(spark):
+    card, other, iban = "4111 1111 1111 1111", "5500-0000-0000-0004", "BE68 5390 0754 7034"
+    want = {
+        f"card {card} 12/25": [card], "card: 4111111111111111 123": ["4111111111111111"], f"IBAN {iban} BIC ABCDEFGH": [iban], f"card number is {card}": [card], f"visa card ending, {card} 2027": [card],
+        f"Cards: {other}, {card}": [other, card], f"card exp 12/25 {card}": [card], f"IBAN of the firm: {iban}, or IBAN DE89370400440532013000 EUR": [iban, "DE89370400440532013000"],
+        "maestro card 6304 0000 0000 0000": ["6304 0000 0000 0000"], "no keyword 378282246310005 here": ["378282246310005"], f"7536784127813050 {other}": [other],
+        "card" + " x" * 40 + " 6304 0000 0000 0000": [], "no keyword 6304 0000 0000 0000": [], "0.4111111111111111": [], "4111111111111112": [], "41111111111111110000": [], "id a4111111111111111": [],
+        f"IBAN {iban[:-1]}5 BIC ABCDEFGH": [], "pan 0000 0000 0000 0000": [],
+    }
+    found = {}
+    for r in S.secret_scan(frame(spark, list(enumerate(want)))).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, (text, secrets) in enumerate(want.items()):
+        assert [text[a : a + n] for a, n in sorted(found.get(i, []))] == secrets, text
+
+
 def test_empty(spark):
     assert got(S.secret_scan(frame(spark, []))) == []
