@@ -11,6 +11,9 @@ of an account the length its country prescribes, of a card its issuer's first. A
 if it has a prefix and a length that an issuer uses and is written whole or in the usual groups; the prefixes are its
 keywords.
 
+``checksum`` says what was tested: ``valid`` for a checksum that holds, ``format`` for a header that decodes, where the
+format embeds no checksum, ``none`` for the pattern alone.
+
 Defined results: a null or empty text has no findings; a null ``doc_id`` is reported as null; repeated rows are reported
 each; very long texts are scanned whole; an empty table gives an empty result; other columns of the input are ignored.
 A secret itself is never in the result, only its place, length and SHA-256.
@@ -194,7 +197,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, rules: tuple[tuple[
                 continue
             some = candidates(m["s"], rule.lengths(m["s"])) if rule.lengths else (m["s"],)
             if secret := next((x for x in some if rule.check is None or rule.check(x)), None):
-                found.add((m.start("s"), rule.name, secret, "valid" if rule.check else "none"))
+                found.add((m.start("s"), rule.name, secret, "none" if rule.check is None else "format" if rule.check is jwt_ok else "valid"))
     for start, name, secret, checksum in sorted(found):
         yield name, start, secret, checksum
 
