@@ -5,11 +5,11 @@ A task cuts its texts into shards of about ``SHARD_BYTES`` and sorts all suffixe
 prefix doubling as deep as the longest test item. Every test suffix is then binary-searched in the shard; where its
 longest match is long enough, all places of the suffix array that share that much are read off, and each match is
 extended to its full length. Shards are independent: no training text is shuffled, and each task maps the test items
-from one file in the shared folder, so nothing is broadcast either.
+from files in the shared folder, so nothing is broadcast either.
 
 Defined results: words are compared, without case and punctuation, and matches do not cross documents. A match is
-reported if it cannot be extended on either side and has at least ``min_words`` words, or is a whole item of ``FLOOR``
-to ``min_words`` - 1 words; shorter items are never matched. Null and empty texts and items have no words. Matches in
+reported if it cannot be extended on either side and has at least ``min_words`` words, or is a whole item of fewer,
+however short. Null and empty texts and items have no words and match nothing. Matches in
 documents without an id are reported with a null id, and the stage removes no row for them; items without an id are
 reported with a null id. A repeated row or item gives its matches once (the result is distinct). Empty tables give an
 empty result, and the stage then keeps everything. Very long texts are shards of their own, sorted whole.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,48 +29,47 @@ from . import text as T
 from .shared import existing, fresh, put
 
 MIN_WORDS = 10
-FLOOR = 5
 SHARD_BYTES = 8 << 20
 SCHEMA = "doc_id bigint, item_id bigint, item_start int, doc_start int, length int"
 _FIELDS = ("doc_id", "item_id", "item_start", "doc_start", "length")
 
 
 class Items:
-    """Words of the test items in one file of the shared folder."""
+    """Words of the test items in files of the shared folder, one of each task that had some."""
 
-    def __init__(self, path: str, min_words: int) -> None:
-        self.path, self.min_words = path, min_words
+    def __init__(self, paths: list[str], min_words: int) -> None:
+        self.paths, self.min_words = paths, min_words
 
     @classmethod
     def write(cls, benchmark: DataFrame, min_words: int = MIN_WORDS) -> Items:
-        """Items are tokenised by one task, which writes the file: a benchmark is far below a task's memory."""
-        path = fresh(benchmark.sparkSession, "items") + "/items"
+        """A file is named after what it holds, so that a second attempt at a task writes the same one."""
+        folder = fresh(benchmark.sparkSession, "items")
 
         def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, sizes, ids, known = [], [], [], []
             for batch in T.slices(batches, "text"):
                 w = T.words(batch.column("text"))
-                hashes.append(w.hashes)
-                sizes.append(np.diff(w.bounds))
-                ids.append(np.asarray(batch.column("item_id").fill_null(0), dtype=np.int64))
-                known.append(np.asarray(batch.column("item_id").is_valid()).astype(np.int64))
-            n = sum(map(len, ids))
-            both = [np.array([n], np.int64), *sizes, *ids, *known, *(h.view(np.int64) for h in hashes)]
-            put(path, np.concatenate(both).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+                ids, sizes = batch.column("item_id"), np.diff(w.bounds)
+                number, known = np.asarray(ids.fill_null(0), dtype=np.int64), np.asarray(ids.is_valid()).astype(np.int64)
+                if not sizes.any():
+                    continue
+                data = np.concatenate([np.array([len(ids)], np.int64), sizes, number, known, w.hashes.view(np.int64)]).tobytes()
+                path = f"{folder}/{xxhash.xxh128_hexdigest(data)}"
+                put(path, data)
+                yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
 
         slim = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-        slim.repartition(1).mapInArrow(save, "n bigint").count()
-        return cls(path, min_words)
+        return cls(sorted(r["path"] for r in slim.mapInArrow(save, "path string").collect()), min_words)
 
     def read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes, bounds of the items, their ids and whether those are known; only items that can match."""
-        raw = existing(self.path).view(np.int64)
-        n = int(raw[0]) if len(raw) else 0
-        sizes, ids, known, hashes = raw[1 : n + 1], raw[n + 1 : 2 * n + 1], raw[2 * n + 1 : 3 * n + 1], raw[3 * n + 1 :].view(np.uint64)
-        use = sizes >= min(FLOOR, self.min_words)
-        hashes, sizes = hashes[np.repeat(use, sizes)], sizes[use]
-        return np.array(hashes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array(ids[use]), np.array(known[use]) > 0
+        """Word hashes, bounds of the items, their ids and whether those are known; only items that have words."""
+        parts = [[np.zeros(0, np.int64)] * 4]
+        for path in self.paths:
+            raw = existing(path).view(np.int64)
+            n = int(raw[0])
+            parts.append([raw[1 : n + 1], raw[n + 1 : 2 * n + 1], raw[2 * n + 1 : 3 * n + 1], raw[3 * n + 1 :]])
+        sizes, ids, known, hashes = (np.concatenate(c) for c in zip(*parts))
+        use = sizes > 0
+        return hashes.view(np.uint64), np.concatenate([[0], np.cumsum(sizes[use])]).astype(np.int64), ids[use], known[use] > 0
 
 
 def suffix_array(ranks: np.ndarray, depth: int) -> np.ndarray:
@@ -234,7 +234,7 @@ def op5_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z]|[^\x00-\x7F])+')"
 OP5_SQL = f"""
 WITH items AS (SELECT DISTINCT item_id, {WORDS} AS w FROM benchmark),
-used AS (SELECT item_id, w, least({MIN_WORDS}, len(w)) AS k FROM items WHERE len(w) >= {FLOOR}),
+used AS (SELECT item_id, w, least({MIN_WORDS}, len(w)) AS k FROM items WHERE len(w) > 0),
 docs AS (SELECT DISTINCT doc_id, {WORDS} AS w FROM documents),
 test AS (SELECT item_id, k, i - 1 AS item_start, list_aggregate(list_slice(w, i, i + k - 1), 'string_agg', ' ') AS gram
          FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM used)),

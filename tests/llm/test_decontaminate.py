@@ -13,8 +13,6 @@ def brute(rows, items, least=D.MIN_WORDS):
         w = words(t)
         for j, s in items:
             x = words(s)
-            if len(x) < D.FLOOR:
-                continue
             for a in range(len(x)):
                 for b in range(len(w)):
                     if a and b and x[a - 1] == w[b - 1]:
@@ -40,7 +38,10 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(700, f"clean, {items[1][1].upper()}!"), (701, items[2][1] + " and once more " + items[2][1]), (702, " ".join(["again"] * 40)), (703, " ".join(["again"] * 12))]
     items.append((55, " ".join(["again"] * 14)))
     want = brute(rows, items)
-    assert {700, 701, 702} <= {r[0] for r in want}
+    items.append((56, "Just these three"))
+    rows.append((704, "he wrote just these three, and no more"))
+    want = brute(rows, items)
+    assert {700, 701, 702, 704} <= {r[0] for r in want} and {r[0] for r in want if r[1] == 50}
     assert got(D.benchmark_matches(frame(spark, rows, clashing=True), items_frame(spark, items))) == want
     monkeypatch.setattr(D, "SHARD_BYTES", 500)
     out = D.decontaminated(frame(spark, rows, clashing=True), items_frame(spark, items))
