@@ -6,8 +6,9 @@ among equals, whole groups of like sequences at a time. Its work and its result
 number of documents. A row of the plan is a range of ranks within one length; pieces are ranked within their length and
 joined to it on the length and a block of ranks. Only the narrow table of piece lengths is shuffled, never texts.
 
-Defined results: the length of a text is its number of whitespace-separated units and one for the separator that ends
-it. A null or empty text has no piece. Null and repeated ids are packed, a piece for each row; rows that agree in id and
+Defined results: the length of a text is its number of units and one for the separator that ends it. A unit is up to
+``UNIT_CHARS`` characters between white space (as Java has it), so that a text without spaces is as long as its letters
+make it. A null or empty text has no piece. Null and repeated ids are packed, a piece for each row; rows that agree in id and
 length are interchangeable. Ranks go by (bucket of the id, id, piece). An empty table gives an empty result.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .shared import parts, staged
 
 CAPACITY = 2048
+UNIT_CHARS = 16
 PLAN = "length int, rank_from bigint, rank_to bigint, bin_from bigint, per_bin int, offset int, block bigint"
 
 
@@ -74,7 +76,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     """``doc_id, piece, start, length`` of every piece of ``docs(doc_id, text)``."""
-    units = F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+"))
+    units = F.regexp_count(F.col("text").cast("string"), F.lit(rf"\S{{1,{UNIT_CHARS}}}"))
     sized = docs.select("doc_id", F.when(units > 0, units + 1).alias("n")).filter("n > 0")
     cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}").cast("int"))).alias("piece"))
     start = F.col("piece") * capacity
