@@ -17,7 +17,7 @@ def pack(*columns: np.ndarray) -> bytes:
     head = [n, len(columns)]
     for c in columns:
         c = np.ascontiguousarray(c).astype(np.int64, copy=False).view(np.uint64) if c.dtype != np.uint64 else np.ascontiguousarray(c)
-        width = max(1, (int(c.max()).bit_length() + 7) // 8) if n else 1
+        width = (int(c.max()).bit_length() + 7) // 8 if n else 0
         head.append(width)
         out.append(c.view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
     return b"".join([np.array(head, "<i8").tobytes(), *out])

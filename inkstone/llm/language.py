@@ -125,7 +125,6 @@ class Model(NamedTuple):
         return np.where(known, restore(p), 1 / (self.total + self.size + 1)), np.where(known, restore(weight), 1.0)
 
 
-@lru_cache(maxsize=4096)
 def _unigrams(uri: str) -> list[Packed]:
     return [Packed.decode(x) for x in split_sections(existing(uri))]
 
@@ -198,7 +197,6 @@ class Trie(NamedTuple):
         return search(self.third, first, end, c.astype(np.uint64))
 
 
-@lru_cache(maxsize=4096)
 def _trie(uri: str) -> Trie | None:
     data = existing(uri)
     return Trie.decode(data) if len(data) else None

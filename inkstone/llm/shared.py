@@ -8,11 +8,12 @@ executor.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from functools import lru_cache
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -43,20 +44,52 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it is removed when the driver ends."""
+    """A path in the shared folder that nothing else uses; it is removed when the driver ends, or by ``discard``."""
     small_batches(spark)
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if local(path):
-        atexit.register(shutil.rmtree, local(path), ignore_errors=True)
+    atexit.register(remove, path)
     return path
 
 
+def remove(uri: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    if path := local(uri):
+        shutil.rmtree(path, ignore_errors=True)
+        return
+    from pyarrow import fs
+
+    try:
+        store, path = fs.FileSystem.from_uri(uri)
+        store.delete_dir(path)
+    except OSError:  # not there, or gone with its store
+        pass
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there, on any number of machines."""
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.staged_at = path
+    return again
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes staged tables and folders of files whose consumers have been written: nothing reads them again, and no lost
+    executor makes a task read them. The shuffles that fed them go with the driver's garbage."""
+    for t in tables:
+        remove(t if isinstance(t, str) else t.staged_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def repeated_ids(docs: DataFrame, name: str) -> KeySet:
+    """The ids that more than one row has."""
+    from pyspark.sql import functions as F
+
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna()
+    return KeySet.write(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), name)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -90,16 +123,26 @@ def put(uri: str, data: bytes) -> None:
         f.write(data)
 
 
-@lru_cache(maxsize=4096)
+_read: OrderedDict[str, np.ndarray] = OrderedDict()
+#: Bytes of files that a worker keeps where the store cannot be mapped; the least recently used go first.
+KEPT_BYTES = 128 << 20
+
+
 def mapped(uri: str) -> np.ndarray:
-    """The bytes of a file, mapped where the file system allows it, else read."""
+    """The bytes of a file: mapped anew each time where the store allows it, so that a worker holds no file of an earlier
+    stage; else read and kept for a while."""
     if path := local(uri):
         return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), np.uint8)
+    if uri not in _read:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            _read[uri] = np.frombuffer(f.read(), np.uint8)
+        while len(_read) > 1 and sum(x.nbytes for x in _read.values()) > KEPT_BYTES:
+            _read.popitem(last=False)
+    _read.move_to_end(uri)
+    return _read[uri]
 
 
 def existing(uri: str) -> np.ndarray:
