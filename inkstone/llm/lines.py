@@ -14,12 +14,12 @@ the whole sets. All filters are exact: none loses a match.
    if that fails, against all others: one match is enough.
 5. Texts are rewritten by looking their removed lines up in mapped files. Texts themselves are never shuffled.
 
-Defined results: a line is known by (doc_id, its number); it is removed if any line of a smaller (doc_id, number) matches
-it, whether or not that one is itself removed. Lines end at a line feed. Lines without words match nothing and stay.
-Null and empty texts stay as they are; texts without an id are neither compared nor changed. Rows that share an id are
-one document: equal numbers do not match each other, and all the rows lose the same lines; the n-th line of such rows
-is one of theirs, the least by its words. A text that loses all its lines is "". Very long lines and texts are compared
-whole; empty tables give empty results; other columns pass through the stage.
+Defined results: a line is known by (doc_id, row, its number); it is removed if any line of a smaller one matches it,
+whether or not that one is itself removed. ``row`` is 0 where no other row has the id, else a 64-bit hash of id and text:
+rows that share an id are documents of their own, in the order of that hash, and rows that share id and text are one.
+Lines end at a line feed. Lines without words match nothing and stay. Null and empty texts stay as they are; texts
+without an id are neither compared nor changed. A text that loses all its lines is "". Very long lines and texts are
+compared whole; empty tables give empty results; other columns pass through the stage.
 """
 
 from __future__ import annotations
@@ -30,18 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
 from .blobs import pack, ranges, split, unpack, unpack_all
-from .shared import Counts, PairMap, fresh, parts, staged, unused
+from .shared import Counts, KeySet, PairMap, discard, fresh, parts, repeated_ids, staged, unused
 
 THRESHOLD = 0.8
 _EPS = 1e-9
 #: Reducers expand lists into pairs so many at a time.
 _PAIRS = 1 << 20
-_FOUND = "kind int, yd bigint, yl bigint, xd bigint, xl bigint, far int"
+_FOUND = "kind int, yd bigint, yr bigint, yl bigint, xd bigint, xr bigint, xl bigint, far int"
 
 
 def line_words(texts: pa.Array) -> tuple[T.Words, np.ndarray, np.ndarray]:
@@ -67,6 +68,17 @@ def _slim(docs: DataFrame) -> DataFrame:
     return slim.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+def row_marks(ids: np.ndarray, texts: pa.Array, again: KeySet) -> np.ndarray:
+    """What tells rows of one id apart, as the module has it. ``ids ^ row_marks`` is a key for a row."""
+    out = np.zeros(len(ids), np.int64)
+    at = np.flatnonzero(again.holds(ids))
+    for i, text in zip(at.tolist(), texts.take(pa.array(at)).to_pylist()):
+        if text is not None:
+            mark = xxhash.xxh64_intdigest(text.encode(), int(ids[i]) & 0xFFFFFFFFFFFFFFFF) or 1
+            out[i] = mark - (mark >> 63 << 64)
+    return out
+
+
 def count_words(docs: DataFrame) -> Counts:
     shards = parts(docs)
     counts = Counts(fresh(docs.sparkSession, "words"), shards)
@@ -86,7 +98,7 @@ def count_words(docs: DataFrame) -> Counts:
     return counts
 
 
-def postings(batch: pa.RecordBatch, counts: Counts, t: float, shards: int) -> Iterator[tuple[int, int, bytes]]:
+def postings(batch: pa.RecordBatch, counts: Counts, t: float, shards: int, again: KeySet) -> Iterator[tuple[int, int, bytes]]:
     """(shard, kind, blob): kind 0 are prefix entries, kind 1 lines that repeat one of this batch."""
     w, doc, number = line_words(batch.column("text"))
     if not len(w.hashes):
@@ -109,21 +121,22 @@ def postings(batch: pa.RecordBatch, counts: Counts, t: float, shards: int) -> It
     some = np.flatnonzero(n)
     for k in (0, 1):
         sign[k, some] = np.bitwise_or.reduceat(np.where(high == bool(k), bit, T.U64(0)), bounds[:-1][some])
-    doc_id = np.asarray(batch.column("doc_id"), dtype=np.int64)[doc]
+    all_ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
+    doc_id, row = all_ids[doc], row_marks(all_ids, batch.column("text"), again)[doc]
 
-    order = np.lexsort((number, doc_id, ids))
+    order = np.lexsort((number, row, doc_id, ids))
     order = order[ids[order] > 0]
-    again = np.zeros(len(order), bool)
-    again[1:] = ids[order][1:] == ids[order][:-1]
-    if again.any():
-        # the first of the run: where ``again`` was last False
-        head = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-        later = again & ((doc_id[order] != doc_id[head]) | (number[order] != number[head]))
+    repeats = np.zeros(len(order), bool)
+    repeats[1:] = ids[order][1:] == ids[order][:-1]
+    if repeats.any():
+        # the first of the run: where ``repeats`` was last False
+        head = order[np.maximum.accumulate(np.where(repeats, 0, np.arange(len(order))))]
+        later = repeats & ((doc_id[order] != doc_id[head]) | (row[order] != row[head]) | (number[order] != number[head]))
         gone = order[later]
         if len(gone):
-            yield int(ids[gone[0]] % T.U64(shards)), 1, pack(doc_id[gone], number[gone])
+            yield int(ids[gone[0]] % T.U64(shards)), 1, pack(doc_id[gone], row[gone], number[gone])
     first = np.zeros(len(doc), bool)
-    first[order[~again]] = True
+    first[order[~repeats]] = True
 
     position = np.arange(len(line)) - bounds[line]
     use = first[line] & (position < (n - needed(n, t) + 1)[line]) & (tf[word] > 1)
@@ -138,28 +151,29 @@ def postings(batch: pa.RecordBatch, counts: Counts, t: float, shards: int) -> It
         at = slice(cuts[shard], cuts[shard + 1])
         if cuts[shard] < cuts[shard + 1]:
             i, steps = line[at], np.diff(hashes[at], prepend=T.U64(0))
-            yield shard, 0, pack(steps, ids[i], doc_id[i], number[i], n[i], position[at], sign[0, i], sign[1, i], rarest[i])
+            yield shard, 0, pack(steps, ids[i], doc_id[i], row[i], number[i], n[i], position[at], sign[0, i], sign[1, i], rarest[i])
 
 
-def candidates(blobs: list[bytes], t: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """From all prefix entries of a shard: (0, later doc, later line, 0, 0, 0) of lines that equal an earlier one as a
-    set, and (1, later doc and line, earlier doc and line, distance) of pairs that pass the filters."""
+def candidates(blobs: list[bytes], t: float) -> Iterator[tuple]:
+    """From all prefix entries of a shard: (0, later doc, row and line, zeros) of lines that equal an earlier one as a
+    set, and (1, later doc, row and line, earlier doc, row and line, distance) of pairs that pass the filters."""
     entries = [unpack(x) for x in blobs]
     for e in entries:
         e[0] = np.cumsum(e[0])
-    h, s, d, number, n, p, a, b, rarest = (np.concatenate(c) for c in zip(*entries))
-    d, number, n, p = (x.view(np.int64) for x in (d, number, n, p))
-    order = np.lexsort((number, d, s, h))
-    h, s, d, number, n, p, a, b, rarest = (x[order] for x in (h, s, d, number, n, p, a, b, rarest))
+    h, s, d, r, number, n, p, a, b, rarest = (np.concatenate(c) for c in zip(*entries))
+    del entries
+    d, r, number, n, p = (x.view(np.int64) for x in (d, r, number, n, p))
+    order = np.lexsort((number, r, d, s, h))
+    h, s, d, r, number, n, p, a, b, rarest = (x[order] for x in (h, s, d, r, number, n, p, a, b, rarest))
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-    later = np.flatnonzero(same & (p == 0) & ((d != d[head]) | (number != number[head])))
+    later = np.flatnonzero(same & (p == 0) & ((d != d[head]) | (r != r[head]) | (number != number[head])))
     none = np.zeros(len(later), np.int64)
-    yield 0, d[later], number[later], none, none, none
+    yield 0, d[later], r[later], number[later], none, none, none, none
     order = np.flatnonzero(~same)
     order = order[np.lexsort((n[order], h[order]))]
-    h, d, number, n, p, a, b, rarest = (x[order] for x in (h, d, number, n, p, a, b, rarest))
+    h, d, r, number, n, p, a, b, rarest = (x[order] for x in (h, d, r, number, n, p, a, b, rarest))
     word = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     top = int(n.max(initial=0)) + 1
     key = word * top + n
@@ -178,11 +192,11 @@ def candidates(blobs: list[bytes], t: float) -> Iterator[tuple[int, np.ndarray,
         ok &= (rarest[x] != rarest[y]) | (rarest[x] == h[x])  # else the list of that word has the pair
         x, y, need = x[ok], y[ok], need[ok]
         far = np.bitwise_count(a[x] ^ a[y]).astype(np.int64) + np.bitwise_count(b[x] ^ b[y])
-        ok = (far <= n[x] + n[y] - 2 * need) & ((d[x] != d[y]) | (number[x] != number[y]))
+        ok = (far <= n[x] + n[y] - 2 * need) & ((d[x] != d[y]) | (r[x] != r[y]) | (number[x] != number[y]))
         x, y, far = x[ok], y[ok], far[ok]
-        swap = (d[x] > d[y]) | ((d[x] == d[y]) & (number[x] > number[y]))
+        swap = (d[x] > d[y]) | ((d[x] == d[y]) & ((r[x] > r[y]) | ((r[x] == r[y]) & (number[x] > number[y]))))
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        yield 1, d[y], number[y], d[x], number[x], far
+        yield 1, d[y], r[y], number[y], d[x], r[x], number[x], far
 
 
 def same_sets(x: pa.Array, y: pa.Array, t: float) -> pa.Array:
@@ -197,78 +211,94 @@ def same_sets(x: pa.Array, y: pa.Array, t: float) -> pa.Array:
     return pa.array(both >= overlap(nx + ny, t))
 
 
-def removed_lines(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """``doc_id, line`` (from 0) of every line that matches an earlier one, repeated rows included once or more."""
-    counts = count_words(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches, "text"):
-            rows = list(postings(batch, counts, t, counts.shards))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "kind", "data"])
-
-    def reduce(table: pa.Table) -> pa.Table:
-        T.release()
-        kind, data = table["kind"].to_pylist(), table["data"].to_pylist()
-        out = []
-        for k, blob in zip(kind, data):
-            if k == 1:
-                d, number = unpack(blob)
-                none = np.zeros(len(d), np.int64)
-                out.append((0, d.view(np.int64), number.view(np.int64), none, none, none))
-        if entries := [blob for k, blob in zip(kind, data) if k == 0]:
-            out += candidates(entries, t)
-        columns = [np.concatenate([c[i] for c in out]) if out else np.zeros(0, np.int64) for i in range(1, 6)]
-        kinds = np.concatenate([np.full(len(c[1]), c[0], np.int32) for c in out]) if out else np.zeros(0, np.int32)
-        return pa.table([pa.array(kinds), *(pa.array(c) for c in columns[:4]), pa.array(columns[4].astype(np.int32))], ["kind", "yd", "yl", "xd", "xl", "far"])
-
-    shuffled = _slim(docs).mapInArrow(run, "shard int, kind int, data binary").groupBy("shard").applyInArrow(reduce, _FOUND)
-    found = staged(shuffled, "line-pairs")
-    equal = found.filter("kind = 0").select(F.col("yd").alias("doc_id"), F.col("yl").alias("line"))
-    pairs = found.filter("kind = 1").groupBy("yd", "yl", "xd", "xl").agg(F.min("far").alias("far"))
-    pairs = staged(pairs.join(equal, (F.col("yd") == equal.doc_id) & (F.col("yl") == equal.line), "left_anti"), "line-candidates")
-
-    # The lines that occur in candidates, read from the corpus once more.
-    lines = pairs.select(F.col("yd").alias("d"), F.col("yl").alias("l")).union(pairs.select("xd", "xl"))
-    wanted = PairMap.write(lines, "line-wanted")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in T.slices(batches, "text"):
-            ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
-            place, number = wanted.find(ids)
-            if not len(place):
-                continue
-            texts = batch.column("text").take(pa.array(np.unique(place)))
-            w, doc, at = line_words(texts)
-            doc = np.unique(place)[doc]
-            line = np.flatnonzero(np.isin(doc * (1 << 32) + at, place * (1 << 32) + number))
-            sets, bounds = T.unit_sets(w.hashes, w.bounds)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[doc[line]]), pa.array(at[line]), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in line], pa.binary())], ["d", "l", "words"]
-            )
-
-    texts = staged(_slim(docs).mapInArrow(fetch, "d bigint, l bigint, words binary").groupBy("d", "l").agg(F.min("words").alias("words")), "line-texts")
-
-    @F.arrow_udf("boolean")
-    def matches(x: pa.Array, y: pa.Array) -> pa.Array:
-        return same_sets(x, y, t)
-
-    def verified(some: DataFrame) -> DataFrame:
-        x = texts.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("words").alias("xw"))
-        y = texts.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("words").alias("yw"))
-        both = some.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-        return both.withColumn("ok", matches("xw", "yw")).filter("ok").select("yd", "yl")
-
-    nearest = pairs.groupBy("yd", "yl").agg(F.min(F.struct("far", "xd", "xl")).alias("n")).select("yd", "yl", "n.xd", "n.xl")
-    first = staged(verified(nearest), "line-first")
-    rest = pairs.join(first, ["yd", "yl"], "left_anti").join(nearest, ["yd", "yl", "xd", "xl"], "left_anti")
-    similar = first.union(verified(rest)).toDF("doc_id", "line")
-    return equal.union(similar)
-
-
-def without(texts: pa.Array, ids: pa.Array, gone: PairMap) -> pa.Array:
-    """The texts without the lines that ``gone`` lists for their ids."""
+class Removed:
+    """``lines`` is (doc_id, row, line), from 0, of every line that matches an earlier one, repeated rows included once or
+    more; ``again`` are the ids that several rows have."""
+
+    def __init__(self, docs: DataFrame, t: float = THRESHOLD) -> None:
+        spark = docs.sparkSession
+        self.again = again = repeated_ids(docs, "line-again")
+        counts = count_words(docs)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in T.slices(batches, "text"):
+                rows = list(postings(batch, counts, t, counts.shards, again))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "kind", "data"])
+
+        def reduce(table: pa.Table) -> pa.Table:
+            T.release()
+            kind, data = table["kind"].to_pylist(), table["data"].to_pylist()
+            out = []
+            for k, blob in zip(kind, data):
+                if k == 1:
+                    d, r, number = (x.view(np.int64) for x in unpack(blob))
+                    none = np.zeros(len(d), np.int64)
+                    out.append((0, d, r, number, none, none, none, none))
+            entries = [blob for k, blob in zip(kind, data) if k == 0]
+            del data
+            if entries:
+                out += candidates(entries, t)
+            columns = [np.concatenate([c[i] for c in out]) if out else np.zeros(0, np.int64) for i in range(1, 8)]
+            kinds = np.concatenate([np.full(len(c[1]), c[0], np.int32) for c in out]) if out else np.zeros(0, np.int32)
+            return pa.table([pa.array(kinds), *(pa.array(c) for c in columns[:6]), pa.array(columns[6].astype(np.int32))], _FOUND.replace(" bigint", "").replace(" int", "").split(", "))
+
+        shuffled = _slim(docs).mapInArrow(run, "shard int, kind int, data binary").groupBy("shard").applyInArrow(reduce, _FOUND)
+        found = staged(shuffled, "line-pairs")
+        discard(spark, counts.path)
+        equal = found.filter("kind = 0").select("yd", "yr", "yl")
+        pairs = found.filter("kind = 1").groupBy("yd", "yr", "yl", "xd", "xr", "xl").agg(F.min("far").alias("far"))
+        pairs = staged(pairs.join(equal, ["yd", "yr", "yl"], "left_anti"), "line-candidates")
+
+        # The lines that occur in candidates, read from the corpus once more.
+        lines = pairs.select(F.col("yd").bitwiseXOR(F.col("yr")).alias("k"), F.col("yl").alias("l")).union(pairs.select(F.col("xd").bitwiseXOR(F.col("xr")), "xl"))
+        wanted = PairMap.write(lines, "line-wanted")
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in T.slices(batches, "text"):
+                ids = np.asarray(batch.column("doc_id"), dtype=np.int64)
+                marks = row_marks(ids, batch.column("text"), again)
+                place, number = wanted.find(ids ^ marks)
+                if not len(place):
+                    continue
+                texts = batch.column("text").take(pa.array(np.unique(place)))
+                w, doc, at = line_words(texts)
+                doc = np.unique(place)[doc]
+                line = np.flatnonzero(np.isin(doc * (1 << 32) + at, place * (1 << 32) + number))
+                sets, bounds = T.unit_sets(w.hashes, w.bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[doc[line]]), pa.array(marks[doc[line]]), pa.array(at[line]), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in line], pa.binary())], ["d", "r", "l", "words"]
+                )
+
+        texts = staged(_slim(docs).mapInArrow(fetch, "d bigint, r bigint, l bigint, words binary").groupBy("d", "r", "l").agg(F.min("words").alias("words")), "line-texts")
+        discard(spark, wanted.path)
+
+        @F.arrow_udf("boolean")
+        def matches(x: pa.Array, y: pa.Array) -> pa.Array:
+            return same_sets(x, y, t)
+
+        def verified(some: DataFrame) -> DataFrame:
+            x, y = texts.toDF("xd", "xr", "xl", "xw"), texts.toDF("yd", "yr", "yl", "yw")
+            both = some.join(x, ["xd", "xr", "xl"]).join(y, ["yd", "yr", "yl"])
+            return both.withColumn("ok", matches("xw", "yw")).filter("ok").select("yd", "yr", "yl")
+
+        nearest = pairs.groupBy("yd", "yr", "yl").agg(F.min(F.struct("far", "xd", "xr", "xl")).alias("n")).select("yd", "yr", "yl", "n.xd", "n.xr", "n.xl")
+        first = staged(verified(nearest), "line-first")
+        rest = pairs.join(first, ["yd", "yr", "yl"], "left_anti").join(nearest, ["yd", "yr", "yl", "xd", "xr", "xl"], "left_anti")
+        self.lines = equal.union(first).union(verified(rest)).toDF("doc_id", "row", "line")
+        self._used = [found, pairs, texts, first]
+
+    def write(self) -> PairMap:
+        """The lines of each row, by its key; what they were found with is deleted."""
+        gone = PairMap.write(self.lines.select(F.col("doc_id").bitwiseXOR(F.col("row")).alias("k"), "line"), "line-gone")
+        discard(self.lines.sparkSession, *self._used)
+        return gone
+
+
+def without(texts: pa.Array, ids: pa.Array, gone: PairMap, again: KeySet) -> pa.Array:
+    """The texts without the lines that ``gone`` lists for their rows."""
     known = np.asarray(ids.is_valid())
-    place, number = gone.find(np.asarray(ids.fill_null(0), dtype=np.int64))
+    ids = np.asarray(ids.fill_null(0), dtype=np.int64)
+    place, number = gone.find(ids ^ row_marks(ids, texts, again))
     use = known[place]
     place, number = place[use], number[use]
     touched, first = np.unique(place, return_index=True)
@@ -285,28 +315,27 @@ def without(texts: pa.Array, ids: pa.Array, gone: PairMap) -> pa.Array:
     return pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
 
 
-def line_dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the later matches removed from ``text``; all other columns as they are. See the module."""
-    gone = PairMap.write(removed_lines(docs, t), "line-gone")
+def _rewriter(docs: DataFrame, t: float):  # noqa: ANN202
+    removed = Removed(docs, t)
+    gone, again = removed.write(), removed.again
 
     @F.arrow_udf("string")
     def rewrite(texts: pa.Array, ids: pa.Array) -> pa.Array:
-        return without(texts, ids, gone)
+        return without(texts, ids, gone, again)
+
+    return rewrite(F.col("text").cast("string"), F.col("doc_id").cast("bigint"))
+
 
-    return docs.withColumn("text", rewrite(F.col("text").cast("string"), F.col("doc_id").cast("bigint")))
+def line_dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """``docs`` with the later matches removed from ``text``; all other columns as they are. See the module."""
+    return docs.withColumn("text", _rewriter(docs, t))
 
 
 def deduped(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` after line dedup: ``n_chars`` follows a changed text, and a document that lost all its text
     goes; all other columns are as they were."""
-    gone = PairMap.write(removed_lines(docs, t), "line-gone")
-
-    @F.arrow_udf("string")
-    def rewrite(texts: pa.Array, ids: pa.Array) -> pa.Array:
-        return without(texts, ids, gone)
-
     new = unused(docs, "new_text")
-    both = docs.withColumn(new, rewrite(F.col("text").cast("string"), F.col("doc_id").cast("bigint")))
+    both = docs.withColumn(new, _rewriter(docs, t))
     both = both.filter(F.coalesce(F.length(new) > 0, F.lit(True)) | (F.length("text") == 0))
     columns = []
     for c, kind in docs.dtypes:
