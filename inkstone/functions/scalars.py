@@ -79,6 +79,21 @@ def scaled(goal: Column, per_mille: Column) -> Column:
     return F.when(size.between(15, 31680), size)
 
 
+def affine(v: Column, frame: tuple[Column, Column], rect: tuple[Column, Column]) -> Column:
+    """A coordinate inside a group's frame, mapped to the group's place on the page; halves go to the even neighbour. Null for
+    a frame without extent."""
+    extent = frame[1] - frame[0]
+    return F.when(extent != 0, F.bround(rect[0] + (v - frame[0]) * (rect[1] - rect[0]) / extent)).cast("bigint")
+
+
+def twips_to_points(t: Column) -> Column:
+    return t / F.lit(20.0)
+
+
+def emu_to_points(e: Column) -> Column:
+    return e / F.lit(12700.0)
+
+
 def twips_to_emu(t: Column) -> Column:
     return t.cast("bigint") * 635
 
@@ -142,6 +157,23 @@ def font_name(name: Column, alternate: Column) -> Column:
     return F.coalesce(fits(name), fits(alternate))
 
 
+#: Languages of places whose pages have their headers 708 twips from the edge.
+NARROW_HEADERS = (1026, 1027, 1029, 1030, 1035, 1038, 1039, 1043, 1044, 1045, 1048, 1051, 1055, 1058, 1059, 1060, 1061, 1067, 1068, 1069, 1078, 1079, 1087, 1088, 1089, 1092, 2074)
+
+
 def header_distance(lid: Column) -> Column:
-    """The distance of headers from the edge, in twips: less where pages are A4 by custom of East Asia."""
-    return F.when(lid.isin(1041, 1042, 2052, 1028), 851).otherwise(720)
+    """The distance of headers and footers from the edge, in twips, where a section gives none."""
+    return F.when(lid == 1063, 567).when(lid.isin(*NARROW_HEADERS), 708).otherwise(720)
+
+
+def noteref(instruction: Column) -> Column:
+    """FTNREF fields under the name that they have now."""
+    return F.regexp_replace(instruction, r"^(\s*)(?i:FTNREF)(?=\s|$)", "$1NOTEREF")
+
+
+def place(raw: Column, names: dict[int, str]) -> Column:
+    """A frame's place: an alignment for some values, else twips, which are stored one up, after ``@``."""
+    out = F.concat(F.lit("@"), (F.when(raw > 32767, raw - 65536).otherwise(raw) - 1).cast("string"))
+    for value, name in names.items():
+        out = F.when(raw == value, name).otherwise(out)
+    return out

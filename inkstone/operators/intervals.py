@@ -65,12 +65,24 @@ def elementary(a: DataFrame, b: DataFrame, key: str, start: str = "cp_start", en
 
 
 def compose(a: DataFrame, b: DataFrame, key: str, a_value: str, b_value: str, start: str = "cp_start", end: str = "cp_end") -> DataFrame:
-    """Both values on every elementary interval; null where a side has a gap. Sides must not overlap themselves."""
-    pieces = elementary(a, b, key, start, end)
-    for side, value in ((a, a_value), (b, b_value)):
-        spans = side.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"), value)
-        pieces = pieces.join(spans, (F.col(key) == F.col("__k")) & (F.col("__s") <= F.col(start)) & (F.col(end) <= F.col("__e")), "left").drop("__k", "__s", "__e")
-    return pieces.filter(F.col(a_value).isNotNull() | F.col(b_value).isNotNull())
+    """Both values on every elementary interval; null where a side has a gap. Sides must not overlap themselves. A span is
+    a place where its value begins and one where it ends; places of one key are sorted once, and each carries the last
+    state of either side, so that no span meets another."""
+
+    def places(df: DataFrame, value: str, other: DataFrame, other_value: str, mine: int) -> DataFrame:
+        held = df.filter(F.col(start) < F.col(end))
+        none = F.lit(None).cast(f"struct<opens: int, v: {dict(other.dtypes)[other_value]}>")
+        begins, ends = F.struct(F.lit(1).alias("opens"), F.col(value).alias("v")), F.struct(F.lit(0).alias("opens"), F.lit(None).cast(dict(df.dtypes)[value]).alias("v"))
+        both = held.select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), begins.alias("s")), F.struct(F.col(end).alias("at"), ends.alias("s")))).alias("p"))
+        states = [F.col("p.s"), none] if mine == 0 else [none, F.col("p.s")]
+        return both.select(key, F.col("p.at").alias(start), states[0].alias("__a"), states[1].alias("__b"))
+
+    events = places(a, a_value, b, b_value, 0).union(places(b, b_value, a, a_value, 1)).repartition(key)
+    at = events.groupBy(key, start).agg(F.max_by("__a", F.col("__a.opens")).alias("__a"), F.max_by("__b", F.col("__b.opens")).alias("__b"))  # what begins comes after what ends
+    w = Window.partitionBy(key).orderBy(start)
+    carried = at.withColumn(end, F.lead(start).over(w)).withColumn("__a", F.last("__a", ignorenulls=True).over(w)).withColumn("__b", F.last("__b", ignorenulls=True).over(w))
+    out = carried.filter(F.col(end).isNotNull()).select(key, start, end, F.col("__a.v").alias(a_value), F.col("__b.v").alias(b_value))
+    return out.filter(F.col(a_value).isNotNull() | F.col(b_value).isNotNull())
 
 
 def islands(df: DataFrame, key: list[str], order: list[str], same: list[str], number: str = "island") -> DataFrame:

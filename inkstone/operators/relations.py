@@ -78,12 +78,48 @@ def bracket_depth(df: DataFrame, key: list[str], order: list[str], opens: Column
 
 def grid(df: DataFrame, key: str, row: str, left: str, right: str) -> DataFrame:
     """Columns of a table whose rows have cells at arbitrary boundaries: each boundary's rank among all of its table, and
-    how many grid columns each cell spans."""
-    edges = df.select(key, F.explode(F.array(left, right)).alias("edge")).distinct().withColumn("column", F.row_number().over(Window.partitionBy(key).orderBy("edge")) - 1)
-    a, b = (edges.select(F.col(key).alias("__k"), F.col("edge").alias("__e"), F.col("column").alias(n)) for n in ("first", "limit"))
-    out = df.join(a, (F.col(key) == F.col("__k")) & (F.col(left) == F.col("__e"))).drop("__k", "__e")
-    out = out.join(b, (F.col(key) == F.col("__k")) & (F.col(right) == F.col("__e"))).drop("__k", "__e")
-    return out.withColumn("span", F.col("limit") - F.col("first")).drop("limit")
+    how many grid columns each cell spans. One shuffle by table: a cell is there with both its edges, these are ranked
+    together, and the right one finds its cell's left one beside it."""
+    cells = df.withColumn("__cell", F.monotonically_increasing_id())
+    both = cells.withColumn("__edge", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(left).cast("bigint").alias("at")), F.struct(F.lit(1).alias("side"), F.col(right).cast("bigint").alias("at")))))
+    ranked = both.withColumn("__rank", F.dense_rank().over(Window.partitionBy(key).orderBy("__edge.at")) - 1)
+    pair = Window.partitionBy(key, "__cell")
+    at = lambda side: F.max(F.when(F.col("__edge.side") == side, F.col("__rank"))).over(pair)
+    return ranked.withColumn("first", at(0)).withColumn("span", at(1) - F.col("first")).filter("__edge.side = 0").drop("__cell", "__edge", "__rank")
+
+
+def merged_cells(df: DataFrame, key: list[str], order: list[str], goes_on: Column, width: Column) -> DataFrame:
+    """Cells that go on with the one before, added to it: ``cell`` counts those that begin, with their ``width`` and how many
+    grid columns they ``span``. The first cell of a row begins one whatever it says."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.when(goes_on & (F.count(F.lit(1)).over(w) > 1), 0).otherwise(1)
+    cells = df.withColumn("__width", width).withColumn("cell", F.sum(begins).over(w))
+    return cells.groupBy(*key, "cell").agg(F.sum("__width").alias("width"), F.count("*").alias("span"))
+
+
+def list_numbers(df: DataFrame, key: list[str], order: list[str], level: str, levels: int) -> DataFrame:
+    """The number of each list item on every level, ``n1`` and so on: an item raises its own level's number, and the numbers
+    of deeper levels start again after it."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df
+    for k in range(1, levels + 1):
+        if k > 1:  # an item of a level above begins a new stretch
+            out = out.withColumn(f"__above{k}", F.sum((F.col(level) < k).cast("bigint")).over(w))
+            own = Window.partitionBy(*key, f"__above{k}").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        else:
+            own = w
+        out = out.withColumn(f"n{k}", F.sum((F.col(level) == k).cast("bigint")).over(own))
+    return out.drop(*(f"__above{k}" for k in range(2, levels + 1)))
+
+
+def picture_differences(df: DataFrame, key: str, a: str, b: str, top: float = 255.0) -> DataFrame:
+    """How far two pictures of one size, each an array of pixels, are from each other: mean absolute and root mean square
+    error, and structural similarity over the whole."""
+    pixels = df.select(key, F.explode(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y"))).alias("p")).select(key, F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    x, y, c1, c2 = F.avg("x"), F.avg("y"), F.lit((0.01 * top) ** 2), F.lit((0.03 * top) ** 2)
+    alike = (2 * x * y + c1) * (2 * F.covar_pop("x", "y") + c2) / ((x * x + y * y + c1) * (F.var_pop("x") + F.var_pop("y") + c2))
+    off = F.col("x") - F.col("y")
+    return pixels.groupBy(key).agg(F.round(F.avg(F.abs(off)), 6).alias("mae"), F.round(F.sqrt(F.avg(off * off)), 6).alias("rmse"), F.round(alike, 6).alias("ssim"))
 
 
 def positional(refs: DataFrame, texts: DataFrame, key: str, order: list[str], value: str, ref_name: str, text_name: str) -> DataFrame:
@@ -105,11 +141,16 @@ def bracket_match(df: DataFrame, key: list[str], order: list[str], opens: str, v
     return nexts.filter(opens).withColumn("partner", F.when(~F.col("__opens"), F.col("__next"))).drop("__next", "__opens")
 
 
-def contained_2d(inner: DataFrame, outer: DataFrame, key: str, ident: str, slack: int = 0) -> DataFrame:
-    """Rectangles (l, r, t, u) of ``inner`` that lie within another one of ``outer`` of the same key."""
+def contained_2d(inner: DataFrame, outer: DataFrame, key: str, ident: str, slack: int = 0, width: int = 256) -> DataFrame:
+    """Rectangles (l, r, t, u) of ``inner`` that lie within another one of ``outer`` of the same key. An outer one is there
+    once for each stretch of ``width`` that it covers, an inner one where its left edge is, so that a key with many
+    rectangles meets by neighbourhood and not as a whole."""
+    stretch = lambda c: F.floor(c / F.lit(float(width))).cast("bigint")
     o = outer.select(F.col(key).alias("__k"), F.col(ident).alias("__id"), *[F.col(c).alias(f"__{c}") for c in "lrtu"])
+    o = o.withColumn("__at", F.explode(F.sequence(stretch(F.col("__l")), F.greatest(stretch(F.col("__l")), stretch(F.col("__r") + slack)))))
     within = (F.col("__l") <= F.col("l")) & (F.col("r") <= F.col("__r") + slack) & (F.col("__t") <= F.col("t")) & (F.col("u") <= F.col("__u"))
-    return inner.join(o, (F.col(key) == F.col("__k")) & (F.col(ident) != F.col("__id")) & within, "left_semi")
+    on = (F.col(key) == F.col("__k")) & (stretch(F.col("l")) == F.col("__at")) & (F.col(ident) != F.col("__id")) & within
+    return inner.join(o, on, "left_semi")
 
 
 def range_overrides(cells: DataFrame, ranges: DataFrame, key: list[str], cell: str, low: str, high: str, order: str, value: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, relational, scalar_queries, streams, text_model  # noqa: F401
+from . import documents, formats, relational, scalar_queries, streams, text_model  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "entry"]

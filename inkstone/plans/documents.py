@@ -41,26 +41,26 @@ def _locked(cipher: str) -> Callable[[str | None], bytes]:
     return lambda text: builder.document(_story(text), password="open sesame", cipher=cipher)
 
 
-def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse(made(table(spark, sf_dir, "documents"), _plain, "doc_id", ["text"]), "doc_id")
+def parsed_documents(spark: SparkSession, sf_dir: str, *relations: str) -> DataFrame:
+    return parse.parse(made(table(spark, sf_dir, "documents"), _plain, "doc_id", ["text"]), "doc_id", relations=relations)
 
 
 @query(f"WITH {PARAGRAPHS} SELECT doc_id, ix, p AS text FROM paras")
 def doc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parse.relation(parsed_documents(spark, sf_dir), "paragraphs", "doc_id")
+    p = parse.relation(parsed_documents(spark, sf_dir, "paragraphs"), "paragraphs", "doc_id")
     return p.select("doc_id", F.col("ix").cast("bigint").alias("ix"), "text")
 
 
 @query(f"WITH {PARAGRAPHS} SELECT doc_id, count(*) AS paragraphs, max(len(p)) AS longest FROM paras GROUP BY doc_id")
 def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = F.transform("paragraphs", lambda p: F.length(p["text"]))
-    return parsed_documents(spark, sf_dir).select("doc_id", F.size("paragraphs").cast("bigint").alias("paragraphs"), F.array_max(sizes).cast("bigint").alias("longest"))
+    return parsed_documents(spark, sf_dir, "paragraphs").select("doc_id", F.size("paragraphs").cast("bigint").alias("paragraphs"), F.array_max(sizes).cast("bigint").alias("longest"))
 
 
 def _opened(cipher: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         locked = made(table(spark, sf_dir, "documents"), _locked(cipher), "doc_id", ["text"])
-        found = parse.parse(locked, "doc_id", password="open sesame")
+        found = parse.parse(locked, "doc_id", password="open sesame", relations=("paragraphs", "encrypted"))
         return found.select("doc_id", F.size("paragraphs").cast("bigint").alias("paragraphs"), F.md5(F.array_join(F.transform("paragraphs", lambda p: p["text"]), "\n")).alias("digest"), "encrypted")
 
     run.__name__ = f"doc_opened_{cipher}"
@@ -73,7 +73,7 @@ doc_opened_xor, doc_opened_rc4, doc_opened_capi = (_opened(c) for c in ("xor", "
 @query("SELECT doc_id, 'failed' AS status, 'NeedsPassword' AS error_class FROM documents")
 def doc_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     locked = made(table(spark, sf_dir, "documents"), _locked("xor"), "doc_id", ["text"])
-    return parse.parse(locked, "doc_id").select("doc_id", "status", "error_class")
+    return parse.parse(locked, "doc_id", relations=()).select("doc_id", "status", "error_class")
 
 
 def _chat(turns: list[dict]) -> bytes:
@@ -92,7 +92,7 @@ def _chat(turns: list[dict]) -> bytes:
 @query("SELECT conv_id, 1::BIGINT AS tables, count(*) AS table_rows, (2 * count(*))::BIGINT AS cells, sum(1 + len(string_split(coalesce(text, ''), chr(10))))::BIGINT AS paragraphs FROM conversations GROUP BY conv_id")
 def doc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    found = parse.parse(made(turns, _chat, "conv_id", ["turns"]), "conv_id")
+    found = parse.parse(made(turns, _chat, "conv_id", ["turns"]), "conv_id", relations=("nodes",))
     of = lambda kind: F.size(F.filter("nodes", lambda n: n["kind"] == kind)).cast("bigint")
     return found.select("conv_id", of("table").alias("tables"), of("row").alias("table_rows"), of("cell").alias("cells"), of("paragraph").alias("paragraphs"))
 
@@ -105,7 +105,7 @@ def _linked(url: str | None, page: int | None) -> bytes:
 UNION ALL SELECT page_id, 'DDE', 'DDE server', false, 'Page ' || page_id || ': here and there' FROM pages""")
 def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("page", F.col("page_id"))
-    found = parse.parse(made(pages, _linked, "page_id", ["url", "page"]), "page_id")
+    found = parse.parse(made(pages, _linked, "page_id", ["url", "page"]), "page_id", relations=("paragraphs", "fields"))
     each = found.select("page_id", F.element_at("paragraphs", 1)["text"].alias("text"), F.inline("fields"))
     return each.select("page_id", "field_type", "instruction", "live", "text")
 
@@ -125,9 +125,9 @@ def _formatted(name: str | None, brand: str | None, size: int | None) -> bytes:
 
 
 @query("""SELECT p_partkey, 0 AS paragraph, p_name AS text, true AS bold, false AS italic, 20 AS half_points, NULL::VARCHAR AS bookmark FROM part
-UNION ALL SELECT p_partkey, 1, p_brand, false, true, p_size, 'b' || p_size FROM part""")
+UNION ALL SELECT p_partkey, 1, p_brand, false, true, CASE WHEN p_size < 2 THEN 20 ELSE p_size END, 'b' || p_size FROM part""")
 def doc_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parse.parse(made(table(spark, sf_dir, "part"), _formatted, "p_partkey", ["p_name", "p_brand", "p_size"]), "p_partkey")
+    found = parse.parse(made(table(spark, sf_dir, "part"), _formatted, "p_partkey", ["p_name", "p_brand", "p_size"]), "p_partkey", relations=("bookmarks", "inlines"))
     each = found.select("p_partkey", F.element_at("bookmarks", 1).alias("mark"), F.inline("inlines"))
     on = lambda k: F.coalesce(F.col("props")[k] == "true", F.lit(False))
     return each.select(
@@ -145,13 +145,13 @@ def _noted(name: str | None, comment: str | None) -> bytes:
 @query("SELECT n_nationkey, n_name AS text, n_regionkey::VARCHAR AS note, n_name AS title FROM nation")
 def doc_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").withColumn("note", F.col("n_regionkey").cast("string"))
-    found = parse.parse(made(nations, _noted, "n_nationkey", ["n_name", "note"]), "n_nationkey")
+    found = parse.parse(made(nations, _noted, "n_nationkey", ["n_name", "note"]), "n_nationkey", relations=("paragraphs", "notes", "core_properties"))
     return found.select("n_nationkey", F.element_at("paragraphs", 1)["text"].alias("text"), F.element_at("notes", 1)["text"].alias("note"), F.col("core_properties")["title"].alias("title"))
 
 
 @query("SELECT count(*) AS file_count, count(*) AS succeeded, 0::BIGINT AS failed, 0::BIGINT AS warning_count FROM documents")
 def doc_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.batch_summary(parsed_documents(spark, sf_dir))
+    return parse.batch_summary(parsed_documents(spark, sf_dir, "stats"))
 
 
 def _torn(text: str | None, doc_id: int | None) -> bytes:
@@ -163,13 +163,13 @@ def _torn(text: str | None, doc_id: int | None) -> bytes:
 @query("SELECT coalesce(error_class, 'none') AS error_class, count(*) AS n FROM (SELECT CASE doc_id % 3 WHEN 1 THEN 'NotCompound' WHEN 2 THEN 'CorruptCompound' END AS error_class FROM documents) GROUP BY ALL")
 def doc_error_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("nth", F.col("doc_id"))
-    found = parse.parse(made(docs, _torn, "doc_id", ["text", "nth"]), "doc_id")
+    found = parse.parse(made(docs, _torn, "doc_id", ["text", "nth"]), "doc_id", relations=())
     return found.groupBy(F.coalesce("error_class", F.lit("none")).alias("error_class")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, n, true AS sound FROM (WITH " + PARAGRAPHS.strip() + " SELECT doc_id, count(*) AS n FROM paras GROUP BY doc_id)")
 def doc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made_ = docx.packages(parsed_documents(spark, sf_dir), "doc_id")
+    made_ = docx.packages(parsed_documents(spark, sf_dir, *docx._NEEDED), "doc_id")
 
     @F.arrow_udf("bigint")
     def paragraphs(files: pa.Array) -> pa.Array:

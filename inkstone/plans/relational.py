@@ -52,10 +52,12 @@ def style_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chain(spark, nodes, "id", "parent", ["brand", "kind"]).select("id", "depth", "brand", "kind")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even((l_partkey * 3 + l_linenumber) / 2.0, 0)::BIGINT AS x, round_even(l_quantity * l_linenumber / 4.0, 0)::BIGINT AS y FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(100 + (l_quantity - 1) * (l_linenumber * 37) / 8.0, 0)::BIGINT AS x,
+  CASE WHEN l_suppkey % 3 > 0 THEN round_even((l_partkey - l_linenumber) * 200 / (l_suppkey % 3)::DOUBLE, 0)::BIGINT END AS y FROM lineitem""")
 def group_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.bround((F.col("l_partkey") * 3 + F.col("l_linenumber")) / F.lit(2.0)).cast("bigint")
-    y = F.bround(F.col("l_quantity") * F.col("l_linenumber") / F.lit(4.0)).cast("bigint")
+    lit = lambda v: F.lit(v).cast("double")
+    x = S.affine(F.col("l_quantity"), (lit(1), lit(9)), (lit(100), lit(100) + F.col("l_linenumber") * 37))
+    y = S.affine(F.col("l_partkey").cast("double"), (F.col("l_linenumber").cast("double"), F.col("l_linenumber") + (F.col("l_suppkey") % 3).cast("double")), (lit(0), lit(200)))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", x.alias("x"), y.alias("y"))
 
 
@@ -121,15 +123,11 @@ def anti_missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.missing(part, used, part["p_partkey"] == used["l_partkey"])
 
 
-_TIMES = """WITH s AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS b, event_type FROM events),
-e AS (SELECT * FROM s WHERE b IS NOT NULL)"""
-
-
-@query(_TIMES + """ SELECT i.event_id AS inner_id, o.event_id AS outer_id FROM (SELECT user_id, event_id, a, a + 1 AS b FROM e WHERE event_type = 'error') i JOIN (SELECT user_id, event_id, a, a + 7200000000 AS b FROM e WHERE event_type = 'view') o
+@query("""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS a FROM events)
+SELECT i.event_id AS inner_id, o.event_id AS outer_id FROM (SELECT user_id, event_id, a, a + 1 AS b FROM e WHERE event_type = 'error') i JOIN (SELECT user_id, event_id, a, a + 7200000000 AS b FROM e WHERE event_type = 'view') o
 ON i.user_id = o.user_id AND o.a <= i.a AND i.b <= o.b""")
 def contain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("a"), F.lead("ts").over(w).alias("next")).filter("next IS NOT NULL")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("a"))
     inner = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("inner_id"), F.col("a").alias("i0"), (F.col("a") + 1).alias("i1"))
     outer = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("outer_id"), F.col("a").alias("o0"), (F.col("a") + 7_200_000_000).alias("o1"))
     return I.contain_join(inner, outer, "user_id", ("i0", "i1"), ("o0", "o1")).select("inner_id", "outer_id")
@@ -144,12 +142,12 @@ def grid_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.grid(b, "k", "row", "l", "r").select("k", "l_linenumber", "l_partkey", "l_suppkey", F.col("first").cast("bigint").alias("first"), F.col("span").cast("bigint").alias("span"))
 
 
-@query("""WITH m AS (SELECT l_orderkey, l_quantity, sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END) OVER w AS cell FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))
+@query("""WITH m AS (SELECT l_orderkey, l_quantity, sum(CASE WHEN l_returnflag = 'N' AND n > 1 THEN 0 ELSE 1 END) OVER w AS cell FROM (SELECT *, row_number() OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING))
 SELECT l_orderkey, cell::BIGINT AS cell, sum(l_quantity)::BIGINT AS width, count(*) AS span FROM m GROUP BY l_orderkey, cell""")
 def merge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", F.sum(F.when(F.col("l_returnflag") == "N", 0).otherwise(1)).over(w).alias("cell"))
-    return cells.groupBy("l_orderkey", "cell").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("width"), F.count("*").alias("span"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return R.merged_cells(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, F.col("l_returnflag") == "N", F.col("l_quantity").cast("bigint"))
 
 
 @query("""SELECT count(*) AS file_count, (count(*) FILTER (WHERE html LIKE '<!DOCTYPE html>%'))::BIGINT AS succeeded, (count(*) FILTER (WHERE html IS NULL OR html NOT LIKE '<!DOCTYPE html>%'))::BIGINT AS failed,
@@ -234,19 +232,19 @@ def language_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE WHEN v = 0 THEN 'auto' WHEN l_returnflag = 'A' THEN 'auto' WHEN v < 0 THEN 'exact' ELSE 'atLeast' END AS spacing,
   CASE WHEN i = 0 OR i = -2047 THEN NULL ELSE abs(i) END AS list_id,
-  CASE WHEN (l_partkey * 7 + 500) // 1000 * 15 BETWEEN 15 AND 31680 THEN (l_partkey * 7 + 500) // 1000 * 15 END AS scaled,
+  CASE WHEN (l_partkey * 7 + 500) // 1000 BETWEEN 15 AND 31680 THEN (l_partkey * 7 + 500) // 1000 END AS scaled, l_linenumber / 20.0::DOUBLE AS points,
   l_linenumber::BIGINT * 635 AS emu, ((l_partkey & 65535) >> 10) & 7 AS sgc, [1, 1, 2, 4, 2, 2, -1, 3][((l_partkey & 65535) >> 13) + 1] AS operand
 FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN -l_linenumber ELSE l_linenumber - 1 END AS v, l_linenumber - 3 AS i FROM lineitem)""")
 def paragraph_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     v = F.when(F.col("l_linestatus") == "F", -F.col("l_linenumber")).otherwise(F.col("l_linenumber") - 1)
     code = F.col("l_partkey").bitwiseAND(F.lit(65535).cast("bigint"))
-    step = F.expr("(l_partkey * 7 + 500) div 1000") * 15
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         S.line_spacing(v, F.col("l_returnflag") == "A").alias("spacing"),
         S.list_index(F.col("l_linenumber") - 3).alias("list_id"),
-        F.when(step.between(15, 31680), step).alias("scaled"),
+        S.scaled(F.col("l_partkey"), F.lit(7)).alias("scaled"),
+        S.twips_to_points(F.col("l_linenumber")).alias("points"),
         S.twips_to_emu(F.col("l_linenumber")).alias("emu"),
         S.sprm_group(code).alias("sgc"),
         S.sprm_size(code).alias("operand"),
@@ -260,14 +258,14 @@ def toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", S.toggle(b, F.col("c_acctbal") > 0).alias("bold"))
 
 
-@query("""WITH l AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 2 ELSE 3 END AS level, o_orderdate FROM orders)
-SELECT o_custkey, o_orderkey, (count(*) FILTER (WHERE level = 1) OVER w)::VARCHAR || '.' || (count(*) FILTER (WHERE level = 2) OVER w)::VARCHAR || ')' AS label
-FROM l WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
+@query("""WITH l AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 2 ELSE 3 END AS level, o_orderdate FROM orders),
+a AS (SELECT *, count(*) FILTER (WHERE level = 1) OVER w AS n1, count(*) FILTER (WHERE level < 3) OVER w AS above FROM l WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))
+SELECT o_custkey, o_orderkey, n1::VARCHAR || '.' || (count(*) FILTER (WHERE level = 2) OVER (PARTITION BY o_custkey, n1 ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))::VARCHAR
+  || '.' || (count(*) FILTER (WHERE level = 3) OVER (PARTITION BY o_custkey, above ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))::VARCHAR || ')' AS label FROM a""")
 def list_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).alias("level"))
-    numbers = [F.sum((F.col("level") == k).cast("bigint")).over(w) for k in (1, 2)]
-    return o.select("o_custkey", "o_orderkey", S.list_label(F.lit("%1.%2)"), numbers).alias("label"))
+    numbered = R.list_numbers(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "level", 3)
+    return numbered.select("o_custkey", "o_orderkey", S.list_label(F.lit("%1.%2.%3)"), [F.col(f"n{k}") for k in (1, 2, 3)]).alias("label"))
 
 
 @query("""SELECT n_name, p.k AS bookmark FROM nation JOIN (SELECT DISTINCT lower(r_name) AS k FROM region UNION SELECT lower(n_name) FROM nation WHERE n_regionkey > 1) p ON lower(n_name) = p.k""")

@@ -35,11 +35,12 @@ def adjust_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("p_partkey", *[F.col("a")[k].alias(f"a{k}") for k in range(3)])
 
 
-@query("""SELECT p_partkey, CASE p_size WHEN 0 THEN 'decimal' WHEN 1 THEN 'upperRoman' WHEN 2 THEN 'lowerRoman' WHEN 3 THEN 'upperLetter' WHEN 4 THEN 'lowerLetter' WHEN 5 THEN 'ordinal'
-  WHEN 6 THEN 'cardinalText' WHEN 7 THEN 'ordinalText' WHEN 8 THEN 'hex' WHEN 9 THEN 'chicago' WHEN 22 THEN 'decimalZero' WHEN 23 THEN 'bullet' WHEN 57 THEN 'numberInDash' ELSE 'unsupported' END AS format FROM part""")
+@query("""SELECT p_partkey, coalesce(string_split('decimal upperRoman lowerRoman upperLetter lowerLetter ordinal cardinalText ordinalText hex chicago ideographDigital japaneseCounting aiueo iroha decimalFullWidth decimalHalfWidth japaneseLegal japaneseDigitalTenThousand decimalEnclosedCircle decimalFullWidth2 '
+  || 'aiueoFullWidth irohaFullWidth decimalZero bullet ganada chosung decimalEnclosedFullstop decimalEnclosedParen decimalEnclosedCircleChinese ideographEnclosedCircle ideographTraditional ideographZodiac ideographZodiacTraditional taiwaneseCounting ideographLegalTraditional taiwaneseCountingThousand taiwaneseDigital '
+  || 'chineseCounting chineseLegalSimplified chineseCountingThousand decimal koreanDigital koreanCounting koreanLegal koreanDigital2 hebrew1 arabicAlpha hebrew2 arabicAbjad hindiVowels hindiConsonants hindiNumbers hindiCounting thaiLetters thaiNumbers thaiCounting vietnameseCounting numberInDash russianLower russianUpper', ' ')[p_size + 10], 'unsupported') AS format FROM part""")
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.broadcast(dims.number_formats(spark))  # the codes of the format: a fixed size
-    part = table(spark, sf_dir, "part").join(named, F.col("p_size") == F.col("code"), "left")
+    part = table(spark, sf_dir, "part").join(named, F.col("p_size") + 9 == F.col("code"), "left")
     return part.select("p_partkey", F.coalesce("name", F.lit("unsupported")).alias("format"))
 
 
@@ -57,6 +58,48 @@ def secondary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("user_id", F.array_join(F.transform("e", lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("sizes"))
 
 
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def keep_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.keep_last(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("""SELECT s_suppkey, CASE WHEN v IS NULL THEN '@' || CASE WHEN r > 32767 THEN r - 65537 ELSE r - 1 END ELSE v END AS x FROM (SELECT s_suppkey, r, CASE r WHEN 0 THEN 'left' WHEN 65532 THEN 'center' WHEN 65528 THEN 'right' WHEN 65524 THEN 'inside' WHEN 65520 THEN 'outside' END AS v
+  FROM (SELECT s_suppkey, ([0, 65532, 65528, 65524, 65520, s_suppkey * 3, 65000 + s_suppkey])[s_suppkey % 7 + 1] AS r FROM supplier))""")
+def frame_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    raw = F.element_at(F.array(*(F.lit(v).cast("bigint") for v in (0, 65532, 65528, 65524, 65520)), key * 3, key + 65000), (key % 7 + 1).cast("int"))
+    names = {0: "left", 65532: "center", 65528: "right", 65524: "inside", 65520: "outside"}
+    return table(spark, sf_dir, "supplier").select("s_suppkey", S.place(raw, names).alias("x"))
+
+
+@query("""SELECT page_id, ins, regexp_replace(ins, '^(\\s*)(?i:FTNREF)(\\s|$)', '\\1NOTEREF\\2') AS said FROM (SELECT page_id, unnest(['FTNREF a' || page_id || ' \\h', ' ftnref b', 'FTNREFS c', 'REF FTNREF', 'FTNREF']) AS ins FROM pages)""")
+def field_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = F.array(F.concat(F.lit("FTNREF a"), F.col("page_id").cast("string"), F.lit(" \\h")), *(F.lit(x) for x in (" ftnref b", "FTNREFS c", "REF FTNREF", "FTNREF")))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(some).alias("ins")).withColumn("said", S.noteref(F.col("ins")))
+
+
+@query("SELECT c_custkey, CASE WHEN lid = 1063 THEN 567 WHEN lid IN (1026, 1027, 1029, 1030, 1035, 1038, 1039, 1043, 1044, 1045, 1048, 1051, 1055, 1058, 1059, 1060, 1061, 1067, 1068, 1069, 1078, 1079, 1087, 1088, 1089, 1092, 2074) THEN 708 ELSE 720 END AS twips FROM (SELECT c_custkey, 1024 + c_custkey % 80 AS lid FROM customer)")
+def header_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", S.header_distance(F.col("c_custkey") % 80 + 1024).alias("twips"))
+
+
+@query("SELECT s_suppkey, id, regexp_full_match(id, '[A-Za-z.][A-Za-z0-9.]{0,38}') AS valid FROM (SELECT s_suppkey, unnest(['Word.Document.' || s_suppkey, s_suppkey || '.x', '', repeat('a', s_suppkey), 'a b', '.x']) AS id FROM supplier)")
+def prog_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    some = F.array(F.concat(F.lit("Word.Document."), key), F.concat(key, F.lit(".x")), F.lit(""), F.repeat(F.lit("a"), F.col("s_suppkey").cast("int")), F.lit("a b"), F.lit(".x"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(some).alias("id")).withColumn("valid", S.ole_prog_id(F.col("id")))
+
+
+@query("""WITH v AS (SELECT p.vec_id, p.embedding AS a, q.embedding AS b FROM embeddings p JOIN embeddings q ON q.vec_id = p.vec_id + 1),
+x AS (SELECT vec_id, unnest(a)::DOUBLE AS a, unnest(b)::DOUBLE AS b FROM v)
+SELECT vec_id, round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse,
+  round((2 * avg(a) * avg(b) + 6.5025) * (2 * covar_pop(a, b) + 58.5225) / ((avg(a) * avg(a) + avg(b) * avg(b) + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)), 6) AS ssim FROM x GROUP BY vec_id""")
+def page_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return R.picture_differences(e.join(other, "vec_id").select("vec_id", F.col("embedding").alias("a"), "b"), "vec_id", "a", "b")
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT l_partkey) AS variants FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.conflicts(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey"))

@@ -65,6 +65,27 @@ def _pages(runs: list[tuple[int, int, int, bytes]], paragraphs: bool) -> list[tu
     return out
 
 
+def field_table(text: str, flags: int = 0) -> bytes:
+    """The table of the field marks of a text: types of links, ends with what the marks themselves say and ``flags``."""
+    units = text.encode("utf-16-le", "surrogatepass")
+    marks, stack, records = [], [], []
+    for cp in range(len(units) // 2):
+        c = units[2 * cp] if not units[2 * cp + 1] else 0
+        if c == 0x13:
+            stack.append(False)
+            records.append(bytes([c, 88]))
+        elif c == 0x14 and stack:
+            stack[-1] = True
+            records.append(bytes([c, 255]))
+        elif c == 0x15 and stack:
+            parted = stack.pop()
+            records.append(bytes([c, flags | 0x80 * parted | 0x40 * bool(stack)]))
+        else:
+            continue
+        marks.append(cp)
+    return _plc([*marks, len(units) // 2 + 1], records) if marks and not stack else b""
+
+
 def document(
     text: str | list[str],
     stories: dict[str, str] | None = None,
@@ -134,6 +155,9 @@ def document(
             word += struct.pack("<H", len(mods)) + mods
         table["sections"] = _plc([section_mods[0][0], *(s[1] for s in section_mods)], seds)
     table["pieces"] = clx
+    whole = "".join([text] if isinstance(text, str) else text)
+    if "fields_main" not in table and (made := field_table(whole)):
+        table["fields_main"] = made
     blob, slots = bytearray(), {}
     lead = {"rc4": ciphers.rc4_header, "capi": ciphers.capi_header}.get(cipher)
     head = lead(password, b"saltsaltsaltsalt", b"verifierverifier") if password is not None and lead else b""

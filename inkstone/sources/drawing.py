@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 from .errors import CorruptDocument, TooLarge, part, take
@@ -49,13 +50,186 @@ def colour(value: int | None) -> str | None:
 
 def polygon(data: bytes) -> list[tuple[int, int]]:
     """Vertices of a wrap polygon, inside a square of 21600, halves to the even neighbour."""
-    count, _, size = take(data, "HHH", 0)
-    fmt, width = ("hh", 4) if size == 0xFFF0 or size == 4 else ("ii", 8)
-    points = [take(data, fmt, 6 + width * k) for k in range(count)]
-    if not points:
+    corners = points(data)
+    if not corners:
         return []
-    (x0, y0), (x1, y1) = (tuple(f(p[i] for p in points) for i in (0, 1)) for f in (min, max))
-    return [(round((x - x0) * 21600 / max(1, x1 - x0)), round((y - y0) * 21600 / max(1, y1 - y0))) for x, y in points]
+    (x0, y0), (x1, y1) = (tuple(f(p[i] for p in corners) for i in (0, 1)) for f in (min, max))
+    return [(round((x - x0) * 21600 / max(1, x1 - x0)), round((y - y0) * 21600 / max(1, y1 - y0))) for x, y in corners]
+
+
+def points(data: bytes) -> list[tuple[int, int]]:
+    """An array of points, of two or four bytes each way."""
+    count, _, size = take(data, "HHH", 0)
+    fmt, width = ("hh", 4) if size in (0xFFF0, 4) else ("ii", 8)
+    return [take(data, fmt, 6 + width * k) for k in range(count)]
+
+
+def path(o: dict[int, int | bytes]) -> tuple[str, str] | None:
+    """(path, extent) of a shape's own geometry, in its own space: vertices taken by segments. Nothing where a segment is of
+    a kind that has no equal, or where vertices are left over or lacking."""
+    vertices, segments = o.get(0x145), o.get(0x146)
+    if not isinstance(vertices, bytes) or not isinstance(segments, bytes) or len(segments) < 6:
+        return None
+    count, room, size = take(segments, "HHH", 0)
+    left, top, right, bottom = (o.get(k, d) for k, d in ((0x140, 0), (0x141, 0), (0x142, 21600), (0x143, 21600)))
+    if not 1 <= count <= min(room, 4096) or size != 2 or len(segments) != 6 + 2 * count or right <= left or bottom <= top:
+        return None
+    rest, out = iter([(x - left, y - top) for x, y in points(vertices)]), []
+
+    def some(n: int) -> str | None:
+        taken = [p for _, p in zip(range(n), rest)]
+        return ",".join(f"{x},{y}" for x, y in taken) if len(taken) == n else None
+
+    for segment in take(segments, f"{count}H", 6):
+        kind, n = segment >> 13, segment & 0x1FFF
+        if kind in (0, 1, 2):  # lines, curves, a move
+            each = [some(n or 1)] if kind == 0 else [some(3) for _ in range(n or 1)] if kind == 1 else [some(1)]
+            if None in each:
+                return None
+            out += ["lcm"[kind] + e for e in each]
+        elif kind in (3, 4):
+            out.append("xe"[kind - 3])
+        elif kind == 7 or segment & 0xFF:
+            return None
+        else:
+            out += {10: ["nf"], 11: ["ns"]}.get(segment >> 8 & 31, [])
+    if next(rest, None) is not None or not out:
+        return None
+    return "".join(out) + ("" if out[-1] == "e" else "e"), f"{right - left},{bottom - top}"
+
+
+_COMPOUND = ("single", "thinThin", "thickThin", "thinThick", "thickBetweenThin")
+_DASHES = ("solid", "shortdash", "shortdot", "shortdashdot", "shortdashdotdot", "dot", "dash", "longdash", "dashdot", "longdashdot", "longdashdotdot")
+_HEADS = ("none", "block", "classic", "diamond", "oval", "open")
+
+
+def look(o: dict[int, int | bytes]) -> tuple[dict, bool]:
+    """How a shape is filled, drawn and set, and whether that is only an approximation."""
+    rough = False
+
+    def number(key: int, default: int, most: int | None = None) -> int:
+        nonlocal rough
+        v = o.get(key, default)
+        if not isinstance(v, int) or (most is not None and not 0 <= v <= most):
+            rough = True
+            return default
+        return v
+
+    def named(key: int, names: tuple[str, ...], default: int) -> str:
+        nonlocal rough
+        v = number(key, default)
+        rough |= not 0 <= v < len(names)
+        return names[v] if 0 <= v < len(names) else names[default]
+
+    def switched(key: int, bit: int) -> bool:
+        v = number(key, 0)
+        return bool(v >> bit & 1) if v >> 16 + bit & 1 else True
+
+    def shade(key: int, default: str) -> str:
+        nonlocal rough
+        v = o.get(key)
+        if v is None:
+            return default
+        found = colour(v)
+        rough |= found is None
+        return found or default
+
+    out: dict = {"filled": switched(0x1BF, 4), "lined": switched(0x1FF, 3)}
+    if out["filled"]:
+        rough |= number(0x180, 0) != 0
+        out |= {"fill": shade(0x181, "FFFFFF"), "fill_opacity": number(0x182, 0x10000, 0x10000)}
+    if out["lined"]:
+        rough |= number(0x1C4, 0) != 0
+        out |= {"line": shade(0x1C0, "000000"), "line_opacity": number(0x1C1, 0x10000, 0x10000), "line_width_emu": number(0x1CB, 9525, 20116800), "line_style": named(0x1CD, _COMPOUND, 0), "line_dash": named(0x1CE, _DASHES, 0)}
+        out |= {"line_join": named(0x1D6, ("bevel", "miter", "round"), 2), "line_cap": named(0x1D7, ("round", "square", "flat"), 2)}
+        for which, head, width, length in (("start", 0x1D0, 0x1D2, 0x1D3), ("end", 0x1D1, 0x1D4, 0x1D5)):
+            out |= {f"{which}_arrow": named(head, _HEADS, 0), f"{which}_arrow_width": named(width, ("narrow", "medium", "wide"), 1), f"{which}_arrow_length": named(length, ("short", "medium", "long"), 1)}
+    for side, key, default in (("left", 0x81, 91440), ("top", 0x82, 45720), ("right", 0x83, 91440), ("bottom", 0x84, 45720)):
+        out[f"inset_{side}_emu"] = number(key, default, 20116800)
+    if 0x390 in o or 0x391 in o or 0x392 in o or 0x393 in o:
+        out |= {f"distance_{side}_emu": max(0, number(0x390 + k, 0)) for k, side in enumerate(("left", "top", "right", "bottom"))}
+    return out, rough
+
+
+def adjusts(o: dict[int, int | bytes]) -> str | None:
+    """A shape's adjustments, with gaps where one is not given."""
+    values = [str(v) if isinstance(v := o.get(0x147 + k), int) else "" for k in range(8)]
+    while values and not values[-1]:
+        values.pop()
+    return ",".join(values) or None
+
+
+#: Preset shapes that have an equal where documents are drawn today.
+PRESETS = frozenset([*range(1, 17), *range(20, 24), *range(53, 56), 57, 59, 60, *range(64, 74), 75, 77, 78, 80, 81, 82, *range(84, 89), 92, 93, 94, 96, 97, *range(102, 106), 107, 108, *range(109, 121), 122, *range(125, 135), 176, 177, *range(183, 188), *range(189, 201)])
+
+
+def line_like(s: dict) -> bool:
+    """A straight line, or a shape of no kind that is drawn and not filled, as connectors in groups are."""
+    return s.get("type") == 20 or (not s.get("type") and s["look"]["lined"] and not s["look"]["filled"])
+
+
+def floating(anchors: list[dict], drawn: list[dict], boxes: dict[int, str], stored: int, tally: Counter) -> list[dict]:
+    """What floats over each place of the text: text boxes, pictures and shapes, those in groups mapped through the frames
+    of all groups around them. ``kind`` says what becomes of each; groups that show nothing are kept as ``group``."""
+    known: dict[int, dict] = {}
+    for d in drawn:
+        known.setdefault(d["shape_id"], d)
+    parents = {d["parent"] for d in known.values() if d["parent"] is not None}
+    placed_at: dict[int, dict | None] = {a["shape_id"]: a for a in anchors}
+
+    def at(number: int, seen: frozenset[int]) -> dict | None:
+        if number in placed_at or number in seen:
+            return placed_at.get(number)
+        d = known.get(number)
+        group = known.get(d["parent"]) if d and d["parent"] is not None else None
+        outer = at(d["parent"], seen | {number}) if group and "anchor" in d and "frame" in group else None
+        made = None
+        if outer and group["frame"][2] != group["frame"][0] and group["frame"][3] != group["frame"][1]:
+            left, top, right, bottom = placed(d["anchor"], group["frame"], (outer["l"], outer["t"], outer["r"], outer["b"]))
+            made = outer | {"shape_id": number, "l": left, "t": top, "r": right, "b": bottom}
+        placed_at[number] = made
+        return made
+
+    out, own = [], {a["shape_id"] for a in anchors}
+    for number in [*own, *(n for n in known if n not in own)]:
+        a, d = at(number, frozenset()), known.get(number, {})
+        if a is None:
+            if number in boxes:
+                tally["TEXTBOX_WITHOUT_PLACE"] += 1
+            continue
+        style, rough = d.get("look", {}), d.get("rough", False)
+        s = a | {k: d.get(k) for k in ("type", "parent", "rotation", "image", "fill", "line", "flip_h", "flip_v", "adjusts")} | {"path": None, "coordsize": None, "style": {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in style.items()}, "text": boxes.get(number)}
+        if number in boxes:
+            s["kind"] = "textbox"
+        elif d.get("image") is not None:
+            s["kind"] = "picture"
+        elif d and line_like(d):
+            s["kind"] = "line"
+            if number not in own:
+                tally["GROUPED_FLOATING_LINES_UNGROUPED"] += 1
+        elif d.get("type") in PRESETS:
+            s["kind"] = "shape"
+        elif found := path(d.get("options", {})):
+            s |= {"kind": "shape", "path": found[0], "coordsize": found[1]}
+        elif len(d.get("polygon", [])) > 2:
+            first, *rest = d["polygon"]
+            s |= {"kind": "shape", "path": f"m{first[0]},{first[1]}l" + ",".join(f"{x},{y}" for x, y in rest) + "xe", "coordsize": "21600,21600"}
+            tally["FLOATING_SHAPE_GEOMETRY_APPROXIMATED"] += 1
+        elif number in parents:
+            s["kind"] = "frame" if style.get("filled") else "group"
+            if s["kind"] == "frame":
+                tally["GROUPED_FLOATING_FRAME_FLATTENED"] += 1
+        else:
+            s["kind"] = "deferred"
+            tally["FLOATING_SHAPE_TYPES_DEFERRED"] += 1
+        if rough and s["kind"] in ("shape", "line", "textbox"):
+            tally["FLOATING_SHAPE_STYLE_APPROXIMATED"] += 1
+        out.append(s)
+    out.sort(key=lambda s: (s["story"], s["anchor_cp"], s["shape_id"]))
+    shown = [(s["story"], s["anchor_cp"]) for s in out if s["kind"] == "picture" and s["shape_id"] in own]
+    if len(set(shown)) != len(shown):
+        raise CorruptDocument("two floating pictures have one place")
+    return out
 
 
 def shape(data: bytes, at: int, end: int) -> dict:
@@ -77,7 +251,9 @@ def shape(data: bytes, at: int, end: int) -> dict:
         "line": None if lined & 0x80000 and not lined & 0x8 else colour(o.get(0x1C0)),
         "line_width_emu": o.get(0x1CB),
         "polygon": polygon(o[0x383]) if isinstance(o.get(0x383), bytes) else [],
+        "adjusts": adjusts(o),
     }
+    out["look"], out["rough"] = look(o)
     return out
 
 

@@ -7,6 +7,7 @@ no model. Bytes are read only of files within the size limit, which the scan che
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +23,8 @@ from . import word as W
 from .ciphers import unlock
 from .compound import MAX_FILE, Compound, build
 from .errors import CorruptDocument, DocumentError
-from .story import Paragraph, Spans, assemble, read
+from . import tables as R
+from .story import Names, Paragraph, Place, Spans, assemble, binary_fields, field_ends, read
 
 _I, _L, _S, _B = pa.int32(), pa.int64(), pa.string(), pa.bool_()
 _PROPS = pa.map_(_S, _S)
@@ -42,20 +44,23 @@ MODEL = pa.schema([
     ("paragraphs", _list(story=_S, ix=_I, cp_start=_I, cp_end=_I, text=_S, depth=_I, style_id=_I, props=_PROPS)),
     ("inlines", _list(story=_S, paragraph=_I, ix=_I, kind=_S, text=_S, cp=_I, props=_PROPS)),
     ("nodes", _list(story=_S, path=pa.list_(_I), kind=_S, depth=_I, paragraph=_I)),
-    ("fields", _list(story=_S, begin_cp=_I, sep_cp=_I, end_cp=_I, depth=_I, field_type=_S, instruction=_S, live=_B)),
-    ("bookmarks", _list(id=_I, name=_S, cp_start=_I, cp_end=_I, story=_S)),
+    ("table_rows", _list(story=_S, path=pa.list_(_I), grid_before=_I, grid_after=_I, edges=pa.list_(_I), props=_PROPS, cells=pa.list_(pa.struct([("ix", _I), ("width", _I), ("span", _I), ("props", _PROPS)])))),
+    ("tables", _list(story=_S, path=pa.list_(_I), columns=pa.list_(_I), props=_PROPS)),
+    ("fields", _list(story=_S, begin_cp=_I, sep_cp=_I, end_cp=_I, depth=_I, field_type=_S, instruction=_S, live=_B, fate=_S, locked=_B, dirty=_B)),
+    ("bookmarks", _list(id=_I, name=_S, cp_start=_I, cp_end=_I, column_first=_I, column_last=_I, story=_S)),
     ("notes", _list(kind=_S, id=_I, ref_cp=_I, text=_S)),
-    ("comments", _list(id=_I, ref_cp=_I, author=_S, initials=_S, text=_S)),
+    ("comments", _list(id=_I, ref_cp=_I, author=_S, initials=_S, text=_S, range_start=_I, range_end=_I)),
     ("sections", _list(ix=_I, cp_start=_I, cp_end=_I, props=_PROPS)),
-    ("section_stories", _list(section=_I, slot=_S, text=_S)),
+    ("section_stories", _list(section=_I, slot=_S, story=_S, text=_S)),
     ("styles", _list(id=_I, kind=_S, name=_S, based_on=_I, next_style=_I, chp=_PROPS, pap=_PROPS)),
+    ("table_conditions", _list(style=_I, condition=_S, chp=_PROPS, pap=_PROPS, row=_PROPS)),
     ("fonts", _list(ix=_I, name=_S)),
-    ("lists", _list(list_id=_I, level=_I, start=_I, format=_I, text=_S)),
-    ("list_uses", _list(id=_I, list_id=_I)),
-    ("shapes", _list(story=_S, anchor_cp=_I, shape_id=_L, l=_I, t=_I, r=_I, b=_I, wrap=_I, behind=_B, type=_I, parent=_L, rotation=pa.float64(), image=_I, fill=_S, line=_S, text=_S)),
+    ("lists", _list(list_id=_I, name=_S, kind=_S, level=_I, start=_I, format=_I, text=_S, align=_S, suffix=_S, legal=_B, restart_after=_I, chp=_PROPS, pap=_PROPS)),
+    ("list_uses", _list(id=_I, list_id=_I, overrides=pa.list_(pa.struct([("level", _I), ("start", _I), ("format", _I), ("text", _S)])))),
+    ("shapes", _list(story=_S, anchor_cp=_I, shape_id=_L, l=_I, t=_I, r=_I, b=_I, wrap=_I, behind=_B, x_from=_S, y_from=_S, side=_I, locked=_B, kind=_S, type=_I, parent=_L, rotation=pa.float64(), flip_h=_B, flip_v=_B, image=_I, fill=_S, line=_S, path=_S, coordsize=_S, adjusts=_S, style=_PROPS, text=_S)),
     ("pictures", _list(id=_I, cp=_I, format=_S, width_twips=_I, height_twips=_I, data=pa.binary())),
     ("images", _list(id=_I, format=_S, data=pa.binary())),
-    ("ole_objects", _list(name=_S, size=_L, content=pa.binary())),
+    ("ole_objects", _list(name=_S, size=_L, content=pa.binary(), object_id=_I, anchor_cp=_I)),
     ("core_properties", pa.map_(_S, _S)),
     ("settings", pa.map_(_S, _S)),
     ("diagnostics", _list(severity=_S, code=_S, n=_L)),
@@ -65,32 +70,90 @@ STATUS = [("status", _S), ("error_class", _S), ("error_message", _S)]
 _SLOTS = ("even_header", "odd_header", "even_footer", "odd_footer", "first_header", "first_footer")
 
 
+def _text(v: object) -> str:
+    return str(v).lower() if isinstance(v, bool) else ",".join(map(str, v)) if isinstance(v, list) else str(v)
+
+
 def _props(values: dict) -> dict[str, str]:
-    return {k: (str(v).lower() if isinstance(v, bool) else str(v)) for k, v in values.items()}
+    return {k: _text(v) for k, v in values.items() if k not in ("row", "tabs")} | ({"tabs": ";".join(":".join(str(x) for x in t if x is not None) for t in values["tabs"])} if "tabs" in values else {})
+
+
+class _Texts:
+    """Property maps as text, each made once: runs share the maps of their format."""
+
+    def __init__(self) -> None:
+        self.made: dict[int, tuple[dict, dict]] = {}
+
+    def __call__(self, values: dict) -> dict[str, str]:
+        if id(values) not in self.made:
+            self.made[id(values)] = values, _props(values)  # the map is held, so that its id is not used again
+        return self.made[id(values)][1]
+
+
+_FONTS = {"font_ascii": 0x4A4F, "font_east_asia": 0x4A50, "font_other": 0x4A51, "font_cs": 0x4A5E}
+
+
+def _named(props: dict, typefaces: list[str], unknown: set[int]) -> dict:
+    """Fonts by name in place of their number; a number that no font has is dropped and counted."""
+    out = dict(props)
+    for key, opcode in _FONTS.items():
+        if isinstance(k := out.get(key), int):
+            if k < len(typefaces):
+                out[key] = typefaces[k]
+            else:
+                del out[key]
+                unknown.add(opcode)
+    if (symbol := out.get("symbol")) and symbol.partition(":")[0].isdigit():
+        k, _, code = symbol.partition(":")
+        if int(k) < len(typefaces):
+            out["symbol"] = f"{typefaces[int(k)]}:{code}"
+        else:
+            del out["symbol"]
+            unknown.add(0x6A09)
+    return out
 
 
-def _styled(runs: list, baseline, text_spans: list, sheet: dict, prms: dict, unknown: set[int]) -> list[tuple[int, int, dict]]:  # noqa: ANN001
-    """Character properties by position. A run is cut where the paragraph style below it changes, in order."""
+def _styled(runs: list, baseline, cuts: list[int], sheet: dict, prms: dict, typefaces: list[str], unknown: set[int]) -> list[tuple[int, int, dict]]:  # noqa: ANN001
+    """Character properties by position. A run is cut where the paragraph style below it may change (``cuts``, in order)."""
     out: list[tuple[int, int, dict]] = []
+    known: dict[tuple, dict] = {}
     for start, end, mods, piece in runs:
-        inner = sorted({start, end, *(a for a, b, _ in text_spans if start < a < end), *(b for a, b, _ in text_spans if start < b < end)})
+        inner = [start, *cuts[bisect_right(cuts, start) : bisect_left(cuts, end)], end]
         for a, b in zip(inner, inner[1:]):
-            below = sheet.get(baseline(a), ({}, {}))[0]
-            named = next((struct.unpack("<H", x[1])[0] for x in mods if x[0] == 0x4A30), None)
-            own = below | sheet.get(named, ({}, {}))[0] if named is not None else below
-            props = M.fold_character(mods, own, own, unknown)
-            extra = prms.get(piece)
-            if extra:  # a piece's modifiers come after the run's
-                props = M.fold_character(extra, props, own, unknown)
-            if out and out[-1][1] == a and out[-1][2] == props:
-                out[-1] = (out[-1][0], b, props)
+            style, extra = baseline(a), prms.get(piece)
+            key = style, id(mods), id(extra)
+            props = known.get(key)
+            if props is None:
+                below = sheet.get(style, ({}, {}))[0]
+                named = next((struct.unpack("<H", x[1])[0] for x in mods if x[0] == 0x4A30), None)
+                own = below | sheet.get(named, ({}, {}))[0] if named is not None else below
+                props = M.fold_character(mods, own, own, unknown)
+                if extra:  # a piece's modifiers come after the run's
+                    props = M.fold_character(extra, props, own, unknown)
+                props = known[key] = _named(props, typefaces, unknown)
+            if out and out[-1][1] == a and (out[-1][2] is props or out[-1][2] == props):
+                out[-1] = (out[-1][0], b, out[-1][2])
             else:
                 out.append((a, b, props))
     return out
 
 
-def parse_document(data: bytes, password: str | None = None) -> dict:
-    """The model of one document; raises DocumentError for damage that could change its meaning."""
+_ROW_STRUCTURE = {"edges", "cells", "shadings", "margins", "widths", "default_margins", *(f"colors_{s}" for s in R.CELL_SIDES)}
+
+
+def _flat(row: dict) -> dict[str, str]:
+    own = {k: v for k, v in row.items() if k not in _ROW_STRUCTURE and v is not None}
+    return _props(own | {f"margin_{k}": v for k, v in row.get("default_margins", {}).items() if v is not None})
+
+
+_FIELD_SLOTS = {"main": "fields_main", "footnotes": "fields_footnotes", "headers": "fields_headers", "comments": "fields_comments", "endnotes": "fields_endnotes", "textboxes": "fields_textboxes", "header_textboxes": "fields_header_textboxes"}
+_SEPARATORS = ("footnote_separator", "footnote_continuation_separator", "footnote_continuation_notice", "endnote_separator", "endnote_continuation_separator", "endnote_continuation_notice")
+
+
+def parse_document(data: bytes, password: str | None = None, wanted: frozenset[str] | None = None) -> dict:
+    """The model of one document; raises DocumentError for damage that could change its meaning. Of the relations only
+    ``wanted`` ones are made, where some are named; a document is checked whole all the same."""
+    want = lambda *names: wanted is None or bool(wanted.intersection(names))
     file = Compound(data)
     word = file.read("WordDocument")
     base = W.header(word)
@@ -112,8 +175,9 @@ def parse_document(data: bytes, password: str | None = None) -> dict:
         stories[s] = (at, at + h.counts[s])
         at += h.counts[s]
 
+    typefaces = W.fonts(get("fonts"))
     sheet = W.styles(get("styles"))
-    styled = W.resolved(sheet, unknown)
+    styled = {k: (_named(c, typefaces, unknown), p) for k, (c, p) in W.resolved(sheet, unknown).items()}
     prms = {}
     for p in table:
         if p.prm & 1:
@@ -122,99 +186,168 @@ def parse_document(data: bytes, password: str | None = None) -> dict:
             prms[p.start] = shared[p.prm >> 1]
         elif p.prm:
             prms[p.start] = W.single(p.prm)
-    para_runs = W.to_positions(W.formatting(word, get("para_pages"), extra, True), table)
-    paras = []
-    for a, b, run, piece in para_runs:
-        own = styled.get(run.style, ({}, {}))[1]
-        props = M.fold_paragraph(prms.get(piece.start, []), M.fold_paragraph(run.mods, own | {"style_id": run.style}, unknown), unknown)
+    paras: list[tuple[int, int, dict]] = []
+    folded: dict[tuple, dict] = {}
+    for a, b, run, piece in W.to_positions(W.formatting(word, get("para_pages"), extra, True), table):
+        key = run.style, tuple(run.mods), piece.start if piece.start in prms else -1
+        props = folded.get(key)
+        if props is None:
+            own = styled.get(run.style, ({}, {}))[1]
+            props = folded[key] = M.fold_paragraph(prms.get(piece.start, []), M.fold_paragraph(run.mods, own | {"style_id": run.style}, unknown), unknown)
         paras.append((a, b, props))
     para_spans = Spans(paras, styled.get(0, ({}, {}))[1])
     char_runs = [(a, b, run.mods, piece.start) for a, b, run, piece in W.to_positions(W.formatting(word, get("char_pages"), extra, False), table)]
-    covered, gaps = 0, []
-    starts = {p.start: p for p in table}
-    for a, b, _, _ in [*char_runs, (len(text), len(text), [], 0)]:  # text without a run still has a style and a piece
+    covered, gaps, none = 0, [], []
+    firsts = [p.start for p in table]
+    for a, b, _, _ in [*char_runs, (len(text), len(text), none, 0)]:  # text without a run still has a style and a piece
         while covered < a:
-            piece = max(k for k in starts if k <= covered)
-            stop = min(a, starts[piece].end)
-            gaps.append((covered, stop, [], piece))
+            piece = table[bisect_right(firsts, covered) - 1]
+            stop = min(a, piece.end)
+            gaps.append((covered, stop, none, piece.start))
             covered = stop
         covered = max(covered, b)
-    chars = _styled(sorted([*char_runs, *gaps]), lambda cp: para_spans.at(cp).get("style_id", 0), paras, styled, prms, unknown)
+    cuts_at = sorted({c for a, b, _ in paras for c in (a, b)})
+    chars = _styled(sorted([*char_runs, *gaps], key=lambda r: r[0]), lambda cp: para_spans.at(cp).get("style_id", 0), cuts_at, styled, prms, typefaces, unknown)
     char_spans = Spans(chars, {})
 
     marks = W.bookmarks(get("bookmark_names"), get("bookmark_starts"), get("bookmark_ends"))
-    targets = {m["name"].casefold() for m in marks}
     foot, end = W.notes(get("footnote_refs"), get("footnote_texts")), W.notes(get("endnote_refs"), get("endnote_texts"))
-    said = W.comments(get("comment_refs"), get("comment_texts"), get("comment_owners"))
-    pictures = []
-    for a, _, props in chars:
-        if text[a : a + 1] == "\x01" and props.get("special") and "picture_location" in props and not props.get("data") and not props.get("ole"):
-            try:
-                pictures.append({"id": len(pictures) + 1, "cp": a, **D.inline_picture(extra, props["picture_location"])})
-            except DocumentError:  # one bad picture costs itself
-                tally["INLINE_PICTURE_INVALID"] += 1
+    ranges = W.comment_ranges(get("comment_tags"), get("comment_starts"), get("comment_ends"), tally)
+    said = W.comments(get("comment_refs"), get("comment_texts"), get("comment_owners"), ranges, tally)
+    options, repairs = W.settings(get("settings"), h.version)
+    for code in repairs:
+        tally[code] += 1
+    list_at = h.slots.get("lists", (0, 0))
+    abstract, used = W.lists(tables[list_at[0] :] if list_at[1] else b"", get("list_uses"), get("list_names"), tally)
+    names = Names(frozenset(m["name"].casefold() for m in marks), frozenset(s.name.casefold() for s in sheet.values()), frozenset(x["name"].casefold() for x in abstract if x["name"]))
+    ends: dict[int, int] = {}
+    for which, slot_name in _FIELD_SLOTS.items():
+        entries = W.fields(get(slot_name))
+        if entries:
+            ends |= field_ends(entries, text, stories[which][0], h.counts[which], lambda cp: char_spans.at(cp).get("special"), tally)
+
+    # Pictures and objects by what their marks say; binary data of some fields is no text.
+    pools = {int(p.rpartition("_")[2]): p for p, e in file.entries.items() if e.kind == "storage" and p.startswith("ObjectPool/_") and p.count("/") == 1 and p.rpartition("_")[2].isdigit()}
+    pictures, objects, ignored = [], [], set()
+    if "\x01" in text or pools:
+        around: dict[int, str] = {}
+        for a, b in stories.values():
+            if a < b:
+                around |= binary_fields(text, a, b)
+        for a, b, props in chars:
+            location = props.get("picture_location")
+            if location is None:
+                continue
+            for cp in range(a, b):
+                if text[cp] == "\x14" and pools:
+                    if location in pools:
+                        objects.append({"object_id": len(objects) + 1, "anchor_cp": cp, "storage": location})
+                    else:
+                        tally["OLE_OBJECT_STORAGE_MISSING"] += 1
+                elif text[cp] == "\x01" and props.get("special"):
+                    if props.get("data"):
+                        if around.get(cp) in ("HYPERLINK", "NOTEREF", "PAGEREF", "REF"):
+                            ignored.add(cp)
+                        else:
+                            tally["BINARY_FIELD_DATA_DEFERRED"] += 1
+                    elif not props.get("ole"):
+                        try:
+                            pictures.append({"id": len(pictures) + 1, "cp": cp, **D.inline_picture(extra, location)})
+                        except DocumentError:  # one bad picture costs itself
+                            tally["INLINE_PICTURE_INVALID"] += 1
+    placed_objects = {x["anchor_cp"]: x["object_id"] for x in objects}
+    if loose := set(pools) - {x["storage"] for x in objects}:
+        tally["OLE_OBJECTS_UNANCHORED"] += len(loose)
     drawn, images = D.drawings(get("drawing"), word)
     anchors = W.shapes(get("shapes_main"), "main") + W.shapes(get("shapes_headers"), "headers")
     refs = {n["ref_cp"]: (kind, k) for kind, some in (("footnote", foot), ("endnote", end), ("comment", said)) for k, n in enumerate(some, 1)}
-    refs |= {p["cp"]: ("picture", p["id"]) for p in pictures} | {s["anchor_cp"]: ("shape", s["shape_id"]) for s in anchors if s["story"] == "main"}
-    cuts = W.sections(get("sections"), word, unknown)
-    breaks = {s["cp_end"] for s in cuts[:-1]}
-
-    paragraphs, inlines, nodes, fields = [], [], [], []
-
-    def story(name: str, start: int, stop: int, keep: bool = True) -> str:
-        found, own = read(text, start, stop, char_spans, para_spans, refs if name == "main" else {}, targets, breaks, tally)
-        if keep:
-            first = len(paragraphs)
-            fields.extend({"story": name, **f} for f in own)
-            number: dict[int, int] = {}
-            for p in found:
-                if p.mark == "row":
-                    continue
-                number[id(p)] = len(paragraphs)
-                paragraphs.append({"story": name, "ix": len(paragraphs) - first, "cp_start": p.cp_start, "cp_end": p.cp_end, "text": p.text, "depth": p.depth, "style_id": p.props.get("style_id", 0), "props": _props({k: v for k, v in p.props.items() if k != "row"})})
-                inlines.extend({"story": name, "paragraph": len(paragraphs) - 1, "ix": k, "kind": r["kind"], "text": r["text"], "cp": r["cp"], "props": _props(r["props"])} for k, r in enumerate(p.runs))
-            nodes.extend({"story": name, "path": n["path"], "kind": n["kind"], "depth": len(n["path"]), "paragraph": number.get(id(n["item"])) if n["kind"] == "paragraph" else None} for n in assemble(found, tally))
+    refs |= {p["cp"]: ("picture", p["id"]) for p in pictures}
+    refs |= {stories[s["story"]][0] + s["anchor_cp"]: ("shape", s["shape_id"]) for s in reversed(anchors)}
+    cuts = W.sections(get("sections"), word, unknown, h.language, h.counts["main"], tally)
+    for c in cuts:
+        c["props"] = W.fallbacks(c["props"], options)
+    where = Place(char_spans, para_spans, refs, names, frozenset(s["cp_end"] for s in cuts[:-1]), ends, placed_objects, frozenset(ignored))
+
+    paragraphs, inlines, nodes, fields, grids, rows = [], [], [], [], [], []
+    texts = _Texts()
+    tabled = want("tables", "table_rows")
+
+    def story(name: str, start: int, stop: int) -> str:
+        found, own = read(text, start, stop, where, tally)
+        first = len(paragraphs)
+        fields.extend({"story": name, **f} for f in own)
+        number: dict[int, int] = {}
+        for p in found:
+            if p.mark == "row":
+                continue
+            number[id(p)] = len(paragraphs)
+            paragraphs.append({"story": name, "ix": len(paragraphs) - first, "cp_start": p.cp_start, "cp_end": p.cp_end, "text": p.text, "depth": p.depth, "style_id": p.props.get("style_id", 0), "props": texts(p.props)})
+            inlines.extend({"story": name, "paragraph": len(paragraphs) - 1, "ix": k, "kind": r["kind"], "text": r["text"], "cp": r["cp"], "props": texts(r["props"])} for k, r in enumerate(p.runs))
+        made = assemble(found, tally)
+        nodes.extend({"story": name, "path": n["path"], "kind": n["kind"], "depth": len(n["path"]), "paragraph": number.get(id(n["item"])) if n["kind"] == "paragraph" else None} for n in made)
+        if any(n["kind"] == "table" for n in made):
+            held = Counter(tuple(n["path"][:-1]) for n in made if n["kind"] == "cell")
+            lines: dict[tuple, list] = {}
+            for n in made:
+                if n["kind"] == "row":
+                    lines.setdefault(tuple(n["path"][:-1]), []).append((n["path"], n["item"].props.get("row", {})))
+            for path, some in lines.items():
+                columns = R.grid([r for _, r in some])
+                grids.append({"story": name, "path": list(path), "columns": columns, "props": _flat(R.floating(some[0][1])) if tabled else None})
+                for row_path, row in some:
+                    cells, warning = R.built(row, held[tuple(row_path)])
+                    if warning:
+                        tally[warning] += 1
+                    if tabled:
+                        before, after = R.spans(row.get("edges", []), cells, columns)
+                        rows.append({"story": name, "path": row_path, "grid_before": before, "grid_after": after, "edges": row.get("edges", []), "props": _flat(row), "cells": [{"ix": c["ix"], "width": c["width"], "span": c["span"], "props": _props({k: v for k, v in c.items() if v is not None and k not in ("ix", "width", "span")})} for c in cells]})
         return "\n".join(p.text for p in found if p.mark != "row")
 
     story("main", *stories["main"])
-    if "macros" in stories and h.counts["macros"]:
+    mains = len(paragraphs)
+    if h.counts["macros"]:
         tally["MACRO_TEXT_OMITTED"] += 1
 
-    def beside(which: str, a: int, b: int) -> str:
+    def beside(which: str, label: str, a: int, b: int) -> str:
         lo, hi = stories[which]
         if not lo <= lo + a <= lo + b <= hi:
             raise CorruptDocument(f"a text of {which} lies outside them")
-        return story(which, lo + a, lo + b, keep=False)
+        return story(label, lo + a, lo + b)
 
-    noted = [{"kind": kind, "id": k, "ref_cp": n["ref_cp"], "text": beside(which, n["text_start"], n["text_end"])} for kind, which, some in (("footnote", "footnotes", foot), ("endnote", "endnotes", end)) for k, n in enumerate(some, 1)]
-    remarks = [{"id": k, "ref_cp": c["ref_cp"], "author": c["author"], "initials": c["initials"], "text": beside("comments", c["text_start"], c["text_end"])} for k, c in enumerate(said)]
+    noted = [{"kind": kind, "id": k, "ref_cp": n["ref_cp"], "text": beside(which, f"{kind}:{k}", n["text_start"], n["text_end"])} for kind, which, some in (("footnote", "footnotes", foot), ("endnote", "endnotes", end)) for k, n in enumerate(some, 1)]
+    remarks = [{"id": k, "text": beside("comments", f"comment:{k}", c["text_start"], c["text_end"])} | {key: c[key] for key in ("ref_cp", "author", "initials", "range_start", "range_end")} for k, c in enumerate(said)]
     heads, _ = W.plc(get("headers"), 0)
-    placed = [{"section": (k - 6) // 6, "slot": _SLOTS[(k - 6) % 6], "text": beside("headers", a, b)} for k, (a, b) in enumerate(zip(heads, heads[1:])) if k >= 6 and a < b and (k - 6) // 6 < max(1, len(cuts))]
+    placed = []
+    if len(heads) > 2 and h.counts["headers"]:
+        whole = len(cuts) or 1
+        if len(heads) != 6 * (whole + 1) + 2:
+            raise CorruptDocument(f"{len(heads) - 2} header stories for {whole} sections")
+        for k, (a, b) in enumerate(zip(heads[:-1], heads[1:-1])):
+            if a == b:
+                continue
+            lo = stories["headers"][0]
+            if text[lo + b - 1 : lo + b] != "\r":
+                raise CorruptDocument(f"header story {k} has no guard paragraph")
+            slot_name = _SEPARATORS[k] if k < 6 else _SLOTS[(k - 6) % 6]
+            label = f"separator:{slot_name}" if k < 6 else f"header:{(k - 6) // 6}:{slot_name}"
+            said_there = beside("headers", label, a, b - 1)  # without the guard
+            placed.append({"section": (k - 6) // 6, "slot": slot_name, "story": label, "text": said_there})
+        for k, c in enumerate(cuts):  # a title page without headers of its own has empty ones
+            for side in ("header", "footer"):
+                own = {p["slot"] for p in placed if p["section"] == k}
+                if c["props"].get("title_page") and f"odd_{side}" in own and f"first_{side}" not in own:
+                    placed.append({"section": k, "slot": f"first_{side}", "story": None, "text": ""})
     for m in marks:
         m["story"] = next((s for s, (a, b) in stories.items() if a <= m["cp_start"] and m["cp_end"] <= b and a < b), None)
         if m["story"] is None:
             tally["BOOKMARK_DEFERRED"] += 1
-    list_at = h.slots.get("lists", (0, 0))
-    abstract, used = W.lists(tables[list_at[0] :] if list_at[1] else b"", get("list_uses"))
     boxes: dict[int, str] = {}
     for slot_name, which in (("textbox_texts", "textboxes"), ("header_textbox_texts", "header_textboxes")):
         at_, entries = W.plc(get(slot_name), 22)
         for k, e in enumerate(entries):
-            if (number := struct.unpack_from("<i", e, 14)[0]) > 0:
-                boxes.setdefault(number, beside(which, at_[k], at_[k + 1]))
-    known = {}
-    for d in drawn:
-        known.setdefault(d["shape_id"], d)
-    shapes = [s | {k: known.get(s["shape_id"], {}).get(k) for k in ("type", "parent", "rotation", "image", "fill", "line")} | {"text": boxes.get(s["shape_id"])} for s in anchors]
-    own = {s["shape_id"]: s for s in shapes}
-    for d in drawn:  # shapes inside an anchored group take its place, mapped through its frame
-        top = known.get(d["parent"])
-        if top and d["shape_id"] not in own and d["parent"] in own and "frame" in top and "anchor" in d:
-            g = own[d["parent"]]
-            left, upper, right, lower = D.placed(d["anchor"], top["frame"], (g["l"], g["t"], g["r"], g["b"]))
-            own[d["shape_id"]] = g | {k: d.get(k) for k in ("shape_id", "type", "parent", "rotation", "image", "fill", "line")} | {"l": left, "t": upper, "r": right, "b": lower, "text": boxes.get(d["shape_id"])}
-    shapes = sorted(own.values(), key=lambda s: (s["anchor_cp"], s["shape_id"]))
+            if (number := struct.unpack_from("<i", e, 14)[0]) > 0 and number not in boxes:
+                boxes[number] = beside(which, f"textbox:{number}", at_[k], at_[k + 1])
+    shapes = D.floating(anchors, drawn, boxes, len(images), tally)
     for s in shapes:
         if s["image"] is not None and not (0 < s["image"] <= len(images) and images[s["image"] - 1]):
             raise CorruptDocument(f"shape {s['shape_id']} shows an image that is not there")
@@ -223,58 +356,74 @@ def parse_document(data: bytes, password: str | None = None) -> dict:
     except DocumentError:
         core = {}
         tally["SUMMARY_INFORMATION_INVALID"] += 1
-    typefaces = W.fonts(get("fonts"))
     missing = {p["style_id"] for p in paragraphs if p["style_id"] and p["style_id"] not in sheet}
     if missing and sheet:
         tally["STYLE_MISSING"] += len(missing)
     if unknown:
         tally["UNSUPPORTED_MODIFIER"] += len(unknown)
-    objects = [{"name": p.rpartition("/")[2], "size": sum(e.size for q, e in file.entries.items() if q.startswith(f"{p}/")), "content": build(file.storage(p))} for p, e in file.entries.items() if e.kind == "storage" and p.startswith("ObjectPool/") and p.count("/") == 1]
-    kinds = Counter(n["kind"] for n in nodes)
+    by_storage: dict[int, dict] = {}
+    for x in objects:
+        by_storage.setdefault(x["storage"], x)
+    held_objects = [{"name": p.rpartition("/")[2], "size": sum(e.size for q, e in file.entries.items() if q.startswith(f"{p}/")), "content": build(file.storage(p)), "object_id": by_storage.get(n, {}).get("object_id"), "anchor_cp": by_storage.get(n, {}).get("anchor_cp")} for n, p in pools.items()] if want("ole_objects") else []
+    kinds, sorts, main = Counter(n["kind"] for n in nodes), Counter(i["kind"] for i in inlines), range(mains)
+    styles_of = Counter(s.kind for s in sheet.values())
+    formats = lambda key: sum(key in p["props"] for p in paragraphs)
     stats = {
-        "piece_count": len(table), "character_count": h.counts["main"], "paragraph_count": len(paragraphs), "table_count": kinds["table"], "table_row_count": kinds["row"], "table_cell_count": kinds["cell"], "field_count": len(fields), "live_field_count": sum(f["live"] for f in fields),
-        "bookmark_count": len(marks), "footnote_count": len(foot), "endnote_count": len(end), "comment_count": len(said), "section_count": len(cuts), "style_count": len(sheet), "font_count": len(typefaces), "list_count": len(abstract), "list_use_count": len(used), "shape_count": len(shapes), "picture_count": len(pictures), "image_count": len(images), "textbox_count": len(boxes),
-        "ole_object_count": len(objects), "header_footer_count": len(placed), "core_property_count": len(core), "char_span_count": len(chars), "para_span_count": len(paras), "tab_count": sum(i["kind"] == "tab" for i in inlines), "break_count": sum(i["kind"] in ("break", "page_break") for i in inlines),
-        "numbered_paragraph_count": sum("list_id" in p["props"] and p["props"]["list_id"] != "None" for p in paragraphs), "warning_count": sum(tally.values()), "unsupported_modifier_count": len(unknown),
+        "piece_count": len(table), "prc_count": len(shared), "character_count": h.counts["main"], "paragraph_count": mains, "all_paragraph_count": len(paragraphs), "table_count": kinds["table"], "table_row_count": kinds["row"], "table_cell_count": kinds["cell"], "nested_table_count": sum(n["kind"] == "table" and len(n["path"]) > 1 for n in nodes),
+        "field_count": len(fields), "live_field_count": sum(f["live"] for f in fields), "locked_field_count": sum(f["locked"] for f in fields), "dirty_field_count": sum(f["dirty"] for f in fields), "declared_field_count": len(ends), "hyperlink_count": sum(f["live"] and f["field_type"] == "HYPERLINK" for f in fields), "nested_field_count": sum(f["depth"] > 1 for f in fields),
+        "bookmark_count": len(marks), "column_bookmark_count": sum(m["column_first"] is not None for m in marks), "footnote_count": len(foot), "endnote_count": len(end), "comment_count": len(said), "comment_range_count": sum(c["range_start"] is not None for c in said), "comment_author_count": len({c["author"] for c in said}), "section_count": len(cuts), "title_page_section_count": sum(bool(c["props"].get("title_page")) for c in cuts), "multi_column_section_count": sum(c["props"].get("columns", 1) > 1 for c in cuts),
+        "landscape_section_count": sum(c["props"].get("orientation") == "landscape" for c in cuts), "page_border_section_count": sum("border_display" in c["props"] for c in cuts), "style_count": len(sheet), "paragraph_style_count": styles_of["paragraph"], "character_style_count": styles_of["character"], "table_style_count": styles_of["table"], "numbering_style_count": styles_of["numbering"], "conditional_table_style_count": sum(len(s.when) for s in sheet.values()),
+        "font_count": len(typefaces), "list_count": len(abstract), "list_level_count": sum(len(x["levels"]) for x in abstract), "list_use_count": len(used), "list_override_count": sum(len(u["overrides"]) for u in used), "named_list_count": sum(x["name"] is not None for x in abstract), "shape_count": len(shapes), "floating_picture_count": sum(s["kind"] == "picture" for s in shapes), "floating_shape_count": sum(s["kind"] in ("shape", "line", "frame") for s in shapes), "picture_count": len(pictures), "image_count": len(images), "textbox_count": len(boxes),
+        "ole_object_count": len(pools), "embedded_object_count": sorts["object"], "header_footer_count": sum(p["section"] >= 0 for p in placed), "note_separator_count": sum(p["section"] < 0 for p in placed), "core_property_count": len(core), "setting_count": len(options), "char_span_count": len(chars), "para_span_count": len(paras), "run_count": sorts["text"], "tab_count": sorts["tab"], "break_count": sorts["break"] + sorts["page_break"], "page_break_count": sorts["page_break"], "symbol_count": sorts["symbol"],
+        "no_break_hyphen_count": sorts["no_break_hyphen"], "soft_hyphen_count": sorts["soft_hyphen"], "numbered_paragraph_count": sum(p["props"].get("list_id", "None") != "None" for p in paragraphs), "heading_count": sum(p["props"].get("outline_level", "9") in "012345678" for p in paragraphs), "bordered_paragraph_count": sum(any(k.startswith("border_") for k in p["props"]) for p in paragraphs), "shaded_paragraph_count": formats("shading"), "framed_paragraph_count": sum(any(k.startswith("frame_") for k in p["props"]) for p in paragraphs), "tabbed_paragraph_count": formats("tabs"),
+        "drop_cap_count": sum(p["props"].get("drop_cap", "none") != "none" for p in paragraphs), "aligned_paragraph_count": formats("align"), "inserted_run_count": sum(i["props"].get("inserted") == "true" for i in inlines), "deleted_run_count": sum(i["props"].get("deleted") == "true" for i in inlines), "hidden_run_count": sum(i["props"].get("hidden") == "true" for i in inlines), "macro_character_count": h.counts["macros"], "footnote_character_count": h.counts["footnotes"], "header_character_count": h.counts["headers"],
+        "comment_character_count": h.counts["comments"], "endnote_character_count": h.counts["endnotes"], "textbox_character_count": h.counts["textboxes"], "header_textbox_character_count": h.counts["header_textboxes"], "entry_count": len(file.entries), "object_pool_anchor_count": len(objects), "ignored_field_data_count": len(ignored), "warning_count": sum(tally.values()), "warning_code_count": len(tally), "unsupported_modifier_count": len(unknown),
     }
-    return {
-        "version": h.version, "language": M.LANGUAGES.get(h.language), "encrypted": bool(base.flags & 0x100),
-        "entries": [{"path": e.path, "kind": e.kind, "size": e.size} for e in sorted(file.entries.values(), key=lambda e: e.path) if e.path],
-        "stories": [{"story": s, "cp_start": a, "cp_end": b} for s, (a, b) in stories.items() if a < b],
-        "pieces": [{"ix": k, "cp_start": p.start, "cp_end": p.end, "file_offset": p.offset, "compressed": p.narrow, "prm": p.prm} for k, p in enumerate(table)],
-        "char_spans": [{"cp_start": a, "cp_end": b, "props": _props(v)} for a, b, v in chars], "para_spans": [{"cp_start": a, "cp_end": b, "props": _props({k: x for k, x in v.items() if k != "row"})} for a, b, v in paras],
-        "paragraphs": paragraphs, "inlines": inlines, "nodes": nodes, "fields": fields, "bookmarks": [{"id": k, **m} for k, m in enumerate(marks)], "notes": noted, "comments": remarks,
-        "sections": [{"ix": k, "cp_start": s["cp_start"], "cp_end": s["cp_end"], "props": _props(s["props"])} for k, s in enumerate(cuts)], "section_stories": placed,
-        "styles": [{"id": s.number, "kind": s.kind, "name": s.name, "based_on": s.based_on, "next_style": s.next, "chp": _props(styled[s.number][0]), "pap": _props({k: v for k, v in styled[s.number][1].items() if k != "row"})} for s in sheet.values()],
-        "fonts": [{"ix": k, "name": f} for k, f in enumerate(typefaces)],
-        "lists": [{"list_id": x["list_id"], "level": k, **lv} for x in abstract for k, lv in enumerate(x["levels"])], "list_uses": used, "shapes": shapes, "pictures": pictures, "images": [{"id": k, "format": i[0], "data": i[1]} for k, i in enumerate(images, 1) if i], "ole_objects": objects,
-        "core_properties": core, "settings": _props(W.settings(get("settings"))),
-        "diagnostics": [{"severity": "warning", "code": k, "n": n} for k, n in sorted(tally.items())], "stats": stats,
+    for code in sorted(unknown):  # each by name, for the sorted list of what was not understood
+        stats[f"unsupported_0x{code:04X}"] = 1
+    few = {
+        "version": lambda: h.version, "language": lambda: M.LANGUAGES.get(h.language), "encrypted": lambda: bool(base.flags & 0x100),
+        "entries": lambda: [{"path": e.path, "kind": e.kind, "size": e.size} for e in sorted(file.entries.values(), key=lambda e: e.path) if e.path],
+        "stories": lambda: [{"story": s, "cp_start": a, "cp_end": b} for s, (a, b) in stories.items() if a < b],
+        "pieces": lambda: [{"ix": k, "cp_start": p.start, "cp_end": p.end, "file_offset": p.offset, "compressed": p.narrow, "prm": p.prm} for k, p in enumerate(table)],
+        "char_spans": lambda: [{"cp_start": a, "cp_end": b, "props": texts(v)} for a, b, v in chars], "para_spans": lambda: [{"cp_start": a, "cp_end": b, "props": texts(v)} for a, b, v in paras],
+        "paragraphs": lambda: paragraphs, "inlines": lambda: inlines, "nodes": lambda: nodes, "table_rows": lambda: rows, "tables": lambda: grids, "fields": lambda: fields, "bookmarks": lambda: [{"id": k, **m} for k, m in enumerate(marks)], "notes": lambda: noted, "comments": lambda: remarks,
+        "sections": lambda: [{"ix": k, "cp_start": s["cp_start"], "cp_end": s["cp_end"], "props": _props(s["props"])} for k, s in enumerate(cuts)], "section_stories": lambda: placed,
+        "styles": lambda: [{"id": s.number, "kind": s.kind, "name": s.name, "based_on": s.based_on, "next_style": s.next, "chp": _props(styled[s.number][0]), "pap": _props(styled[s.number][1])} for s in sheet.values()],
+        "table_conditions": lambda: [{"style": s.number, "condition": when, "chp": _props(_named(M.fold_character(some.get("chp", []), {}, {}, set()), typefaces, set())), "pap": _props(M.fold_paragraph(some.get("pap", []), {}, set())), "row": _flat(M.fold_paragraph(some.get("tap", []), {}, set()).get("row", {}))} for s in sheet.values() for when, some in s.when.items()],
+        "fonts": lambda: [{"ix": k, "name": f} for k, f in enumerate(typefaces)],
+        "lists": lambda: [{"list_id": x["list_id"], "name": x["name"], "kind": x["kind"], "level": k, **lv, "chp": _props(_named(lv["chp"], typefaces, set())), "pap": _props(lv["pap"])} for x in abstract for k, lv in enumerate(x["levels"])],
+        "list_uses": lambda: [{"id": u["id"], "list_id": u["list_id"], "overrides": [{"level": o["level"], "start": o["replaced"]["start"] if o["replaced"] else o["start"], "format": o["replaced"] and o["replaced"]["format"], "text": o["replaced"] and o["replaced"]["text"]} for o in u["overrides"]]} for u in used],
+        "shapes": lambda: shapes, "pictures": lambda: pictures, "images": lambda: [{"id": k, "format": i[0], "data": i[1]} for k, i in enumerate(images, 1) if i], "ole_objects": lambda: held_objects,
+        "core_properties": lambda: core, "settings": lambda: _props(options), "diagnostics": lambda: [{"severity": "warning", "code": k, "n": n} for k, n in sorted(tally.items())], "stats": lambda: stats,
     }
+    return {k: make() for k, make in few.items() if want(k)}
 
 
-def tried(data: bytes | None, password: str | None) -> dict:
+def tried(data: bytes | None, password: str | None, wanted: frozenset[str] | None = None) -> dict:
     """The model with its status; what no check foresaw is damage as well."""
     try:
-        return {"status": "ok", **parse_document(data or b"", password)}
+        return {"status": "ok", **parse_document(data or b"", password, wanted)}
     except DocumentError as e:
         return {"status": "failed", "error_class": type(e).__name__, "error_message": str(e)}
     except (IndexError, KeyError, ValueError, struct.error, OverflowError, RecursionError) as e:
         return {"status": "failed", "error_class": "CorruptDocument", "error_message": f"{type(e).__name__}: {e}"}
 
 
-def parse(docs: DataFrame, key: str = "path", content: str = "content", password: str | None = None) -> DataFrame:
-    """``docs(key, content)`` with the model of each document; other columns are left out."""
+def parse(docs: DataFrame, key: str = "path", content: str = "content", password: str | None = None, relations: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs(key, content)`` with the model of each document; other columns are left out. ``relations`` names the columns
+    of the model to make, all by default: what a query does not read is not built."""
     kind = docs.select(key).schema[0]
-    schema = pa.schema([*STATUS, *MODEL])
+    schema = pa.schema([*STATUS, *(f for f in MODEL if relations is None or f.name in relations)])
+    wanted = None if relations is None else frozenset(relations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bodies = batch.column(0), batch.column(1)
             for i in range(0, batch.num_rows, 32):  # few models at a time: each is many times its bytes
-                some = [tried(b.as_py(), password) for b in bodies[i : i + 32]]
-                made = pa.Table.from_pylist(some, schema).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([keys[i : i + 32], *made.columns], [key, *schema.names])
+                some = [tried(b.as_py(), password, wanted) for b in bodies[i : i + 32]]
+                columns = [pa.array([d.get(f.name) for d in some], f.type) for f in schema]
+                yield pa.RecordBatch.from_arrays([keys[i : i + 32], *columns], [key, *schema.names])
 
     return docs.select(key, content).mapInArrow(run, StructType([kind, *from_arrow_schema(schema).fields]))
 

@@ -5,20 +5,25 @@ Everything here is a function of bytes; nothing keeps state between documents.
 
 from __future__ import annotations
 
+import re
 import struct
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
+from inkstone.functions.dims import NUMBER_FORMATS
+from inkstone.functions.scalars import NARROW_HEADERS
+
 from . import modifiers as M
-from .errors import CorruptDocument, NotWordDocument, UnsupportedVersion, part, take
+from .errors import CorruptDocument, NotWordDocument, TooLarge, UnsupportedVersion, part, take
 
 STORIES = ("main", "footnotes", "headers", "macros", "comments", "endnotes", "textboxes", "header_textboxes")
 _COUNTS = (3, 4, 5, 6, 7, 8, 9, 10)  # where the header counts the characters of each
 SLOTS = {
     "styles": 1, "footnote_refs": 2, "footnote_texts": 3, "comment_refs": 4, "comment_texts": 5, "sections": 6, "headers": 11, "char_pages": 12, "para_pages": 13, "fonts": 15, "fields_main": 16, "fields_headers": 17, "fields_footnotes": 18,
-    "fields_comments": 19, "bookmark_names": 21, "bookmark_starts": 22, "bookmark_ends": 23, "settings": 31, "pieces": 33, "comment_owners": 36, "shapes_main": 40, "shapes_headers": 41, "endnote_refs": 46, "endnote_texts": 47, "fields_endnotes": 48, "drawing": 50,
-    "textbox_texts": 56, "fields_textboxes": 57, "header_textbox_texts": 58, "lists": 73, "list_uses": 74, "list_names": 91,
+    "fields_comments": 19, "bookmark_names": 21, "bookmark_starts": 22, "bookmark_ends": 23, "settings": 31, "pieces": 33, "comment_owners": 36, "comment_tags": 37, "comment_starts": 42, "comment_ends": 43, "shapes_main": 40, "shapes_headers": 41, "endnote_refs": 46, "endnote_texts": 47, "fields_endnotes": 48, "drawing": 50,
+    "textbox_texts": 56, "fields_textboxes": 57, "header_textbox_texts": 58, "fields_header_textboxes": 59, "lists": 73, "list_uses": 74, "list_names": 91,
 }
 #: One-byte text is Latin-1 but for these.
 _BYTES = {0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021, 0x88: 0x02C6, 0x89: 0x2030, 0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022, 0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A, 0x9C: 0x0153, 0x9F: 0x0178}
@@ -143,10 +148,21 @@ def joined(text: str) -> tuple[str, int]:
     return "".join("�" if "\ud800" <= c <= "\udfff" else c for c in whole), lone
 
 
+def _pairs(codes: str, names: str) -> dict[int, int]:
+    return dict(zip((int(c, 16) for c in codes.split()), (int(n, 16) for n in names.split())))
+
+
+#: What the modifiers that a piece can carry itself are called elsewhere: breaks, paragraphs, characters.
+_SINGLE = (
+    _pairs("00 04 05 07 08 09 0C 0D 0E 0F", "2879 2602 2461 2405 2406 2407 260A 2470 240C 2471")
+    | _pairs("18 19 1D 25 2C 32 33 35 36 37 38 39 3A 78", "2416 2417 261B 2423 242A 2430 2431 2433 2434 2435 2436 2437 2438 2640")
+    | _pairs("43 47 4B 4D 4E 4F 50 51 53 5E 62 68 73 74 75 76", "0802 0806 080A 2A0C 0858 2859 0811 0818 2A33 2A3E 2A42 2A48 2A53 0854 0855 0856")
+)
+
+
 def single(prm: int) -> list[tuple[int, bytes]]:
     """The one modifier that a piece can carry itself, of those that character formatting has."""
-    named = {0x55 + k: 0x0835 + k for k in range(8)} | {0x05 + k: c for k, c in ((0, 0x2403), (2, 0x2405), (3, 0x2406), (4, 0x2407), (9, 0x240C))}
-    named |= {0x18: 0x2416, 0x19: 0x2417, 0x25: 0x2423} | {0x4C: 0x2A0C, 0x53: 0x2A33, 0x5E: 0x2A3E, 0x62: 0x2A42, 0x68: 0x2A48}
+    named = {0x55 + k: 0x0835 + k for k in range(8)} | _SINGLE
     code, value = prm >> 1 & 0x7F, prm >> 8
     return [(named[code], bytes([value]))] if code in named else []
 
@@ -233,6 +249,12 @@ class Style:
     next: int
     chp: list = field(default_factory=list)
     pap: list = field(default_factory=list)
+    tap: list = field(default_factory=list)
+    when: dict = field(default_factory=dict)
+
+
+#: Where in a table a part of its style holds.
+CONDITIONS = {1: "firstRow", 2: "lastRow", 4: "firstCol", 8: "lastCol", 16: "band1Vert", 32: "band2Vert", 64: "band1Horz", 128: "band2Horz", 256: "neCell", 512: "nwCell", 1024: "seCell", 2048: "swCell"}
 
 
 def styles(data: bytes) -> dict[int, Style]:
@@ -264,7 +286,16 @@ def styles(data: bytes) -> dict[int, Style]:
         elif kind == "character" and parts:
             s.chp = M.split(parts[0])
         elif kind == "table" and len(parts) > 2:
-            s.pap, s.chp = M.split(parts[1][2:]), M.split(parts[2])
+            s.tap, s.pap, s.chp = M.split(parts[0]), M.split(parts[1][2:]), M.split(parts[2])
+            for name, opcode in (("tap", 0xD662), ("pap", 0xC66C), ("chp", 0xCA85)):
+                mods = getattr(s, name)
+                for code, b in mods:
+                    if code == opcode:
+                        when = take(b, "H", 0)[0]
+                        if when not in CONDITIONS:
+                            raise CorruptDocument(f"a table style has condition {when:#06x}")
+                        s.when.setdefault(CONDITIONS[when], {}).setdefault(name, []).extend(M.split(b[2:]))
+                setattr(s, name, [m for m in mods if m[0] != opcode])
         out[number] = s
     return out
 
@@ -300,6 +331,9 @@ def strings(data: bytes) -> list[str]:
     return out
 
 
+_NOT_XML = re.compile("[^\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
 def fonts(data: bytes) -> list[str]:
     if not data:
         return []
@@ -309,7 +343,7 @@ def fonts(data: bytes) -> list[str]:
         size = take(data, "B", at)[0]
         record = part(data, at + 1, size)
         names = record[39:].decode("utf-16-le", "replace").split("\0")
-        out.append(next((n for n in names if n and n.isprintable()), f"Font{len(out)}"))
+        out.append(next((n for n in names if n and not _NOT_XML.search(n)), f"Font{len(out)}"))
         at += 1 + size
     return out
 
@@ -320,12 +354,17 @@ def bookmarks(names: bytes, starts: bytes, ends: bytes) -> list[dict]:
     b, _ = plc(ends, 0) if ends else ([], [])
     if len(records) != len(named) or (named and len(b) != len(named) + 1):
         raise CorruptDocument("bookmarks have more names than places")
-    out = []
+    out, used = [], set()
     for k, r in enumerate(records):
         i = struct.unpack("<H", r[:2])[0]
         if i >= len(named):
             raise CorruptDocument("a bookmark has no end")
-        out.append({"name": named[k], "cp_start": min(a[k], b[i]), "cp_end": max(a[k], b[i])})
+        bits = struct.unpack("<H", r[2:4])[0]
+        first, limit = (bits & 127, bits >> 8 & 63) if bits >> 15 else (None, None)
+        if i in used or bits & 0x80 or (first is not None and first >= limit):
+            raise CorruptDocument("a bookmark has another's end, or columns that are none")
+        used.add(i)
+        out.append({"name": named[k], "cp_start": min(a[k], b[i]), "cp_end": max(a[k], b[i]), "column_first": first, "column_last": None if limit is None else limit - 1})
     return out
 
 
@@ -335,12 +374,41 @@ def notes(refs: bytes, texts: bytes, each: int = 2) -> list[dict]:
     if not records:
         return []
     bounds, _ = plc(texts, 0)
-    if len(bounds) < len(records) + 1:
+    if len(bounds) != len(records) + 2:  # the last position closes no text
         raise CorruptDocument(f"{len(records)} references to {max(0, len(bounds) - 2)} notes")
     return [{"ref_cp": places[k], "text_start": bounds[k], "text_end": bounds[k + 1], "raw": r} for k, r in enumerate(records)]
 
 
-def comments(refs: bytes, texts: bytes, owners: bytes) -> list[dict]:
+def comment_ranges(tags: bytes, starts: bytes, ends: bytes, tally: Counter) -> dict[int, tuple[int, int]]:
+    """What part of the text each tag marks; a part that is empty is dropped."""
+    if not (tags or starts or ends):
+        return {}
+    wide, count, extra = take(tags, "HHH", 0)
+    if wide != 0xFFFF or extra != 10:
+        raise CorruptDocument("the tags of comments are no table of them")
+    named, at = [], 6
+    for _ in range(count):
+        n = take(tags, "H", at)[0]
+        named.append(take(tags, "Hii", at + 2 + 2 * n)[1])
+        at += 2 + 2 * n + extra
+    a, records = plc(starts, 4)
+    b, _ = plc(ends, 0)
+    if not len(named) == len(records) == len(b) - 1 or len(set(named)) != len(named):
+        raise CorruptDocument("comments have more tags than places")
+    out, used = {}, set()
+    for k, r in enumerate(records):
+        i, bits = struct.unpack("<HH", r)
+        if i >= len(records) or i in used or bits & 0x8080:
+            raise CorruptDocument("the place of a comment has no end of its own")
+        used.add(i)
+        if a[k] < b[i]:
+            out[named[k]] = a[k], b[i]
+        else:
+            tally["EMPTY_ANNOTATION_BOOKMARK_SKIPPED"] += 1
+    return out
+
+
+def comments(refs: bytes, texts: bytes, owners: bytes, ranges: dict[int, tuple[int, int]] | None = None, tally: Counter | None = None) -> list[dict]:
     authors, at = [], 0
     while at + 2 <= len(owners):
         n = take(owners, "H", at)[0]
@@ -348,26 +416,53 @@ def comments(refs: bytes, texts: bytes, owners: bytes) -> list[dict]:
             raise CorruptDocument("an author's name is too long")
         authors.append(part(owners, at + 2, 2 * n).decode("utf-16-le", "replace"))
         at += 2 + 2 * n
+    if len(set(authors)) != len(authors):
+        raise CorruptDocument("an author is there twice")
     out = notes(refs, texts, 30)
     for c in out:
         n, who = take(c["raw"], "H", 0)[0], take(c["raw"], "H", 20)[0]
         if n > 9 or who >= len(authors):
             raise CorruptDocument("a comment has no author")
-        c |= {"initials": c["raw"][2 : 2 + 2 * n].decode("utf-16-le", "replace"), "author": authors[who]}
+        tag = take(c["raw"], "i", 26)[0]
+        place = (ranges or {}).get(tag)
+        if tag != -1 and place is None and tally is not None:
+            tally["MISSING_ANNOTATION_BOOKMARK_SKIPPED"] += 1
+        c |= {"initials": c["raw"][2 : 2 + 2 * n].decode("utf-16-le", "replace"), "author": authors[who], "range_start": place and place[0], "range_end": place and place[1]}
     return out
 
 
-def sections(data: bytes, word: bytes, unknown: set[int]) -> list[dict]:
+def boundaries(ranges: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
+    """(position, start or end, number) of (number, start, end) ranges in the order in which marks are written: at a position
+    ends come before starts, each by number, and an empty range is a start and its end."""
+    out = []
+    for n, a, b in ranges:
+        out += [(a, 1, n, 0, "start"), (b, 1 if a == b else 0, n, 1, "end")]
+    return [(cp, what, n) for cp, _, n, _, what in sorted(out)]
+
+
+def sections(data: bytes, word: bytes, unknown: set[int], language: int = 0, limit: int | None = None, tally: Counter | None = None) -> list[dict]:
+    """Sections with what each says over the defaults: margins of an inch, and headers where the language has them."""
     cps, records = plc(data, 12)
     out = []
+    edge = 567 if language == 1063 else 708 if language in NARROW_HEADERS else 720
     for k, r in enumerate(records):
         at = struct.unpack("<i", r[2:6])[0]
         mods = M.split(part(word, at + 2, take(word, "H", at)[0])) if at != -1 else []
-        own = {"cp_start": cps[k], "cp_end": cps[k + 1], "props": M.fold_section(mods, unknown)}
+        props = M.fold_section(mods, unknown)
+        if tally is not None and any(m not in props for m in M.MARGINS):
+            tally["SECTION_MARGIN_DEFAULTED"] += 1
+        if "grid_type" in props and "grid_line_pitch_twips" not in props:
+            del props["grid_type"]
+            if tally is not None:
+                tally["SECTION_GRID_INCOMPLETE"] += 1
+        props = M.MARGINS | {"header_twips": edge, "footer_twips": edge} | props
+        own = {"cp_start": cps[k], "cp_end": cps[k + 1] if limit is None else min(cps[k + 1], limit), "props": props}
         if out and out[-1]["cp_start"] == own["cp_start"] and own["cp_start"] == own["cp_end"]:
             if out[-1]["props"] != own["props"]:
                 raise CorruptDocument("two sections of one place differ")
             out.pop()
+            if tally is not None:
+                tally["SECTION_DUPLICATE_CP_REPAIRED"] += 1
         out.append(own)
     return out
 
@@ -383,43 +478,161 @@ def shapes(data: bytes, story: str) -> list[dict]:
     out = {}
     for k, r in enumerate(records):
         number, left, top, right, bottom, flags, _ = struct.unpack("<iiiiiHi", r)
-        out.setdefault(number, {"story": story, "anchor_cp": cps[k], "shape_id": number, "l": min(left, right), "t": min(top, bottom), "r": max(left, right), "b": max(top, bottom), "wrap": flags >> 5 & 15, "behind": bool(flags >> 14 & 1)})
+        own = {"story": story, "anchor_cp": cps[k], "shape_id": number, "l": min(left, right), "t": min(top, bottom), "r": max(left, right), "b": max(top, bottom), "wrap": flags >> 5 & 15, "behind": bool(flags >> 14 & 1)}
+        own |= {"x_from": ("margin", "page", "text", "text")[flags >> 1 & 3], "y_from": ("margin", "page", "text", "text")[flags >> 3 & 3], "side": flags >> 9 & 15, "locked": bool(flags >> 15 & 1)}
+        out.setdefault(number, own)
     return sorted(out.values(), key=lambda s: (s["anchor_cp"], s["shape_id"]))
 
 
-def lists(data: bytes, uses: bytes) -> tuple[list[dict], list[dict]]:
-    """Abstract lists with their levels, and the lists that paragraphs name (from 1)."""
+def _level(data: bytes, at: int, level: int, tally: Counter) -> tuple[dict, int]:
+    """A level of a list and where it ends. Its text has a number of a level where the level's placeholders say so."""
+    start, kind, flags = take(data, "iBB", at)
+    holes, follow = part(data, at + 6, 9), data[at + 15]
+    chp, pap, restart = take(data, "BBB", at + 24)
+    if flags & 3 == 3 or follow > 2 or (kind not in (23, 255) and not 0 <= start <= 0x7FFF):
+        raise CorruptDocument("a level of a list is of no kind")
+    format_ = NUMBER_FORMATS.get(kind)
+    if format_ is None:
+        tally["LIST_NUMBER_FORMAT_APPROXIMATED"] += 1
+    unknown: set[int] = set()
+    body = at + 28
+    paragraph = M.fold_paragraph(M.split(part(data, body, pap)), {}, unknown)
+    character = M.fold_character(M.split(part(data, body + pap, chp)), {}, {}, unknown)
+    if unknown:
+        tally["UNSUPPORTED_LIST_LEVEL_SPRMS"] += len(unknown)
+    size = take(data, "H", body + pap + chp)[0]
+    raw = take(data, f"{size}H", body + pap + chp + 2)
+    active = holes.split(b"\0")[0]
+    if len(active) > level + 1 or list(active) != sorted(set(active)) or any(holes[len(active) :]):
+        raise CorruptDocument("the numbers in a list's text are out of order")
+    if kind == 23 and (active or size != 1):
+        raise CorruptDocument("a bullet is other than one character")
+    text = ""
+    for k, unit in enumerate(raw, 1):
+        if k in active and unit > level:
+            raise CorruptDocument("a list's text has the number of a deeper level")
+        text += f"%{unit + 1}" if k in active else chr(unit)
+    if any(k > size for k in active):
+        raise CorruptDocument("a list's text is shorter than its numbers")
+    own = {"start": 1 if kind in (23, 255) else start, "format": kind, "text": joined(text)[0], "align": ("left", "center", "right")[flags & 3], "suffix": ("tab", "space", "nothing")[follow], "legal": bool(flags & 4), "restart_after": restart if flags & 8 else None, "chp": character, "pap": paragraph}
+    return own, body + pap + chp + 2 + 2 * size
+
+
+def lists(data: bytes, uses: bytes, names: bytes = b"", tally: Counter | None = None) -> tuple[list[dict], list[dict]]:
+    """Abstract lists with their levels and names, and the lists that paragraphs name (from 1) with what they override."""
+    tally = Counter() if tally is None else tally
     if not data:
+        if uses or names:
+            raise CorruptDocument("lists are used and none is defined")
         return [], []
     n = take(data, "H", 0)[0]
     out, at = [], 2 + 28 * n
+    called = strings(names) if names else []
+    if len(called) > n:
+        tally["EXTRA_LIST_NAMES_IGNORED"] += 1
+    folded = [x.casefold() for x in called if x]
+    if len(set(folded)) != len(folded):
+        raise CorruptDocument("two lists have one name")
     # Levels follow the table itself, past the size that the header gives it.
     for k in range(n):
         number = take(data, "i", 2 + 28 * k)[0]
-        levels = 1 if data[2 + 28 * k + 26] & 1 else 9
+        flags = data[2 + 28 * k + 26]
         own = []
-        for _ in range(levels):
-            start, kind = take(data, "iB", at)
-            chp, pap = take(data, "BB", at + 24)
-            text = at + 28 + pap + chp
-            size = take(data, "H", text)[0]
-            own.append({"start": start, "format": kind, "text": part(data, text + 2, 2 * size).decode("utf-16-le", "replace")})
-            at = text + 2 + 2 * size
-        out.append({"list_id": number, "levels": own})
-    known = {x["list_id"] for x in out}
-    used = []
-    for k in range(take(uses, "I", 0)[0] if uses else 0):
+        for level in range(1 if flags & 1 else 9):
+            made, at = _level(data, at, level, tally)
+            own.append(made)
+        out.append({"list_id": number, "name": called[k] if k < len(called) and called[k] else None, "kind": "singleLevel" if flags & 1 else "hybridMultilevel" if flags & 16 else "multilevel", "levels": own})
+    known = {x["list_id"]: x for x in out}
+    if len(known) != n or -1 in known:
+        raise CorruptDocument("two lists have one number")
+    used, count = [], take(uses, "I", 0)[0] if uses else 0
+    at = 4 + 16 * count
+    for k in range(count):
         number = take(uses, "i", 4 + 16 * k)[0]
         if number not in known:
             raise CorruptDocument(f"list {number} is not defined")
-        used.append({"id": k + 1, "list_id": number})
+        changes = uses[4 + 16 * k + 12]
+        if changes > 9:
+            raise CorruptDocument("a list overrides more levels than there are")
+        at += 4  # the place of the first paragraph that uses it
+        overrides: dict[int, dict] = {}
+        for _ in range(changes):
+            start, flags = take(uses, "iI", at)
+            at += 8
+            level = flags & 15
+            if level in overrides or level >= len(known[number]["levels"]):
+                raise CorruptDocument("a list overrides a level twice, or one that it lacks")
+            made = None
+            if flags & 0x20:
+                made, at = _level(uses, at, level, tally)
+            overrides[level] = {"level": level, "start": start if flags & 0x10 and made is None else None, "replaced": made}
+        used.append({"id": k + 1, "list_id": number, "overrides": list(overrides.values())})
     return out, used
 
 
-def settings(data: bytes) -> dict:
-    if len(data) < 12:
-        return {}
-    return {"facing_pages": bool(data[0] & 1), "default_tab_twips": take(data, "H", 10)[0], "track_changes": bool(take(data, "H", 6)[0] >> 11 & 1) if len(data) >= 8 else False}
+def settings(data: bytes, version: int = 0xD9) -> tuple[dict, set[str]]:
+    """Settings of the whole document, as far as its table goes, and codes of what was repaired."""
+    n, out, said = len(data), {}, set()
+    if n < 2:
+        return {}, said
+    get = lambda fmt, at, least: take(data, fmt, at)[0] if n >= least else None
+    first, more = take(data, "H", 0)[0], get("I", 4, 8)
+    out["facing_pages"] = bool(first & 1)
+    tab = get("H", 10, 12)
+    if tab is not None and tab > 32767:
+        raise CorruptDocument("default tab stops are out of range")
+    out |= {"default_tab_twips": tab, "hyphenation_zone_twips": get("H", 14, 16), "consecutive_hyphens": get("H", 16, 18)}
+    out["gutter_at_top"] = bool((get("H", 82, 84) or 0) >> 15)
+    modes = []
+    if more is not None:
+        bit = lambda k: bool(more >> k & 1)
+        out |= {"mirror_margins": bit(21), "auto_hyphenation": bit(12), "no_caps_hyphenation": not bit(11), "track_changes": bit(15)}
+        only = bool((get("I", 594, 598) or 0) & 1) and version >= 0x010C
+        modes = [m for m, on in (("trackedChanges", bit(30)), ("forms", bit(25)), ("readOnly" if only else "comments", bit(20))) if on]
+    protection, conflict = modes[0] if modes else None, len(modes) > 1
+    if version >= 0x010C and (late := get("H", 598, 600)) is not None and late & 8:
+        kind = late >> 4 & 7
+        if kind not in (0, 1, 2, 3, 7):
+            raise CorruptDocument("a document is protected in no way")
+        protection, conflict = {0: "trackedChanges", 1: "comments", 2: "forms", 3: "readOnly"}.get(kind), False
+    if conflict:
+        said.add("PROTECTION_MODE_CONFLICT")
+    if protection == "trackedChanges" and out.get("track_changes") is False:
+        out["track_changes"] = True
+        said.add("TRACK_REVISIONS_REPAIRED")
+    out |= {"protection": protection, "protection_key": get("I", 78, 82) or None}
+    restarts = ("continuous", "eachSect", "eachPage")
+    old = version <= 0xD9
+    for kind, at, least, place_at, places, formats in (("footnote", 2, 4, 0, {0: "sectEnd", 1: "pageBottom", 2: "beneathText"}, 492), ("endnote", 52, 54, 54, {0: "sectEnd", 3: "docEnd"}, 494)):
+        numbering = get("H", at, least)
+        if numbering is not None:
+            out[f"{kind}_start"] = numbering >> 2
+            if old:
+                if numbering & 3 == 3:
+                    raise CorruptDocument(f"{kind}s restart in no way")
+                out[f"{kind}_restart"] = restarts[numbering & 3]
+        code = get("H", formats, 496)
+        if code is not None:
+            if code not in NUMBER_FORMATS and old:
+                raise CorruptDocument(f"{kind}s have a number format of no kind")
+            out[f"{kind}_format"] = NUMBER_FORMATS.get(code)
+        if kind == "footnote" and not old:
+            continue
+        where = get("H", place_at, place_at + 2)
+        if where is not None:
+            value = where >> 5 & 3 if kind == "footnote" else where & 3
+            if value not in places:
+                raise CorruptDocument(f"{kind}s stand nowhere")
+            out[f"{kind}_position"] = places[value]
+    options = get("I", 84, 88)
+    if options is not None:
+        out["adjust_line_height"] = not options & 8
+    return {k: v for k, v in out.items() if v is not None}, said
+
+
+def fallbacks(props: dict, of: dict) -> dict:
+    """A section's note numbering over the document's."""
+    return {k: v for k, v in of.items() if k.startswith(("footnote_", "endnote_"))} | props
 
 
 _PROPS = {2: "title", 3: "subject", 4: "author", 5: "keywords", 6: "comments", 8: "last_author", 9: "revision", 11: "printed", 12: "created", 13: "modified"}
@@ -434,6 +647,8 @@ def summary(data: bytes) -> dict[str, str]:
     """Titles, names and times of the property set."""
     if not data:
         return {}
+    if len(data) > 2 << 20:
+        raise TooLarge(f"a property set of {len(data)} bytes")
     if take(data, "H", 0)[0] != 0xFFFE:
         raise CorruptDocument("no property set")
     at = take(data, "I", 44)[0]
@@ -443,16 +658,19 @@ def summary(data: bytes) -> dict[str, str]:
     if 1 in places and take(data, "I", at + places[1])[0] == 2:
         page = take(data, "H", at + places[1] + 4)[0]
     encoding = {65001: "utf-8", 1200: "utf-16-le", 10000: "mac-roman"}.get(page, f"cp{page}")
-    out = {}
+    out, ends = {}, sorted(places.values()) + [take(data, "I", at)[0]]
     for number, place in places.items():
         if number not in _PROPS:
             continue
+        room = ends[bisect_right(ends[:-1], place)] - place  # a value ends where the next begins
         kind = take(data, "I", at + place)[0] & 0xFFFF
         value = None
         if kind == 0x40:
             value = iso_time(take(data, "Q", at + place + 4)[0])
         elif kind in (0x1E, 0x1F):
             size = take(data, "I", at + place + 4)[0] * (2 if kind == 0x1F else 1)
+            if 8 + size > room:
+                raise CorruptDocument("a property runs into the next")
             raw = part(data, at + place + 8, size)
             try:
                 value = raw.decode("utf-16-le" if kind == 0x1F else encoding, "replace").split("\0")[0]

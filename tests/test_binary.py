@@ -118,7 +118,7 @@ def test_modifiers():
     fold = modifiers.fold_paragraph
     assert fold([(0x664A, struct.pack("<i", 2))], {"table_depth": 1}, set())["table_depth"] == 3
     tabs = struct.pack("<BBhB", 0, 1, 720, 1)
-    assert fold([(0xC60D, tabs)], {}, set())["tabs"] == [(720, 1)]
+    assert fold([(0xC60D, tabs)], {}, set())["tabs"] == [(720, "center", None)]
     assert fold([(0x460B, struct.pack("<h", -2047))], {}, set())["list_id"] is None
     unknown = set()
     assert modifiers.fold_character([(0x0835, b"\2"), (0x2A33, b"\1"), (0x4A43, b"\x18\0")], {"italic": True}, {}, unknown) == {"size_half_points": 24}
@@ -142,27 +142,29 @@ def test_notes_comments_bookmarks_summary():
         )
     )
     assert d["notes"] == [{"kind": "footnote", "id": 1, "ref_cp": 1, "text": "text of it"}]
-    assert d["comments"] == [{"id": 0, "ref_cp": 3, "author": "Ann", "initials": "A", "text": "said"}]
-    assert d["bookmarks"] == [{"id": 0, "name": "here", "cp_start": 0, "cp_end": 1, "story": "main"}]
+    assert d["comments"] == [{"id": 0, "ref_cp": 3, "author": "Ann", "initials": "A", "text": "said", "range_start": None, "range_end": None}]
+    assert d["bookmarks"] == [{"id": 0, "name": "here", "cp_start": 0, "cp_end": 1, "column_first": None, "column_last": None, "story": "main"}]
     assert d["core_properties"] == {"title": "Ünï", "created": "2019-04-17T18:40:00Z"}
 
 
 def test_sections():
     wide = struct.pack("<HB", 0x301D, 2)
     d = parse.parse_document(builder.document("a\fb\r", section_mods=[(0, 2, b""), (2, 4, wide)]))
-    assert texts(d) == ["a", "b"] and dict(d["sections"][1]["props"]) == {"orientation": "landscape"}
+    assert texts(d) == ["a", "b"] and dict(d["sections"][1]["props"]) == {"orientation": "landscape", "header_twips": "720", "footer_twips": "720"} | {f"{s}_twips": "1440" for s in ("top", "bottom", "left", "right")}
+    assert [x["code"] for x in d["diagnostics"]] == ["SECTION_MARGIN_DEFAULTED"]
     with pytest.raises(CorruptDocument):
         modifiers.fold_section([(0x500B, struct.pack("<H", 60))], set())
 
 
 def test_lists_shapes_fonts():
-    level = struct.pack("<iB", 1, 0) + bytes(19) + struct.pack("<BBBB", 0, 0, 0, 0) + struct.pack("<H", 2) + "\0.".encode("utf-16-le")
+    level = struct.pack("<iBBB", 1, 0, 0, 1) + bytes(17) + struct.pack("<BBBB", 0, 0, 0, 0) + struct.pack("<H", 2) + "\0.".encode("utf-16-le")
     lists = struct.pack("<H", 1) + struct.pack("<i", 77) + bytes(22) + b"\1\0" + level
-    uses = struct.pack("<I", 1) + struct.pack("<i", 77) + bytes(12)
+    uses = struct.pack("<I", 1) + struct.pack("<i", 77) + bytes(12) + struct.pack("<I", 0xFFFFFFFF)
     font = struct.pack("<BHBB", 0, 400, 0, 0) + bytes(34) + "Serif\0".encode("utf-16-le")
     shape = struct.pack("<ii", 0, 2) + struct.pack("<iiiiiHi", 9, 30, 2, 10, 4, 3 << 5, 0)
     d = parse.parse_document(builder.document("a\r", tables={"lists": lists, "list_uses": uses, "fonts": struct.pack("<HH", 1, 0) + bytes([len(font)]) + font, "shapes_main": shape}))
-    assert d["lists"] == [{"list_id": 77, "level": 0, "start": 1, "format": 0, "text": "\0."}] and d["list_uses"] == [{"id": 1, "list_id": 77}]
+    first = d["lists"][0]
+    assert [first[k] for k in ("list_id", "kind", "level", "start", "format", "text", "suffix")] == [77, "singleLevel", 0, 1, 0, "%1.", "tab"] and d["list_uses"] == [{"id": 1, "list_id": 77, "overrides": []}]
     assert d["fonts"] == [{"ix": 0, "name": "Serif"}] and (d["shapes"][0]["l"], d["shapes"][0]["r"], d["shapes"][0]["wrap"]) == (10, 30, 3)
 
 
@@ -188,7 +190,7 @@ def test_other_formats_are_refused():
     struct.pack_into("<HH", old, 0, 0xA5EC, 0x0065)
     assert parse.tried(compound.build({"WordDocument": bytes(old)}), None)["error_class"] == "UnsupportedVersion"
     assert issubclass(CorruptDocument, DocumentError)
-    assert story.classify("= 1 + 2", set()) == ("=", "live")
+    assert story.classify("= 1 + 2", story.Names()) == ("=", "live")
 
 
 PNG = b"\x89PNG\r\n\x1a\n" + bytes(20)
@@ -221,7 +223,7 @@ def test_drawings_pictures_objects():
     assert (child["l"], child["t"], child["r"], child["b"], child["parent"]) == (100, 0, 200, 100, 2000)
     assert d["images"] == [{"id": 1, "format": "png", "data": PNG}]
     assert d["pictures"] == [{"id": 1, "cp": 2, "format": "png", "width_twips": 1000, "height_twips": 500, "data": PNG}]
-    assert [i["kind"] for i in d["inlines"]] == ["shape", "shape", "picture"] and not d["diagnostics"]
+    assert [i["kind"] for i in d["inlines"]] == ["shape", "shape", "picture"] and [x["code"] for x in d["diagnostics"]] == ["GROUPED_FLOATING_FRAME_FLATTENED", "OLE_OBJECTS_UNANCHORED"]
     assert compound.Compound(d["ole_objects"][0]["content"]).read("Contents") == b"body"
     bad = parse.parse_document(builder.document("\x01\r", char_runs=[(0, 1, special)], streams={"Data": bytes(80)}))
     assert [x["code"] for x in bad["diagnostics"]] == ["INLINE_PICTURE_INVALID", "OBJECT_ANCHOR_DEFERRED"]
