@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from inkstone.sinks import docx
+from inkstone import api
+from inkstone.sinks import report
 from inkstone.sources import parse
 
 MAX_PASSWORD = 4096
@@ -31,27 +34,38 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     cli.add_argument("target", nargs="?")
     cli.add_argument("-r", "--recursive", action="store_true")
     cli.add_argument("--password-file")
-    said = cli.parse_args(args)
-    if said.what != "inspect" and not said.target:
-        cli.error("a target is needed")
+    cli.add_argument("--report", help="a JSON file of the whole batch")
+    cli.add_argument("--json", action="store_true", help="inspect as JSON, not as text")
+    try:
+        said = cli.parse_args(args)
+        if said.what != "inspect" and not said.target:
+            cli.error("a target is needed")
+        password = password_of(said.password_file)
+    except SystemExit as e:
+        return int(e.code or 0)
+    except (OSError, ValueError) as e:
+        print(e, file=sys.stderr)
+        return 2
     spark = spark or SparkSession.builder.getOrCreate()
-    parsed = parse.parse(parse.files(spark, said.source, said.recursive), password=password_of(said.password_file)).persist()
+    if said.what == "inspect":
+        wanted = ("version", "language", "encrypted", "entries", "stories", "stats")
+        parsed = parse.parse(parse.files(spark, said.source, said.recursive), password=password, relations=wanted)
+        failed = 0
+        for row in parse.inspect(parsed).withColumn("place", report.order_of(F.col("path"), said.source)).orderBy("place").toLocalIterator():
+            failed += json.loads(row.report)["status"] != "ok"
+            print(row.path, row.report if said.json else "\n" + report.as_text(json.loads(row.report)))
+        return int(failed > 0)
     try:
-        if said.what == "inspect":
-            for row in parse.inspect(parsed).orderBy("path").toLocalIterator():
-                print(row.path, row.report)
-        else:
-            wrong = docx.write_files(docx.packages(parsed), said.target).filter("error IS NOT NULL").collect()
-            for row in wrong:
-                print(row.path, row.error, file=sys.stderr)
-            if wrong:
-                return 1
-        summary = parse.batch_summary(parsed)
-        if said.what == "batch":
-            print(summary.toJSON().first())
-        return int(summary.first().failed > 0)
-    finally:
-        parsed.unpersist()
+        rows = api.convert_folder(spark, said.source, said.target, said.recursive, password, said.report)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2
+    for row in rows.filter("status = 'failed'").toLocalIterator():
+        print(row.input, row.error_class, row.error, file=sys.stderr)
+    totals = report.summary(rows)
+    if said.what == "batch":
+        print(json.dumps(totals))
+    return int(totals["failed"] > 0)
 
 
 if __name__ == "__main__":

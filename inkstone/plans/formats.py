@@ -390,7 +390,7 @@ def _data(k: int, size: int) -> bytes:
 def doc_field_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _parts(spark, sf_dir, _data, ["p_size"], "fields", "paragraphs", "stats")
     f = _first("fields")
-    return found.select("p_partkey", f["field_type"].alias("field_type"), f["live"].alias("live"), F.col("stats")["ignored_field_data_count"].alias("ignored"), _first("paragraphs")["text"].alias("text"))
+    return found.select("p_partkey", f["field_type"].alias("field_type"), f["live"].alias("live"), F.col("stats")["consumed_binary_field_data_count"].alias("ignored"), _first("paragraphs")["text"].alias("text"))
 
 
 def _conditional(k: int, size: int) -> bytes:
@@ -430,3 +430,24 @@ def doc_endnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = docx.packages(found, "c_custkey").select("c_custkey", paragraphs("docx").alias("paragraphs"))
     note = _first("notes")
     return found.select("c_custkey", note["kind"].alias("kind"), note["text"].alias("text")).join(packed, "c_custkey")
+
+
+def _odd(k: int, size: int) -> bytes:
+    """Modifiers that nobody knows, one on the text and one on the paragraph, and a table width that is a share."""
+    return builder.document("x\r", char_runs=[(0, 1, struct.pack("<HB", 0x0890 + k % 3, 1) + struct.pack("<HB", 0x0835, 1))], para_runs=[(0, 2, 0, struct.pack("<HH", 0x4490 + size % 2, 7))])
+
+
+@query("""SELECT p_partkey, string_agg(code, ',' ORDER BY code) AS codes FROM (SELECT p_partkey, unnest([printf('0x%04X', 2192 + p_partkey % 3), printf('0x%04X', 17552 + p_size % 2)]) AS code FROM part) GROUP BY p_partkey""")
+def doc_unsupported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _parts(spark, sf_dir, _odd, ["p_size"], "stats")
+    codes = F.array_sort(F.filter(F.map_keys("stats"), lambda k: k.startswith("unsupported_0x")))
+    return found.select("p_partkey", F.array_join(F.transform(codes, lambda k: F.substring(k, 13, 6)), ",").alias("codes"))
+
+
+@query(r"""SELECT doc_id, len(string_split(t, chr(10)))::BIGINT - (CASE WHEN t LIKE '%' || chr(10) THEN 1 ELSE 0 END) AS paragraphs, greatest(1, len(regexp_replace(t, '[\x{10000}-\x{10FFFF}]', 'ab', 'g')))::BIGINT AS positions, 1::BIGINT AS pieces, 193::BIGINT AS version
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def doc_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .documents import parsed_documents
+
+    s = F.col("stats")
+    return parsed_documents(spark, sf_dir, "stats").select("doc_id", s["paragraph_count"].alias("paragraphs"), s["main_story_cp_count"].alias("positions"), s["piece_count"].alias("pieces"), s["fib_version"].alias("version"))

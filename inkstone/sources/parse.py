@@ -187,8 +187,10 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
         elif p.prm:
             prms[p.start] = W.single(p.prm)
     paras: list[tuple[int, int, dict]] = []
+    para_runs = W.formatting(word, get("para_pages"), extra, True)
+    fkp_paragraphs = len(para_runs)
     folded: dict[tuple, dict] = {}
-    for a, b, run, piece in W.to_positions(W.formatting(word, get("para_pages"), extra, True), table):
+    for a, b, run, piece in W.to_positions(para_runs, table):
         key = run.style, tuple(run.mods), piece.start if piece.start in prms else -1
         props = folded.get(key)
         if props is None:
@@ -221,8 +223,10 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
     abstract, used = W.lists(tables[list_at[0] :] if list_at[1] else b"", get("list_uses"), get("list_names"), tally)
     names = Names(frozenset(m["name"].casefold() for m in marks), frozenset(s.name.casefold() for s in sheet.values()), frozenset(x["name"].casefold() for x in abstract if x["name"]))
     ends: dict[int, int] = {}
+    field_marks = binary_data = 0
     for which, slot_name in _FIELD_SLOTS.items():
         entries = W.fields(get(slot_name))
+        field_marks += len(entries)
         if entries:
             ends |= field_ends(entries, text, stories[which][0], h.counts[which], lambda cp: char_spans.at(cp).get("special"), tally)
 
@@ -246,6 +250,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
                         tally["OLE_OBJECT_STORAGE_MISSING"] += 1
                 elif text[cp] == "\x01" and props.get("special"):
                     if props.get("data"):
+                        binary_data += 1
                         if around.get(cp) in ("HYPERLINK", "NOTEREF", "PAGEREF", "REF"):
                             ignored.add(cp)
                         else:
@@ -268,7 +273,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
         c["props"] = W.fallbacks(c["props"], options)
     where = Place(char_spans, para_spans, refs, names, frozenset(s["cp_end"] for s in cuts[:-1]), ends, placed_objects, frozenset(ignored))
 
-    paragraphs, inlines, nodes, fields, grids, rows = [], [], [], [], [], []
+    paragraphs, inlines, nodes, fields, grids, rows, row_maps = [], [], [], [], [], [], []
     texts = _Texts()
     tabled = want("tables", "table_rows")
 
@@ -294,6 +299,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
             for path, some in lines.items():
                 columns = R.grid([r for _, r in some])
                 grids.append({"story": name, "path": list(path), "columns": columns, "props": _flat(R.floating(some[0][1])) if tabled else None})
+                row_maps.extend(some)
                 for row_path, row in some:
                     cells, warning = R.built(row, held[tuple(row_path)])
                     if warning:
@@ -365,20 +371,13 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
     for x in objects:
         by_storage.setdefault(x["storage"], x)
     held_objects = [{"name": p.rpartition("/")[2], "size": sum(e.size for q, e in file.entries.items() if q.startswith(f"{p}/")), "content": build(file.storage(p)), "object_id": by_storage.get(n, {}).get("object_id"), "anchor_cp": by_storage.get(n, {}).get("anchor_cp")} for n, p in pools.items()] if want("ole_objects") else []
-    kinds, sorts, main = Counter(n["kind"] for n in nodes), Counter(i["kind"] for i in inlines), range(mains)
-    styles_of = Counter(s.kind for s in sheet.values())
-    formats = lambda key: sum(key in p["props"] for p in paragraphs)
-    stats = {
-        "piece_count": len(table), "prc_count": len(shared), "character_count": h.counts["main"], "paragraph_count": mains, "all_paragraph_count": len(paragraphs), "table_count": kinds["table"], "table_row_count": kinds["row"], "table_cell_count": kinds["cell"], "nested_table_count": sum(n["kind"] == "table" and len(n["path"]) > 1 for n in nodes),
-        "field_count": len(fields), "live_field_count": sum(f["live"] for f in fields), "locked_field_count": sum(f["locked"] for f in fields), "dirty_field_count": sum(f["dirty"] for f in fields), "declared_field_count": len(ends), "hyperlink_count": sum(f["live"] and f["field_type"] == "HYPERLINK" for f in fields), "nested_field_count": sum(f["depth"] > 1 for f in fields),
-        "bookmark_count": len(marks), "column_bookmark_count": sum(m["column_first"] is not None for m in marks), "footnote_count": len(foot), "endnote_count": len(end), "comment_count": len(said), "comment_range_count": sum(c["range_start"] is not None for c in said), "comment_author_count": len({c["author"] for c in said}), "section_count": len(cuts), "title_page_section_count": sum(bool(c["props"].get("title_page")) for c in cuts), "multi_column_section_count": sum(c["props"].get("columns", 1) > 1 for c in cuts),
-        "landscape_section_count": sum(c["props"].get("orientation") == "landscape" for c in cuts), "page_border_section_count": sum("border_display" in c["props"] for c in cuts), "style_count": len(sheet), "paragraph_style_count": styles_of["paragraph"], "character_style_count": styles_of["character"], "table_style_count": styles_of["table"], "numbering_style_count": styles_of["numbering"], "conditional_table_style_count": sum(len(s.when) for s in sheet.values()),
-        "font_count": len(typefaces), "list_count": len(abstract), "list_level_count": sum(len(x["levels"]) for x in abstract), "list_use_count": len(used), "list_override_count": sum(len(u["overrides"]) for u in used), "named_list_count": sum(x["name"] is not None for x in abstract), "shape_count": len(shapes), "floating_picture_count": sum(s["kind"] == "picture" for s in shapes), "floating_shape_count": sum(s["kind"] in ("shape", "line", "frame") for s in shapes), "picture_count": len(pictures), "image_count": len(images), "textbox_count": len(boxes),
-        "ole_object_count": len(pools), "embedded_object_count": sorts["object"], "header_footer_count": sum(p["section"] >= 0 for p in placed), "note_separator_count": sum(p["section"] < 0 for p in placed), "core_property_count": len(core), "setting_count": len(options), "char_span_count": len(chars), "para_span_count": len(paras), "run_count": sorts["text"], "tab_count": sorts["tab"], "break_count": sorts["break"] + sorts["page_break"], "page_break_count": sorts["page_break"], "symbol_count": sorts["symbol"],
-        "no_break_hyphen_count": sorts["no_break_hyphen"], "soft_hyphen_count": sorts["soft_hyphen"], "numbered_paragraph_count": sum(p["props"].get("list_id", "None") != "None" for p in paragraphs), "heading_count": sum(p["props"].get("outline_level", "9") in "012345678" for p in paragraphs), "bordered_paragraph_count": sum(any(k.startswith("border_") for k in p["props"]) for p in paragraphs), "shaded_paragraph_count": formats("shading"), "framed_paragraph_count": sum(any(k.startswith("frame_") for k in p["props"]) for p in paragraphs), "tabbed_paragraph_count": formats("tabs"),
-        "drop_cap_count": sum(p["props"].get("drop_cap", "none") != "none" for p in paragraphs), "aligned_paragraph_count": formats("align"), "inserted_run_count": sum(i["props"].get("inserted") == "true" for i in inlines), "deleted_run_count": sum(i["props"].get("deleted") == "true" for i in inlines), "hidden_run_count": sum(i["props"].get("hidden") == "true" for i in inlines), "macro_character_count": h.counts["macros"], "footnote_character_count": h.counts["footnotes"], "header_character_count": h.counts["headers"],
-        "comment_character_count": h.counts["comments"], "endnote_character_count": h.counts["endnotes"], "textbox_character_count": h.counts["textboxes"], "header_textbox_character_count": h.counts["header_textboxes"], "entry_count": len(file.entries), "object_pool_anchor_count": len(objects), "ignored_field_data_count": len(ignored), "warning_count": sum(tally.values()), "warning_code_count": len(tally), "unsupported_modifier_count": len(unknown),
+    counted = {
+        "cfb_sector_count": len(data) // 512, "table_stream": int(base.table == "1Table"), "fib_version": h.version, "piece_count": len(table), "piece_prm_count": sum(p.prm != 0 for p in table), "clx_prc_count": len(shared), "main_story_cp_count": h.counts["main"], "macro_story_cp_count": h.counts["macros"],
+        "character_format_span_count": len(chars), "paragraph_format_span_count": len(paras), "character_fkp_run_count": len(char_runs), "paragraph_fkp_run_count": fkp_paragraphs, "font_count": len(typefaces), "core_property_count": len(core), "declared_field_count": len(ends), "declared_field_character_count": field_marks,
+        "embedded_object_count": sum(i["kind"] == "object" for i in inlines), "header_footer_story_count": sum(p["section"] >= 0 for p in placed), "note_separator_story_count": sum(p["section"] < 0 for p in placed), "inline_binary_data_count": binary_data, "consumed_binary_field_data_count": len(ignored),
+        "deferred_inline_picture_count": tally["INLINE_PICTURE_INVALID"], "warning_count": sum(tally.values()), "warning_code_count": sum(n > 0 for n in tally.values()), "unsupported_modifier_count": len(unknown), "ole_object_count": len(pools), "textbox_count": len(boxes), "image_count": len(images),
     }
+    stats = counted | statistics(paragraphs[:mains], paragraphs, inlines, nodes, row_maps, fields, marks, sheet, abstract, used, cuts, options, foot, end, said, text, pictures, shapes, stories, boxes)
     for code in sorted(unknown):  # each by name, for the sorted list of what was not understood
         stats[f"unsupported_0x{code:04X}"] = 1
     few = {
@@ -400,6 +399,40 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
     return {k: make() for k, make in few.items() if want(k)}
 
 
+def statistics(main: list, paragraphs: list, inlines: list, nodes: list, rows: list, fields: list, marks: list, sheet: dict, abstract: list, used: list, cuts: list, options: dict, foot: list, end: list, said: list, text: str, pictures: list, shapes: list, stories: dict, boxes: dict) -> dict[str, int]:
+    """What a document has of everything that its report counts."""
+    kinds, sorts, styles = Counter(n["kind"] for n in nodes), Counter(i["kind"] for i in inlines), Counter(s.kind for s in sheet.values())
+    firsts = {tuple(path[:-1]): row for path, row in reversed(rows)}.values()  # the first row of each table speaks for it
+    of = lambda test: sum(bool(test(c["props"])) for c in cuts)
+    within = lambda cp, which: stories[which][0] <= cp < stories[which][1]
+    float_of = lambda kind, story=None: sum(s["kind"] == kind and story in (None, s["story"]) for s in shapes)
+    own_boxes = {which: [s for s in shapes if s["kind"] == "textbox" and s["story"] == story] for which, story in (("main", "main"), ("header", "headers"))}
+    labels = {which: {f"textbox:{s['shape_id']}" for s in some} for which, some in own_boxes.items()}
+    named = lambda p, *keys: any(k in p for k in keys)
+    out = {
+        "paragraph_count": len(main), "style_count": len(sheet), "table_style_count": styles["table"], "numbering_style_count": styles["numbering"], "bookmark_count": len(marks), "preserved_bookmark_count": sum(m["story"] is not None for m in marks), "column_bookmark_count": sum(m["column_first"] is not None for m in marks),
+        "abstract_numbering_count": len(abstract), "named_list_count": sum(x["name"] is not None for x in abstract), "numbering_instance_count": len(used), "numbering_level_count": sum(len(x["levels"]) for x in abstract), "numbered_paragraph_count": sum(p["props"].get("list_id", "None") != "None" for p in paragraphs),
+        "table_count": kinds["table"], "table_row_count": kinds["row"], "table_cell_count": kinds["cell"], "styled_table_count": sum("style_id" in r for r in firsts), "preferred_width_table_count": sum(r.get("width_type", "nil") not in ("nil", "auto") for r in firsts), "cell_width_override_count": sum(len(r.get("widths", [])) for _, r in rows),
+        "section_count": len(cuts), "document_grid_section_count": of(lambda p: "grid_type" in p), "section_page_number_format_count": of(lambda p: "page_number_format" in p), "section_page_number_start_count": of(lambda p: "page_number_start" in p), "chapter_numbered_section_count": of(lambda p: "chapter_style" in p),
+        "page_bordered_section_count": of(lambda p: "border_display" in p), "paper_source_section_count": of(lambda p: named(p, "paper_first", "paper_other")), "form_protected_section_count": of(lambda p: p.get("form_protected")), "rtl_gutter_section_count": of(lambda p: p.get("rtl_gutter")), "line_numbered_section_count": of(lambda p: "line_number_count_by" in p),
+        "column_separator_section_count": of(lambda p: p.get("column_line")), "unequal_column_section_count": of(lambda p: "column_widths_twips" in p), "vertically_aligned_section_count": of(lambda p: p.get("vertical_align", "top") != "top"), "section_note_numbering_override_count": of(lambda p: named(p, "footnote_format", "endnote_format", "footnote_restart", "endnote_restart")),
+        "section_note_number_start_count": of(lambda p: named(p, "footnote_start", "endnote_start")), "section_note_placement_count": of(lambda p: named(p, "footnote_position", "endnote_position")), "bidirectional_section_count": of(lambda p: p.get("rtl")), "vertical_text_section_count": of(lambda p: p.get("flow", "lrTb") != "lrTb"),
+        "mirror_margins": int(options.get("mirror_margins", False)), "gutter_at_top": int(options.get("gutter_at_top", False)), "default_tab_stop_twips": options.get("default_tab_twips", 0), "auto_hyphenation": int(options.get("auto_hyphenation", False)), "do_not_hyphenate_caps": int(options.get("no_caps_hyphenation", False)),
+        "hyphenation_zone_twips": options.get("hyphenation_zone_twips", 0), "consecutive_hyphen_limit": options.get("consecutive_hyphens", 0), "track_revisions": int(options.get("track_changes", False)), "document_protection_edit": int("protection" in options), "adjust_line_height_in_table": int(options.get("adjust_line_height", False)),
+        "header_footer_paragraph_count": sum(p["story"].startswith("header:") for p in paragraphs), "footnote_count": len(foot), "footnote_reference_count": sorts["footnote"], "custom_footnote_mark_count": sum(text[n["ref_cp"] : n["ref_cp"] + 1] != "\x02" for n in foot), "endnote_count": len(end), "endnote_reference_count": sorts["endnote"],
+        "custom_endnote_mark_count": sum(text[n["ref_cp"] : n["ref_cp"] + 1] != "\x02" for n in end), "comment_count": len(said), "comment_reference_count": sorts["comment"], "comment_range_count": sum(c["range_start"] is not None for c in said), "inline_picture_count": len(pictures), "main_inline_picture_count": sum(within(p["cp"], "main") for p in pictures),
+        "main_textbox_inline_picture_count": sum(within(p["cp"], "textboxes") for p in pictures), "header_inline_picture_count": sum(within(p["cp"], "headers") for p in pictures), "header_textbox_inline_picture_count": sum(within(p["cp"], "header_textboxes") for p in pictures), "deferred_header_inline_picture_count": 0,
+        "floating_picture_count": float_of("picture"), "floating_shape_count": sum(float_of(k) for k in ("shape", "line", "frame")), "deferred_floating_shape_count": float_of("deferred"), "main_floating_picture_count": float_of("picture", "main"), "header_floating_picture_count": float_of("picture", "headers"),
+        "deferred_floating_picture_count": 0, "deferred_header_floating_picture_count": 0, "non_picture_floating_shape_count": sum(s["kind"] != "picture" for s in shapes), "symbol_character_count": sorts["symbol"], "custom_tab_stop_count": sum(p["props"].get("tabs", "").count(":") and len(p["props"]["tabs"].split(";")) for p in paragraphs),
+        "field_count": len(fields), "live_field_count": sum(f["live"] for f in fields),
+    }
+    for which, some in own_boxes.items():
+        grouped = [s for s in some if s["parent"] is not None and s["parent"] != s["shape_id"]]
+        out |= {f"{which}_textbox_count": len(some), f"reconstructed_grouped_{which}_textbox_count": len(grouped), f"deferred_grouped_{which}_textbox_count": 0, f"styled_{which}_textbox_count": sum(bool(s["style"]) for s in some), f"{which}_textbox_field_count": sum(f["story"] in labels[which] for f in fields)}
+    out["deferred_grouped_main_textbox_count"] = len(set(boxes) - {s["shape_id"] for s in shapes})
+    return out
+
+
 def tried(data: bytes | None, password: str | None, wanted: frozenset[str] | None = None) -> dict:
     """The model with its status; what no check foresaw is damage as well."""
     try:
@@ -453,7 +486,7 @@ def batch_summary(parsed: DataFrame) -> DataFrame:
 
 def inspect(parsed: DataFrame, key: str = "path") -> DataFrame:
     """What a document is, without what it says, as JSON."""
-    return parsed.select(key, F.to_json(F.struct("status", "error_class", "version", "language", "encrypted", "entries", "stories", "stats")).alias("report"))
+    return parsed.select(key, F.to_json(F.struct("status", "error_class", "error_message", "version", "language", "encrypted", "entries", "stories", "stats")).alias("report"))
 
 
 __all__ = ["Paragraph", "batch_summary", "files", "inspect", "looks_compound", "parse", "parse_document", "relation", "tried"]

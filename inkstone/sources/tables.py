@@ -349,7 +349,7 @@ def edited(row: dict, opcode: int, b: bytes) -> tuple[dict, bool]:
     """The row after a modifier of ``EDITS``, and whether something of it was lost."""
     try:
         made = EDITS[opcode](row, b)
-    except struct.error as e:
+    except (struct.error, IndexError) as e:
         raise CorruptDocument(f"modifier {opcode:#06x} has {len(b)} bytes") from e
     return (row, True) if made is None else made if isinstance(made, tuple) else (made, False)
 

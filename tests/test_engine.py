@@ -117,8 +117,12 @@ def test_command_line(spark, folder, tmp_path, capsys):
     from inkstone.__main__ import main, password_of
 
     assert main(["batch", f"file://{folder}", str(tmp_path)], spark) == 1  # one file is no document
-    assert '"succeeded":1' in capsys.readouterr().out and (tmp_path / "a.docx").exists()
+    assert '"succeeded": 1' in capsys.readouterr().out and (tmp_path / "a.docx").exists()
+    assert main(["batch", f"file://{folder}"], spark) == 2 and main(["batch", f"file://{folder}", str(tmp_path), "--password-file", "/no/such"], spark) == 2
+    assert main(["batch", f"file://{folder}", str(tmp_path), "--report", str(tmp_path / "a.docx")], spark) == 2  # not over a package
+    capsys.readouterr()
     assert main(["inspect", "-r", f"file://{folder}/sub"], spark) == 0
+    assert "format version: 0x00c1" in capsys.readouterr().out
     secret = tmp_path / "secret"
     secret.write_bytes("pass wörd\r\n".encode())
     assert password_of(str(secret)) == "pass wörd"
