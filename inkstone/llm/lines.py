@@ -217,6 +217,7 @@ class Removed:
 
     def __init__(self, docs: DataFrame, t: float = THRESHOLD) -> None:
         spark = docs.sparkSession
+        discard(spark)  # what earlier work left
         self.again = again = repeated_ids(docs, "line-again")
         counts = count_words(docs)
 

@@ -77,11 +77,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Deletes staged tables and folders of files whose consumers have been written: nothing reads them again, and no lost
-    executor makes a task read them. The shuffles that fed them go with the driver's garbage."""
+    executor makes a task read them. The shuffles that fed them go with the driver's garbage, and executors give back what
+    their heaps no longer hold: a heap that has grown under one stage would else leave the workers of the next no room."""
     for t in tables:
         remove(t if isinstance(t, str) else t.staged_at)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 
 
 def repeated_ids(docs: DataFrame, name: str) -> KeySet:
