@@ -58,3 +58,18 @@ def test_stutter_is_one_feature():
     a, _ = Q.features(pa.array(["der der der"]))
     b, _ = Q.features(pa.array(["und und und"]))
     assert a[3] == a[4] == b[3] == b[4] and a[0] != b[0]
+
+
+def test_features_by_a_second_computation():
+    """Units and pairs, one at a time: each is a bucket, equal ones the same, pairs of equal units one feature, and few of
+    the others meet."""
+    texts = ["The cat -- the dog!! the the", "b a b a", "", None, "x", "ünï --- ünï"]
+    values, bounds = Q.features(pa.array(texts, pa.string()), 1 << 40)
+    bucket, back = {}, {}
+    for k, t in enumerate(texts):
+        own, u = values[bounds[k] : bounds[k + 1]].tolist(), units(t)
+        pairs = [("pair", "same") if a == b else ("pair", a, b) for a, b in zip(u, u[1:])]
+        assert len(own) == len(u) + len(pairs)
+        for name, v in zip([("unit", x) for x in u] + pairs, own):
+            assert bucket.setdefault(name, v) == v and back.setdefault(v, name) == name
+    assert ("pair", "b", "a") in bucket and bucket["pair", "b", "a"] != bucket["pair", "a", "b"] and bucket["unit", "The"] != bucket["unit", "the"]
