@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 from . import ciphers, compound
-from .word import _BYTES, _COUNTS, SLOTS, STORIES, build_summary
+from .word import _COUNTS, SLOTS, STORIES, build_summary
+from .word import narrow as word_narrow
 
-_NARROW = {chr(v) for v in _BYTES.values()} | {chr(c) for c in range(256) if c not in _BYTES}
-_TO_BYTE = {chr(v): k for k, v in _BYTES.items()}
 TEXT_AT = 1024
 
 
@@ -67,23 +67,23 @@ def _pages(runs: list[tuple[int, int, int, bytes]], paragraphs: bool) -> list[tu
 
 def field_table(text: str, flags: int = 0) -> bytes:
     """The table of the field marks of a text: types of links, ends with what the marks themselves say and ``flags``."""
-    units = text.encode("utf-16-le", "surrogatepass")
     marks, stack, records = [], [], []
-    for cp in range(len(units) // 2):
-        c = units[2 * cp] if not units[2 * cp + 1] else 0
+    for m in re.finditer("[\x13\x14\x15]", text):
+        c = ord(m[0])
         if c == 0x13:
             stack.append(False)
             records.append(bytes([c, 88]))
-        elif c == 0x14 and stack:
+        elif not stack:
+            continue
+        elif c == 0x14:
             stack[-1] = True
             records.append(bytes([c, 255]))
-        elif c == 0x15 and stack:
+        else:
             parted = stack.pop()
             records.append(bytes([c, flags | 0x80 * parted | 0x40 * bool(stack)]))
-        else:
-            continue
-        marks.append(cp)
-    return _plc([*marks, len(units) // 2 + 1], records) if marks and not stack else b""
+        marks.append(len(text[: m.start()].encode("utf-16-le", "surrogatepass")) // 2)
+    size = len(text.encode("utf-16-le", "surrogatepass")) // 2 if marks else 0
+    return _plc([*marks, size + 1], records) if marks and not stack else b""
 
 
 def document(
@@ -104,7 +104,7 @@ def document(
 ) -> bytes:
     """The bytes of a document. ``text`` may come in pieces; runs are in character positions (UTF-16 units)."""
     parts = [text] if isinstance(text, str) else list(text)
-    sizes = {"main": sum(len(p.encode("utf-16-le", "surrogatepass")) // 2 for p in parts)}
+    sizes = {"main": sum(len(p) if p.isascii() else len(p.encode("utf-16-le", "surrogatepass")) // 2 for p in parts)}
     for s in STORIES[1:]:
         if stories and s in stories:
             parts.append(stories[s])
@@ -113,8 +113,10 @@ def document(
     for k, p in enumerate(parts):
         if not p:
             continue
-        narrow = all(c in _NARROW for c in p)
-        raw = bytes(_TO_BYTE.get(c, ord(c)) for c in p) if narrow else p.encode("utf-16-le", "surrogatepass")
+        raw = word_narrow(p)
+        narrow = raw is not None
+        if not narrow:
+            raw = p.encode("utf-16-le", "surrogatepass")
         body += b"\0" * (len(body) & 1)
         at = TEXT_AT + len(body)
         cps.append(cps[-1] + len(raw) // (1 if narrow else 2))

@@ -377,7 +377,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
         "embedded_object_count": sum(i["kind"] == "object" for i in inlines), "header_footer_story_count": sum(p["section"] >= 0 for p in placed), "note_separator_story_count": sum(p["section"] < 0 for p in placed), "inline_binary_data_count": binary_data, "consumed_binary_field_data_count": len(ignored),
         "deferred_inline_picture_count": tally["INLINE_PICTURE_INVALID"], "warning_count": sum(tally.values()), "warning_code_count": sum(n > 0 for n in tally.values()), "unsupported_modifier_count": len(unknown), "ole_object_count": len(pools), "textbox_count": len(boxes), "image_count": len(images),
     }
-    stats = counted | statistics(paragraphs[:mains], paragraphs, inlines, nodes, row_maps, fields, marks, sheet, abstract, used, cuts, options, foot, end, said, text, pictures, shapes, stories, boxes)
+    stats = counted if not want("stats") else counted | statistics(paragraphs[:mains], paragraphs, inlines, nodes, row_maps, fields, marks, sheet, abstract, used, cuts, options, foot, end, said, text, pictures, shapes, stories, boxes)
     for code in sorted(unknown):  # each by name, for the sorted list of what was not understood
         stats[f"unsupported_0x{code:04X}"] = 1
     few = {

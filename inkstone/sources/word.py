@@ -5,6 +5,7 @@ Everything here is a function of bytes; nothing keeps state between documents.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 from bisect import bisect_right
@@ -28,6 +29,16 @@ SLOTS = {
 #: One-byte text is Latin-1 but for these.
 _BYTES = {0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021, 0x88: 0x02C6, 0x89: 0x2030, 0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022, 0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A, 0x9C: 0x0153, 0x9F: 0x0178}
 _CHAIN = 32
+_NARROW = "".join(chr(_BYTES.get(b, b)) for b in range(256))
+_TO_NARROW = codecs.charmap_build(_NARROW)
+
+
+def narrow(text: str) -> bytes | None:
+    """A byte a character, where that holds the text."""
+    try:
+        return codecs.charmap_encode(text, "strict", _TO_NARROW)[0]
+    except UnicodeEncodeError:
+        return None
 
 
 @dataclass(frozen=True)
@@ -130,7 +141,7 @@ def units(word: bytes, table: list[Piece]) -> str:
     for p in table:
         raw = part(word, p.offset, (p.end - p.start) * (1 if p.narrow else 2))
         if p.narrow:
-            out.append(raw.decode("latin-1").translate(_BYTES))
+            out.append(codecs.charmap_decode(raw, "strict", _NARROW)[0])
             continue
         wide = raw.decode("utf-16-le", "surrogatepass")
         if len(wide) != p.end - p.start:  # pairs take two places
