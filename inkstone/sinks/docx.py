@@ -280,10 +280,10 @@ class _Story:
         doc, pack = self.doc, self.package
         p = doc["paragraphs"][k]
         main = p["story"] == "main"
-        out = f"<w:p>{paragraph_props(dict(p['props']), pack.style_ids['paragraph'], pack.section_ends.get(p['cp_end'], '') if main else '')}"
+        out = "<w:p>" + pack.of_paragraph(p["props"], pack.section_ends.get(p["cp_end"], "") if main else "")
         for i in pack.inlines.get(k, []):
             out += pack.due(p["story"], i["cp"])
-            props = run_props(dict(i["props"]), pack.style_ids["character"])
+            props = pack.of_run(i["props"])
             kind, body = i["kind"], None
             if kind in ("footnote", "endnote"):
                 body = f'<w:{kind}Reference w:id="{i["text"]}"/>'
@@ -354,6 +354,8 @@ class _Package:
     def __init__(self, doc: dict) -> None:
         self.doc = doc
         self.style_ids = {kind: {str(s["id"]) for s in doc["styles"] if s["kind"] == kind} for kind in ("paragraph", "character", "table", "numbering")}
+        self.run_texts: dict[tuple, str] = {}
+        self.paragraph_texts: dict[tuple, str] = {}
         self.inlines: dict[int, list[dict]] = {}
         for i in doc["inlines"]:
             self.inlines.setdefault(i["paragraph"], []).append(i)
@@ -381,6 +383,19 @@ class _Package:
         said = boundaries([(c["id"], c["range_start"], c["range_end"]) for c in doc["comments"] if c["range_start"] is not None])
         self.marks["main"] = sorted([*self.marks.get("main", []), *((cp, f'<w:commentRange{what.title()} w:id="{n}"/>') for cp, what, n in said)], key=lambda m: m[0])[::-1]
 
+    def of_run(self, props: dict | list) -> str:
+        """The properties of runs, each kind written once."""
+        key = tuple(props.items() if isinstance(props, dict) else props)
+        if key not in self.run_texts:
+            self.run_texts[key] = run_props(dict(key), self.style_ids["character"])
+        return self.run_texts[key]
+
+    def of_paragraph(self, props: dict | list, section: str) -> str:
+        key = section, *(props.items() if isinstance(props, dict) else props)
+        if key not in self.paragraph_texts:
+            self.paragraph_texts[key] = paragraph_props(dict(key[1:]), self.style_ids["paragraph"], section)
+        return self.paragraph_texts[key]
+
     def due(self, story: str, cp: int) -> str:
         todo, out = self.marks.get(story, []), ""
         while todo and todo[-1][0] <= cp:
