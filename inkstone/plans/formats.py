@@ -451,3 +451,163 @@ def doc_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = F.col("stats")
     return parsed_documents(spark, sf_dir, "stats").select("doc_id", s["paragraph_count"].alias("paragraphs"), s["main_story_cp_count"].alias("positions"), s["piece_count"].alias("pieces"), s["fib_version"].alias("version"))
+
+
+def _tabbed(k: int, size: int) -> bytes:
+    """A style with tab stops, one of which the paragraph takes away, and one that it adds."""
+    own = struct.pack("<Bhh", 2, 100, 700) + bytes([1, 0])
+    change = struct.pack("<Bh", 1, 100) + struct.pack("<Bh", 1, 1000 + k) + bytes([2 | (k % 5) << 3])
+    sheet = builder.style_sheet([builder.style("Normal", pap=_sized(0xC60D, b"\0" + own))])
+    return builder.document("x\r", para_runs=[(0, 2, 0, _sized(0xC60D, change))], tables={"styles": sheet})
+
+
+@query("""SELECT p_partkey, '100:clear;' || CASE WHEN p_partkey % 5 = 0 THEN '700:left;' || (1000 + p_partkey) || ':right' ELSE '700:left;' || (1000 + p_partkey) || ':right:' || (['dot', 'hyphen', 'underscore', 'heavy'])[p_partkey % 5] END AS tabs FROM part""")
+def doc_tabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir, _tabbed, ["p_size"], "paragraphs").select("p_partkey", _first("paragraphs")["props"]["tabs"].alias("tabs"))
+
+
+def _looked(k: int, size: int) -> bytes:
+    """A table with a width of some kind, an indent, a look, a height and free columns around it."""
+    kind = k % 3 + 1
+    mods = IN_TABLE + struct.pack("<HB", 0x2417, 1) + _defined([0, 500]) + struct.pack("<HBH", 0xF614, kind, 0 if kind == 1 else 50 + size) + struct.pack("<HBh", 0xF661, 3, -size) + struct.pack("<HhH", 0x740A, 0, (k % 64) << 5)
+    mods += struct.pack("<Hh", 0x9407, size if k % 2 else -size) + struct.pack("<HBH", 0xF617, 3, 40) + struct.pack("<HBH", 0xF618, 3, 60)
+    return builder.document("a\x07\x07", para_runs=[(0, 2, 0, IN_TABLE), (2, 3, 0, mods)])
+
+
+@query("""SELECT p_partkey, (['auto', 'pct', 'dxa'])[p_partkey % 3 + 1] AS width_type, CASE WHEN p_partkey % 3 > 0 THEN 50 + p_size ELSE 0 END::BIGINT AS width, (-p_size)::BIGINT AS indent, p_partkey % 2 = 1 AS first_row, (p_partkey >> 5) % 2 = 1 AS no_column_bands,
+  p_size::BIGINT AS height, CASE WHEN p_partkey % 2 = 1 THEN 'atLeast' ELSE 'exact' END AS rule, '-40,0,500,560' AS columns, 1 AS before, 1 AS after FROM part""")
+def doc_table_look(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _parts(spark, sf_dir, _looked, ["p_size"], "tables", "table_rows")
+    t, r = _first("tables"), _first("table_rows")
+    p = t["props"]
+    return found.select(
+        "p_partkey", p["width_type"].alias("width_type"), p["width"].cast("bigint").alias("width"), p["left_twips"].cast("bigint").alias("indent"), (p["look_first_row"] == "true").alias("first_row"), (p["look_no_column_bands"] == "true").alias("no_column_bands"),
+        r["props"]["height_twips"].cast("bigint").alias("height"), r["props"]["height_rule"].alias("rule"), F.array_join(t["columns"].cast("array<string>"), ",").alias("columns"), r["grid_before"].alias("before"), r["grid_after"].alias("after"),
+    )
+
+
+def _pieced(k: int, name: str | None) -> bytes:
+    """A piece that carries a modifier itself, one that names a list, and a paragraph whose list lies in the data stream."""
+    far = struct.pack("<HB", 0x2403, k % 3)
+    data = bytes(16) + struct.pack("<H", len(far)) + far
+    return builder.document([f"{name}", "x", "\r"], prms=[(0x55 + k % 4) << 1 | 1 << 8, 1, 0], shared=[struct.pack("<HB", 0x2A42, k % 17)], para_runs=[(0, len(name or "") + 2, 0, struct.pack("<HI", 0x6646, 16))], streams={"Data": data})
+
+
+@query(f"""SELECT p_partkey, (['bold', 'italic', 'strike', 'outline'])[p_partkey % 4 + 1] AS flag, ({_PALETTE})[p_partkey % 17 + 1] AS color, (['left', 'center', 'right'])[p_partkey % 3 + 1] AS align FROM part""")
+def doc_piece_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _parts(spark, sf_dir, _pieced, ["p_name"], "inlines", "paragraphs")
+    first, second = F.element_at("inlines", 1)["props"], F.element_at("inlines", 2)["props"]
+    return found.select("p_partkey", F.element_at(F.map_keys(first), 1).alias("flag"), second["color"].alias("color"), _first("paragraphs")["props"]["align"].alias("align"))
+
+
+def _imaged(k: int, name: str | None) -> bytes:
+    """Stored images that shapes show: a bitmap without its file header, a packed metafile, a picture with a tail."""
+    import zlib
+
+    body = (name or "").encode()
+    dib = struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
+    packed = zlib.compress(body)
+    meta = bytes(16) + struct.pack("<I", len(body)) + bytes(24) + struct.pack("<IBB", len(packed), 0, 0xFE) + packed
+    each = [(0xF01F, 0x7A8, bytes(16) + b"\xff" + dib), (0xF01A, 0x3D4, meta), (0xF01D, 0x46A, bytes(16) + b"\xff" + b"\xff\xd8\xff" + body + b"\xff\xd9tail")]
+    kind, instance, data = each[k % 3]
+    entry = D.record(0xF007, 6, bytes(28) + struct.pack("<IBBBB", 0, 0, 0, 0, 0) + D.record(kind, instance, data))
+    top = D.record(0xF000, 0, D.record(0xF001, 1, entry, True), True)
+    shown = D.record(0xF004, 0, D.record(0xF00A, 75, struct.pack("<II", 1025, 0xA00)) + D.record(0xF00B, 1, struct.pack("<Hi", 0x4104, 1)), True)
+    page = b"\0" + D.record(0xF002, 0, D.record(0xF003, 0, D.record(0xF004, 0, D.record(0xF00A, 0, struct.pack("<II", 1, 5)), True) + shown, True), True)
+    return builder.document("\x08\r", tables={"drawing": top + page, "shapes_main": struct.pack("<ii", 0, 2) + struct.pack("<iiiiiHi", 1025, 0, 0, 99, 99, 2 << 5, 0)})
+
+
+@query("""SELECT p_partkey, (['bmp', 'emf', 'jpeg'])[p_partkey % 3 + 1] AS format, (CASE p_partkey % 3 WHEN 0 THEN 58 WHEN 1 THEN len(p_name) ELSE len(p_name) + 5 END)::BIGINT AS bytes, 'picture' AS kind, 1::BIGINT AS media FROM part""")
+def doc_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _parts(spark, sf_dir, _imaged, ["p_name"], *docx._NEEDED)
+
+    @F.arrow_udf("bigint")
+    def media(files: pa.Array) -> pa.Array:
+        return pa.array([sum(n.startswith("word/media/") for n in docx.names(f)) for f in files.to_pylist()], pa.int64())
+
+    packed = docx.packages(found, "p_partkey").select("p_partkey", media("docx").alias("media"))
+    image = _first("images")
+    each = found.select("p_partkey", image["format"].alias("format"), F.length(image["data"]).cast("bigint").alias("bytes"), _first("shapes")["kind"].alias("kind"))
+    return each.join(packed, "p_partkey")
+
+
+def _shortened(text: str | None, doc_id: int | None) -> bytes:
+    """Every other document loses the end of its last sector, which holds nothing that is read."""
+    whole = builder.document((text or "").replace("\n", "\r"))
+    return whole[:-100] if (doc_id or 0) % 2 else whole
+
+
+@query("""SELECT doc_id, 'ok' AS status, '1Table,WordDocument' AS streams, (doc_id % 2)::BIGINT AS repairs, 193 AS version FROM documents""")
+def doc_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("nth", F.col("doc_id"))
+    parsed = parse.parse(made(docs, _shortened, "doc_id", ["text", "nth"]), "doc_id", relations=("version", "language", "encrypted", "entries", "stories", "stats"))
+    found = parse.inspect(parsed, "doc_id").select("doc_id", F.from_json("report", "status string, version int, entries array<struct<path: string, kind: string>>, stats map<string, bigint>").alias("r"))
+    streams = F.transform(F.filter(F.col("r.entries"), lambda e: e["kind"] == "stream"), lambda e: e["path"])
+    return found.select("doc_id", F.col("r.status").alias("status"), F.array_join(streams, ",").alias("streams"), F.col("r.stats")["warning_count"].alias("repairs"), F.col("r.version").alias("version"))
+
+
+def _described(key: int | None, name: str | None, market: str | None) -> bytes:
+    return builder.document("x\r", summary={"title": name or "", "author": market or "", "created": ((key or 0) + 11_644_473_600) * 10_000_000})
+
+
+@query("""SELECT c_custkey, c_name AS title, c_mktsegment AS author, strftime(make_timestamp(c_custkey::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created, 3::BIGINT AS n FROM customer""")
+def doc_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey"))
+    found = parse.parse(made(customers, _described, "c_custkey", ["key", "c_name", "c_mktsegment"]), "c_custkey", relations=("core_properties", "stats"))
+    p = F.col("core_properties")
+    return found.select("c_custkey", p["title"].alias("title"), p["author"].alias("author"), p["created"].alias("created"), F.col("stats")["core_property_count"].alias("n"))
+
+
+def _marked(k: int, size: int) -> bytes:
+    """Three bookmarks: on columns of a table or not, an empty one, and one that no story holds."""
+    text = "x" * size + "\r"
+    bits = 0x8000 | (k % 3) | (k % 3 + 2) << 8 if k % 2 else 0
+    starts = struct.pack("<iiii", 0, size, size, size + 2) + struct.pack("<HHHHHH", 0, bits, 1, 0, 2, 0)
+    return builder.document(text, stories={"footnotes": "n\r\r"}, tables={"bookmark_names": builder.wide_strings(["a", "b", "c"]), "bookmark_starts": starts, "bookmark_ends": struct.pack("<iiii", size, size, size + 3, size + 4)})
+
+
+@query("""SELECT p_partkey, name, story, column_first, column_last, marks FROM part, LATERAL (SELECT unnest(['a', 'b', 'c']) AS name, unnest(['main', 'main', NULL]) AS story, unnest([CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 3 END, NULL, NULL]) AS column_first,
+  unnest([CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 3 + 1 END, NULL, NULL]) AS column_last, 'Start0,End0,Start1,End1' AS marks)""")
+def doc_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _parts(spark, sf_dir, _marked, ["p_size"], *docx._NEEDED)
+
+    @F.arrow_udf("string")
+    def marks(files: pa.Array) -> pa.Array:
+        out = []
+        for f in files.to_pylist():
+            each = (e for e in docx.tree(f, "word/document.xml").iter() if e.tag.startswith(docx.tag("bookmark")))
+            out.append(",".join(e.tag.rpartition("bookmark")[2] + e.get(docx.tag("id")) for e in each))
+        return pa.array(out, pa.string())
+
+    packed = docx.packages(found, "p_partkey").select("p_partkey", marks("docx").alias("marks"))
+    b = found.select("p_partkey", F.inline("bookmarks"))
+    return b.select("p_partkey", "name", "story", F.col("column_first").cast("bigint").alias("column_first"), F.col("column_last").cast("bigint").alias("column_last")).join(packed, "p_partkey")
+
+
+def _boxed(k: int, name: str | None) -> bytes:
+    """A text box with the part's name, in a group or by itself."""
+    def sp(kind: int, number: int, flags: int, extra: bytes = b"") -> bytes:
+        return D.record(0xF004, 0, D.record(0xF00A, kind, struct.pack("<II", number, flags)) + extra, True)
+
+    child = D.record(0xF00F, 0, struct.pack("<iiii", 25, 0, 75, 100))
+    group = D.record(0xF003, 0, sp(0, 2000, 1, D.record(0xF009, 0, struct.pack("<iiii", 0, 0, 100, 100))) + sp(202, 2001, 2, child), True)
+    inner = group if k % 2 else sp(202, 2001, 0xA00)
+    page = b"\0" + D.record(0xF002, 0, D.record(0xF003, 0, sp(0, 1, 5) + inner, True), True)
+    spa = struct.pack("<ii", 0, 2) + struct.pack("<iiiiiHi", 2000 if k % 2 else 2001, 0, 0, 400, 400, 2 << 5, 0)
+    story = f"{name}\r"
+    box = struct.pack("<iii", 0, len(story), len(story) + 1) + (bytes(14) + struct.pack("<i", 2001) + bytes(4)) + bytes(22)
+    return builder.document("\x08\r", stories={"textboxes": story + "\r"}, tables={"drawing": D.record(0xF000, 0, b"", True) + page, "shapes_main": spa, "textbox_texts": box})
+
+
+@query("""SELECT p_partkey, p_name AS text, CASE WHEN p_partkey % 2 = 1 THEN 100 ELSE 0 END AS l, CASE WHEN p_partkey % 2 = 1 THEN 300 ELSE 400 END AS r, p_name AS said, (p_partkey % 2)::BIGINT AS grouped FROM part""")
+def doc_textboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _parts(spark, sf_dir, _boxed, ["p_name"], *docx._NEEDED, "stats")
+
+    @F.arrow_udf("string")
+    def said(files: pa.Array) -> pa.Array:
+        boxes = (next(docx.tree(f, "word/document.xml").iter(docx.tag("txbxContent")), None) for f in files.to_pylist())
+        return pa.array(["".join(t.text or "" for t in b.iter(docx.tag("t"))) if b is not None else None for b in boxes], pa.string())
+
+    packed = docx.packages(found, "p_partkey").select("p_partkey", said("docx").alias("said"))
+    box = F.element_at(F.filter("shapes", lambda s: s["kind"] == "textbox"), 1)
+    return found.select("p_partkey", box["text"].alias("text"), box["l"].alias("l"), box["r"].alias("r"), F.col("stats")["reconstructed_grouped_main_textbox_count"].alias("grouped")).join(packed, "p_partkey")

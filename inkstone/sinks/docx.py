@@ -97,7 +97,7 @@ _PARA_FLAGS = (("no_hyphenation", "suppressAutoHyphens"), ("kinsoku", "kinsoku")
 def paragraph_props(p: dict[str, str], style_ids: set[str], section: str = "") -> str:
     style = p.get("style_id") if p.get("style_id") in style_ids else None
     out = _value("pStyle", f"S{style}" if style else None) + "".join(_on_off(tag, p.get(k)) for k, tag in (("keep_next", "keepNext"), ("keep_lines", "keepLines"), ("page_break_before", "pageBreakBefore"))) + _frame(p) + _on_off("widowControl", p.get("widow_control"))
-    if p.get("list_id", "None") != "None":
+    if p.get("list_id", "None") != "None" and "list_skipped" not in p:
         out += f'<w:numPr><w:ilvl w:val="{p.get("list_level", "0")}"/><w:numId w:val="{p["list_id"]}"/></w:numPr>'
     out += _on_off("suppressLineNumbers", p.get("no_line_numbers")) + _borders("pBdr", p, {k: k for k in (*_SIDES, "between")}) + _shade(p.get("shading"))
     if "tabs" in p:
@@ -353,6 +353,10 @@ def _ended(body: str) -> str:
 class _Package:
     def __init__(self, doc: dict) -> None:
         self.doc = doc
+        for name, key in (("pictures", "id"), ("images", "id"), ("bookmarks", "id"), ("comments", "id"), ("list_uses", "id")):
+            ids = [x[key] for x in doc[name]]
+            if len(set(ids)) != len(ids):
+                raise ValueError(f"two {name} of one document share a number")
         self.style_ids = {kind: {str(s["id"]) for s in doc["styles"] if s["kind"] == kind} for kind in ("paragraph", "character", "table", "numbering")}
         self.run_texts: dict[tuple, str] = {}
         self.paragraph_texts: dict[tuple, str] = {}

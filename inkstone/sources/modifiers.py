@@ -259,6 +259,14 @@ def fold_paragraph(mods: list[tuple[int, bytes]], base: dict, unknown: set[int])
         elif opcode in (0x4610, 0x465F):  # a nesting takes the place of the one before, and the modern kind of the other
             if opcode == 0x465F or not out.get("nest_modern"):
                 out |= {"left_twips": out.get("left_twips", 0) - out.get("nest_twips", 0) + _i16(b), "nest_twips": _i16(b), "nest_modern": opcode == 0x465F}
+        elif opcode == 0x260A:  # a level that is none leaves the paragraph without its number
+            if 0 <= _i8(b) <= 8:
+                out["list_level"] = _i8(b)
+                out.pop("list_skipped", None)
+            elif b[0] == 12:
+                out["list_skipped"] = True
+            else:
+                unknown.add(opcode)
         elif opcode == 0x2602:  # headings deeper or less deep, as far as they go
             level = out.get("style_id", 0) + _i8(b)
             if 1 <= out.get("style_id", 0) <= 9:

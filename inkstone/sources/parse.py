@@ -411,7 +411,7 @@ def statistics(main: list, paragraphs: list, inlines: list, nodes: list, rows: l
     named = lambda p, *keys: any(k in p for k in keys)
     out = {
         "paragraph_count": len(main), "style_count": len(sheet), "table_style_count": styles["table"], "numbering_style_count": styles["numbering"], "bookmark_count": len(marks), "preserved_bookmark_count": sum(m["story"] is not None for m in marks), "column_bookmark_count": sum(m["column_first"] is not None for m in marks),
-        "abstract_numbering_count": len(abstract), "named_list_count": sum(x["name"] is not None for x in abstract), "numbering_instance_count": len(used), "numbering_level_count": sum(len(x["levels"]) for x in abstract), "numbered_paragraph_count": sum(p["props"].get("list_id", "None") != "None" for p in paragraphs),
+        "abstract_numbering_count": len(abstract), "named_list_count": sum(x["name"] is not None for x in abstract), "numbering_instance_count": len(used), "numbering_level_count": sum(len(x["levels"]) for x in abstract), "numbered_paragraph_count": sum(p["props"].get("list_id", "None") != "None" and "list_skipped" not in p["props"] for p in paragraphs),
         "table_count": kinds["table"], "table_row_count": kinds["row"], "table_cell_count": kinds["cell"], "styled_table_count": sum("style_id" in r for r in firsts), "preferred_width_table_count": sum(r.get("width_type", "nil") not in ("nil", "auto") for r in firsts), "cell_width_override_count": sum(len(r.get("widths", [])) for _, r in rows),
         "section_count": len(cuts), "document_grid_section_count": of(lambda p: "grid_type" in p), "section_page_number_format_count": of(lambda p: "page_number_format" in p), "section_page_number_start_count": of(lambda p: "page_number_start" in p), "chapter_numbered_section_count": of(lambda p: "chapter_style" in p),
         "page_bordered_section_count": of(lambda p: "border_display" in p), "paper_source_section_count": of(lambda p: named(p, "paper_first", "paper_other")), "form_protected_section_count": of(lambda p: p.get("form_protected")), "rtl_gutter_section_count": of(lambda p: p.get("rtl_gutter")), "line_numbered_section_count": of(lambda p: "line_number_count_by" in p),
@@ -426,8 +426,9 @@ def statistics(main: list, paragraphs: list, inlines: list, nodes: list, rows: l
         "deferred_floating_picture_count": 0, "deferred_header_floating_picture_count": 0, "non_picture_floating_shape_count": sum(s["kind"] != "picture" for s in shapes), "symbol_character_count": sorts["symbol"], "custom_tab_stop_count": sum(p["props"].get("tabs", "").count(":") and len(p["props"]["tabs"].split(";")) for p in paragraphs),
         "field_count": len(fields), "live_field_count": sum(f["live"] for f in fields),
     }
+    floats = {s["shape_id"] for s in shapes}
     for which, some in own_boxes.items():
-        grouped = [s for s in some if s["parent"] is not None and s["parent"] != s["shape_id"]]
+        grouped = [s for s in some if s["parent"] in floats]
         out |= {f"{which}_textbox_count": len(some), f"reconstructed_grouped_{which}_textbox_count": len(grouped), f"deferred_grouped_{which}_textbox_count": 0, f"styled_{which}_textbox_count": sum(bool(s["style"]) for s in some), f"{which}_textbox_field_count": sum(f["story"] in labels[which] for f in fields)}
     out["deferred_grouped_main_textbox_count"] = len(set(boxes) - {s["shape_id"] for s in shapes})
     return out
