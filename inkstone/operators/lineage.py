@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,35 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written and read again: what comes after does not compute it a second time."""
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+def remove(uri: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    parts = urlparse(uri)
+    if parts.scheme in ("", "file"):
+        shutil.rmtree(parts.path, ignore_errors=True)
+        return
+    from pyarrow import fs
+
+    try:
+        store, path = fs.FileSystem.from_uri(uri)
+        store.delete_dir(path)
+    except OSError:  # not there, or gone with its store
+        pass
+
+
+def made(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing else uses; it goes when the driver ends, if nothing removes it before."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, path)
+    return path
+
+
+def cut(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """``df`` written and read again: what comes after does not compute it a second time. ``after`` is an earlier cut that
+    ``df`` alone read, which is deleted then."""
+    path = made(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    again.cut_at = path
+    if after is not None:
+        remove(after.cut_at)
+    return again

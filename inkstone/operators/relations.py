@@ -59,6 +59,7 @@ def chain(spark: SparkSession, nodes: DataFrame, node: str, parent: str, values:
     for _ in range(depth_limit.bit_length()):
         if state.filter("__at IS NOT NULL").isEmpty():
             break
+        before = state
         above = state.select(F.col(node).alias("__n"), F.col("__at").alias("__next"), F.col("depth").alias("__d"), *[F.col(c).alias(u) for c, u in up.items()])
         state = state.join(above, F.col("__at") == F.col("__n"), "left").select(
             node,
@@ -66,7 +67,7 @@ def chain(spark: SparkSession, nodes: DataFrame, node: str, parent: str, values:
             F.when(F.col("__n").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("__d") + 1).alias("depth"),
             *[F.coalesce(c, u).alias(c) for c, u in up.items()],
         )
-        state = cut(state)
+        state = cut(state, after=before)
     return state.filter("__at IS NULL").drop("__at")
 
 

@@ -33,12 +33,19 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, password: str | None
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windows(events: DataFrame, at: str, key: str, width: str, late: str) -> DataFrame:
-    """Counts by key and tumbling window; state of a window goes once events can be no later than ``late``."""
-    counted = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windows(events: DataFrame, at: str, key: str, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """Counts by key and window, one after another or, with ``slide``, one each such step; state of a window goes once events
+    can be no later than ``late``."""
+    counted = events.withWatermark(at, late).groupBy(F.window(at, width, slide).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counted.select(F.col("w.start").alias("start"), key, "n", "total")
 
 
+def sessions(events: DataFrame, at: str, key: str, gap: str, late: str) -> DataFrame:
+    """Counts by key and stretch of events that are less than ``gap`` apart; a stretch is given once no event can join it."""
+    counted = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "total")
+
+
 def run_once(stream: DataFrame, folder: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``change`` applied to all that a stream has now, by micro-batches, with its result as a table."""
     spark = stream.sparkSession
