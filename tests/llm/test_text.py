@@ -86,3 +86,25 @@ def test_elias_fano_dense_and_packed_search():
     assert (p[np.arange(5000)] == v).all()
     at, found = search(p, np.zeros(3, np.int64), np.full(3, 5000), np.array([0, v[77], 10**6], np.uint64))
     assert at.tolist() == [0, int(np.searchsorted(v, v[77])), 5000] and found.tolist() == [v[0] == 0, True, False]
+
+
+def test_files_of_a_store_that_cannot_be_mapped(tmp_path, monkeypatch):
+    """Read whole, kept up to a bound, and gone with their folder; the same bytes as where they are mapped."""
+    import numpy as np
+
+    from inkstone.llm import shared as S
+
+    uri = f"file://{tmp_path}/some"
+    for k in range(5):
+        S.put(f"{uri}/{k}", np.arange(100 + k).tobytes())
+    mapped = [np.array(S.mapped(f"{uri}/{k}")) for k in range(5)]
+    monkeypatch.setattr(S, "local", lambda u: None)
+    monkeypatch.setattr(S, "KEPT_BYTES", 2000)
+    for k in (0, 1, 2, 3, 4, 0):
+        assert (S.mapped(f"{uri}/{k}") == mapped[k]).all() and sum(x.nbytes for x in S._read.values()) <= 2000
+    assert list(S._read) == [f"{uri}/4", f"{uri}/0"]
+    S.put(f"{uri}/more/9", b"12345678")
+    assert bytes(S.existing(f"{uri}/more/9")) == b"12345678" and not len(S.existing(f"{uri}/none"))
+    S.remove(uri)
+    assert not (tmp_path / "some").exists()
+    S.remove(uri)  # again: nothing
