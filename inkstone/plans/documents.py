@@ -137,9 +137,9 @@ def doc_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _noted(name: str | None, comment: str | None) -> bytes:
-    text, note = f"{name or ''}\x02\r", f"{comment or ''}\r"
+    text, note = f"{name or ''}\x02\r", f"\x02{comment or ''}\r"
     n = len(name or "")
-    return builder.document(text, stories={"footnotes": note + "\r"}, tables={"footnote_refs": struct.pack("<iiH", n, n + 2, 1), "footnote_texts": struct.pack("<iii", 0, len(note), len(note) + 1)}, summary={"title": name or ""})
+    return builder.document(text, stories={"footnotes": note + "\r"}, char_runs=[(n, n + 1, struct.pack("<HB", 0x0855, 1))], tables={"footnote_refs": struct.pack("<iiH", n, n + 2, 1), "footnote_texts": struct.pack("<iii", 0, len(note), len(note) + 1)}, summary={"title": name or ""})
 
 
 @query("SELECT n_nationkey, n_name AS text, n_regionkey::VARCHAR AS note, n_name AS title FROM nation")

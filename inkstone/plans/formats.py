@@ -258,18 +258,18 @@ def doc_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remarked(name: str | None, key: int | None) -> bytes:
-    """Two comments by two authors: on the name, and on nothing that is there."""
-    text = f"{name}\x05x\x05\r"
+    """Three comments by two authors: on the name, on nothing that is there, and one without its own mark."""
+    text = f"{name}\x05x\x05y\x05\r"
     n = len(name or "")
     who = b"".join(struct.pack("<H", len(a)) + a.encode("utf-16-le") for a in ("Ann", "Bob"))
     record = lambda author, tag: struct.pack("<H", 1) + "AB"[author].encode("utf-16-le") + bytes(16) + struct.pack("<HHHi", author, 0, 0, tag)
-    stories = "one\r", f"two {key}\r"
+    stories = "\x05one\r", f"\x05two {key}\r", "no mark\r"
     tags = struct.pack("<HHH", 0xFFFF, 1, 10) + struct.pack("<HHii", 0, 0, 77, 77)
     return builder.document(
-        text, stories={"comments": "".join(stories) + "\r"},
+        text, stories={"comments": "".join(stories) + "\r"}, char_runs=[(cp, cp + 1, SPECIAL) for cp in (n, n + 2, n + 4, n + 6, n + 6 + len(stories[0]))],
         tables={
-            "comment_refs": struct.pack("<iii", n, n + 2, n + 4) + record(0, 77) + record(1, 78), "comment_texts": struct.pack("<iiii", 0, 4, 4 + len(stories[1]), 5 + len(stories[1])), "comment_owners": who,
-            "comment_tags": tags, "comment_starts": struct.pack("<iiHH", 0, n + 5, 0, 0), "comment_ends": struct.pack("<ii", n, n + 5),
+            "comment_refs": struct.pack("<iiii", n, n + 2, n + 4, n + 6) + record(0, 77) + record(1, 78) + record(0, -1), "comment_texts": struct.pack("<iiiii", 0, 5, 5 + len(stories[1]), 13 + len(stories[1]), 14 + len(stories[1])), "comment_owners": who,
+            "comment_tags": tags, "comment_starts": struct.pack("<iiHH", 0, n + 7, 0, 0), "comment_ends": struct.pack("<ii", n, n + 7),
         },
     )
 
@@ -413,12 +413,14 @@ def doc_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _noted(name: str | None, key: int | None) -> bytes:
-    text, note = f"{name or ''}\x02\r", f"{key}\rmore\r"
+    """An endnote of two paragraphs, with a number or, for every third, a mark of its own."""
+    own = (key or 0) % 3 == 0
+    text, note = f"{name or ''}{'*' if own else chr(2)}\r", f"{'' if own else chr(2)}{key}\rmore\r"
     n = len(name or "")
-    return builder.document(text, stories={"endnotes": note + "\r"}, tables={"endnote_refs": struct.pack("<iiH", n, n + 2, 1), "endnote_texts": struct.pack("<iii", 0, len(note), len(note) + 1)})
+    return builder.document(text, stories={"endnotes": note + "\r"}, char_runs=[] if own else [(n, n + 1, SPECIAL)], tables={"endnote_refs": struct.pack("<iiH", n, n + 2, int(not own)), "endnote_texts": struct.pack("<iii", 0, len(note), len(note) + 1)})
 
 
-@query("SELECT c_custkey, 'endnote' AS kind, c_custkey || chr(10) || 'more' AS text, 2::BIGINT AS paragraphs FROM customer")
+@query("SELECT c_custkey, 'endnote' AS kind, c_custkey || chr(10) || 'more' AS text, CASE WHEN c_custkey % 3 = 0 THEN '*' END AS custom, 2::BIGINT AS paragraphs FROM customer")
 def doc_endnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey"))
     found = parse.parse(made(customers, _noted, "c_custkey", ["c_name", "key"]), "c_custkey", relations=docx._NEEDED)
@@ -429,7 +431,8 @@ def doc_endnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = docx.packages(found, "c_custkey").select("c_custkey", paragraphs("docx").alias("paragraphs"))
     note = _first("notes")
-    return found.select("c_custkey", note["kind"].alias("kind"), note["text"].alias("text")).join(packed, "c_custkey")
+    mark = F.element_at(F.filter("inlines", lambda i: i["kind"] == "endnote"), 1)["props"]["custom_mark"]
+    return found.select("c_custkey", note["kind"].alias("kind"), note["text"].alias("text"), mark.alias("custom")).join(packed, "c_custkey")
 
 
 def _odd(k: int, size: int) -> bytes:

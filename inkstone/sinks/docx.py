@@ -281,12 +281,16 @@ class _Story:
         p = doc["paragraphs"][k]
         main = p["story"] == "main"
         out = "<w:p>" + pack.of_paragraph(p["props"], pack.section_ends.get(p["cp_end"], "") if main else "")
+        kind = p["story"].partition(":")[0]
+        if kind in ("footnote", "endnote", "comment") and p["ix"] == 0:  # the note's own number, which its reader shows
+            out += f"<w:r><w:{'annotationRef' if kind == 'comment' else kind + 'Ref'}/></w:r>"
         for i in pack.inlines.get(k, []):
             out += pack.due(p["story"], i["cp"])
             props = pack.of_run(i["props"])
             kind, body = i["kind"], None
             if kind in ("footnote", "endnote"):
-                body = f'<w:{kind}Reference w:id="{i["text"]}"/>'
+                own = dict(i["props"]).get("custom_mark")
+                body = f'<w:{kind}Reference{' w:customMarkFollows="1"' if own else ""} w:id="{i["text"]}"/>' + (_text(own) if own else "")
             elif kind == "comment":
                 body = f'<w:commentReference w:id="{int(i["text"]) - 1}"/>'
             elif kind == "picture":

@@ -146,6 +146,35 @@ def _flat(row: dict) -> dict[str, str]:
     return _props(own | {f"margin_{k}": v for k, v in row.get("default_margins", {}).items() if v is not None})
 
 
+def _check_notes(foot: list[dict], end: list[dict], said: list[dict], stories: dict, text: str, chars: Spans, tally: Counter) -> None:
+    """Notes and comments have the marks that they should: of an automatic number in the text, and their own in what they
+    say, which is no part of it (``mark``). A comment without its own mark is left out (``skipped``)."""
+    for kind, which, some in (("footnote", "footnotes", foot), ("endnote", "endnotes", end), ("comment", "comments", said)):
+        base, sign = stories[which][0], "\x05" if kind == "comment" else "\x02"
+        for n in some:
+            cp, a, b = n["ref_cp"], base + n["text_start"], base + n["text_end"]
+            n |= {"mark": None, "skipped": False}
+            own = kind != "comment" and not struct.unpack("<H", n["raw"])[0]  # a mark of its own in place of a number
+            if text[cp : cp + 1] < " " if own else text[cp : cp + 1] != sign or not chars.at(cp).get("special"):
+                raise CorruptDocument(f"the text has no mark for a {kind} at {cp}")
+            body = text[a:b]
+            if kind == "comment" and body.count(sign) != 1:
+                n["skipped"] = True
+                tally["COMMENT_MARKER_MISSING_SKIPPED"] += 1
+                continue
+            if not body.endswith("\r"):
+                raise CorruptDocument(f"a {kind} does not end with a paragraph")
+            if kind == "comment":
+                n["mark"] = a + body.index(sign)
+                if not chars.at(n["mark"]).get("special"):
+                    raise CorruptDocument("a comment's own mark is an ordinary character")
+                tally["COMMENT_MARKER_POSITION_REPAIRED"] += n["mark"] > a
+            elif body.startswith(sign):
+                n["mark"] = a
+    for code in [c for c, n in tally.items() if not n]:
+        del tally[code]
+
+
 _FIELD_SLOTS = {"main": "fields_main", "footnotes": "fields_footnotes", "headers": "fields_headers", "comments": "fields_comments", "endnotes": "fields_endnotes", "textboxes": "fields_textboxes", "header_textboxes": "fields_header_textboxes"}
 _SEPARATORS = ("footnote_separator", "footnote_continuation_separator", "footnote_continuation_notice", "endnote_separator", "endnote_continuation_separator", "endnote_continuation_notice")
 
@@ -216,6 +245,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
     foot, end = W.notes(get("footnote_refs"), get("footnote_texts")), W.notes(get("endnote_refs"), get("endnote_texts"))
     ranges = W.comment_ranges(get("comment_tags"), get("comment_starts"), get("comment_ends"), tally)
     said = W.comments(get("comment_refs"), get("comment_texts"), get("comment_owners"), ranges, tally)
+    _check_notes(foot, end, said, stories, text, char_spans, tally)
     options, repairs = W.settings(get("settings"), h.version)
     for code in repairs:
         tally[code] += 1
@@ -223,7 +253,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
     abstract, used = W.lists(tables[list_at[0] :] if list_at[1] else b"", get("list_uses"), get("list_names"), tally)
     names = Names(frozenset(m["name"].casefold() for m in marks), frozenset(s.name.casefold() for s in sheet.values()), frozenset(x["name"].casefold() for x in abstract if x["name"]))
     ends: dict[int, int] = {}
-    field_marks = binary_data = 0
+    field_marks = binary_data = consumed = 0
     for which, slot_name in _FIELD_SLOTS.items():
         entries = W.fields(get(slot_name))
         field_marks += len(entries)
@@ -232,7 +262,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
 
     # Pictures and objects by what their marks say; binary data of some fields is no text.
     pools = {int(p.rpartition("_")[2]): p for p, e in file.entries.items() if e.kind == "storage" and p.startswith("ObjectPool/_") and p.count("/") == 1 and p.rpartition("_")[2].isdigit()}
-    pictures, objects, ignored = [], [], set()
+    pictures, objects, ignored = [], [], {n["mark"] for some in (foot, end, said) for n in some if n["mark"] is not None}
     if "\x01" in text or pools:
         around: dict[int, str] = {}
         for a, b in stories.values():
@@ -253,6 +283,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
                         binary_data += 1
                         if around.get(cp) in ("HYPERLINK", "NOTEREF", "PAGEREF", "REF"):
                             ignored.add(cp)
+                            consumed += 1
                         else:
                             tally["BINARY_FIELD_DATA_DEFERRED"] += 1
                     elif not props.get("ole"):
@@ -265,7 +296,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
         tally["OLE_OBJECTS_UNANCHORED"] += len(loose)
     drawn, images = D.drawings(get("drawing"), word)
     anchors = W.shapes(get("shapes_main"), "main") + W.shapes(get("shapes_headers"), "headers")
-    refs = {n["ref_cp"]: (kind, k) for kind, some in (("footnote", foot), ("endnote", end), ("comment", said)) for k, n in enumerate(some, 1)}
+    refs = {n["ref_cp"]: (kind, k) for kind, some in (("footnote", foot), ("endnote", end), ("comment", said)) for k, n in enumerate(some, 1) if not n["skipped"]}
     refs |= {p["cp"]: ("picture", p["id"]) for p in pictures}
     refs |= {stories[s["story"]][0] + s["anchor_cp"]: ("shape", s["shape_id"]) for s in reversed(anchors)}
     cuts = W.sections(get("sections"), word, unknown, h.language, h.counts["main"], tally)
@@ -321,7 +352,8 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
         return story(label, lo + a, lo + b)
 
     noted = [{"kind": kind, "id": k, "ref_cp": n["ref_cp"], "text": beside(which, f"{kind}:{k}", n["text_start"], n["text_end"])} for kind, which, some in (("footnote", "footnotes", foot), ("endnote", "endnotes", end)) for k, n in enumerate(some, 1)]
-    remarks = [{"id": k, "text": beside("comments", f"comment:{k}", c["text_start"], c["text_end"])} | {key: c[key] for key in ("ref_cp", "author", "initials", "range_start", "range_end")} for k, c in enumerate(said)]
+    remarks = [{"id": k, "text": beside("comments", f"comment:{k}", c["text_start"], c["text_end"])} | {key: c[key] for key in ("ref_cp", "author", "initials", "range_start", "range_end")} for k, c in enumerate(said) if not c["skipped"]]
+    said = [c for c in said if not c["skipped"]]
     heads, _ = W.plc(get("headers"), 0)
     placed = []
     if len(heads) > 2 and h.counts["headers"]:
@@ -374,7 +406,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
     counted = {
         "cfb_sector_count": len(data) // 512, "table_stream": int(base.table == "1Table"), "fib_version": h.version, "piece_count": len(table), "piece_prm_count": sum(p.prm != 0 for p in table), "clx_prc_count": len(shared), "main_story_cp_count": h.counts["main"], "macro_story_cp_count": h.counts["macros"],
         "character_format_span_count": len(chars), "paragraph_format_span_count": len(paras), "character_fkp_run_count": len(char_runs), "paragraph_fkp_run_count": fkp_paragraphs, "font_count": len(typefaces), "core_property_count": len(core), "declared_field_count": len(ends), "declared_field_character_count": field_marks,
-        "embedded_object_count": sum(i["kind"] == "object" for i in inlines), "header_footer_story_count": sum(p["section"] >= 0 for p in placed), "note_separator_story_count": sum(p["section"] < 0 for p in placed), "inline_binary_data_count": binary_data, "consumed_binary_field_data_count": len(ignored),
+        "embedded_object_count": sum(i["kind"] == "object" for i in inlines), "header_footer_story_count": sum(p["section"] >= 0 for p in placed), "note_separator_story_count": sum(p["section"] < 0 for p in placed), "inline_binary_data_count": binary_data, "consumed_binary_field_data_count": consumed,
         "deferred_inline_picture_count": tally["INLINE_PICTURE_INVALID"], "warning_count": sum(tally.values()), "warning_code_count": sum(n > 0 for n in tally.values()), "unsupported_modifier_count": len(unknown), "ole_object_count": len(pools), "textbox_count": len(boxes), "image_count": len(images),
     }
     stats = counted if not want("stats") else counted | statistics(paragraphs[:mains], paragraphs, inlines, nodes, row_maps, fields, marks, sheet, abstract, used, cuts, options, foot, end, said, text, pictures, shapes, stories, boxes)

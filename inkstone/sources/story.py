@@ -319,7 +319,8 @@ def read(text: str, start: int, end: int, where: Place, tally: Counter) -> tuple
             continue
         if cp in refs:
             kind, number = refs[cp]
-            add(kind, str(number), cp)
+            props = chars.at(cp)
+            add(kind, str(number), cp, props | {"custom_mark": c} if kind in ("footnote", "endnote") and c >= " " else props)
             continue
         if c == "\r":
             props = paras.at(cp)

@@ -132,10 +132,10 @@ def test_notes_comments_bookmarks_summary():
     d = parse.parse_document(
         builder.document(
             "a\x02b\x05\r",
-            stories={"footnotes": note + "\r", "comments": "said\r\r"},
+            stories={"footnotes": note + "\r", "comments": "\x05said\r\r"}, char_runs=[(cp, cp + 1, struct.pack("<HB", 0x0855, 1)) for cp in (1, 3, 5 + len(note) + 1)],
             tables={
                 "footnote_refs": struct.pack("<iiH", 1, 5, 1), "footnote_texts": struct.pack("<iii", 0, len(note), len(note) + 1),
-                "comment_refs": struct.pack("<ii", 3, 5) + record, "comment_texts": struct.pack("<iii", 0, 5, 6), "comment_owners": who,
+                "comment_refs": struct.pack("<ii", 3, 5) + record, "comment_texts": struct.pack("<iii", 0, 6, 7), "comment_owners": who,
                 "bookmark_names": builder.wide_strings(["here"]), "bookmark_starts": struct.pack("<iiHH", 0, 5, 0, 0), "bookmark_ends": struct.pack("<ii", 1, 5),
             },
             summary={"title": "Ünï", "created": 132_000_000_000_000_000},
