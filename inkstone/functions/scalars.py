@@ -158,7 +158,7 @@ def font_name(name: Column, alternate: Column) -> Column:
 
 
 #: Languages of places whose pages have their headers 708 twips from the edge.
-NARROW_HEADERS = (1026, 1027, 1029, 1030, 1035, 1038, 1039, 1043, 1044, 1045, 1048, 1051, 1055, 1058, 1059, 1060, 1061, 1067, 1068, 1069, 1078, 1079, 1087, 1088, 1089, 1092, 2074)
+NARROW_HEADERS = tuple(map(int, "1026 1027 1029 1030 1035 1038 1039 1043 1044 1045 1048 1051 1055 1058 1059 1060 1061 1067 1068 1069 1078 1079 1087 1088 1089 1092 2074".split()))
 
 
 def header_distance(lid: Column) -> Column:

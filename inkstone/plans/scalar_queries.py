@@ -78,7 +78,7 @@ def field_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(some).alias("ins")).withColumn("said", S.noteref(F.col("ins")))
 
 
-@query("SELECT c_custkey, CASE WHEN lid = 1063 THEN 567 WHEN lid IN (1026, 1027, 1029, 1030, 1035, 1038, 1039, 1043, 1044, 1045, 1048, 1051, 1055, 1058, 1059, 1060, 1061, 1067, 1068, 1069, 1078, 1079, 1087, 1088, 1089, 1092, 2074) THEN 708 ELSE 720 END AS twips FROM (SELECT c_custkey, 1024 + c_custkey % 80 AS lid FROM customer)")
+@query("SELECT c_custkey, CASE WHEN lid = 1063 THEN 567 WHEN list_contains(string_split('1026 1027 1029 1030 1035 1038 1039 1043 1044 1045 1048 1051 1055 1058 1059 1060 1061 1067 1068 1069 1078 1079 1087 1088 1089 1092 2074', ' '), lid::VARCHAR) THEN 708 ELSE 720 END AS twips FROM (SELECT c_custkey, 1024 + c_custkey % 80 AS lid FROM customer)")
 def header_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", S.header_distance(F.col("c_custkey") % 80 + 1024).alias("twips"))
 

@@ -64,6 +64,10 @@ def points(data: bytes) -> list[tuple[int, int]]:
     return [take(data, fmt, 6 + width * k) for k in range(count)]
 
 
+def _pairs(some: list[tuple[int, int]]) -> str:
+    return ",".join(str(v) for p in some for v in p)
+
+
 def path(o: dict[int, int | bytes]) -> tuple[str, str] | None:
     """(path, extent) of a shape's own geometry, in its own space: vertices taken by segments. Nothing where a segment is of
     a kind that has no equal, or where vertices are left over or lacking."""
@@ -78,7 +82,7 @@ def path(o: dict[int, int | bytes]) -> tuple[str, str] | None:
 
     def some(n: int) -> str | None:
         taken = [p for _, p in zip(range(n), rest)]
-        return ",".join(f"{x},{y}" for x, y in taken) if len(taken) == n else None
+        return _pairs(taken) if len(taken) == n else None
 
     for segment in take(segments, f"{count}H", 6):
         kind, n = segment >> 13, segment & 0x1FFF
@@ -213,7 +217,7 @@ def floating(anchors: list[dict], drawn: list[dict], boxes: dict[int, str], stor
             s |= {"kind": "shape", "path": found[0], "coordsize": found[1]}
         elif len(d.get("polygon", [])) > 2:
             first, *rest = d["polygon"]
-            s |= {"kind": "shape", "path": f"m{first[0]},{first[1]}l" + ",".join(f"{x},{y}" for x, y in rest) + "xe", "coordsize": "21600,21600"}
+            s |= {"kind": "shape", "path": f"m{_pairs([first])}l{_pairs(rest)}xe", "coordsize": "21600,21600"}
             tally["FLOATING_SHAPE_GEOMETRY_APPROXIMATED"] += 1
         elif number in parents:
             s["kind"] = "frame" if style.get("filled") else "group"

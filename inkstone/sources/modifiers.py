@@ -98,7 +98,7 @@ SECT: dict[int, tuple[str, Callable]] = {
     0x3000: ("chapter_separator", _named("hyphen period colon emDash enDash".split())), 0x3001: ("chapter_style", lambda b: b[0]), 0x3012: ("suppress_endnotes", _named({0: True, 1: False})), 0x5007: ("paper_first", _u16), 0x5008: ("paper_other", _u16), 0x3013: ("line_number_restart", _named("newPage newSection continuous".split())),
     0x5015: ("line_number_count_by", _u16), 0x9016: ("line_number_distance_twips", _u16), 0x501B: ("line_number_start", _u16), 0x303C: ("footnote_restart", _named("continuous eachSect eachPage".split())), 0x303B: ("footnote_position", _named({1: "pageBottom", 2: "beneathText"})),
     0x303E: ("endnote_restart", _named("continuous eachSect".split())), 0x503F: ("footnote_start", _within("H", 0, 16383)), 0x5041: ("endnote_start", _within("H", 0, 16383)), 0x322A: ("rtl_gutter", _flag), 0x7030: ("grid_char_space", _i32), 0x9031: ("grid_line_pitch_twips", _u16),
-    0x5032: ("grid_type", lambda b: dict(enumerate("none linesAndChars lines snapToChars".split())).get(_u16(b))), 0x5033: ("flow", lambda b: {0: "lrTb", 1: "tbRl", 3: "tbRl", 5: "tbRl"}.get(_u16(b))), 0x5040: ("footnote_format", lambda b: NUMBER_FORMATS.get(b[0])), 0x5042: ("endnote_format", lambda b: NUMBER_FORMATS.get(b[0])), 0x703A: ("rsid", _u32), 0x5026: ("paper_request", _u16),
+    0x5032: ("grid_type", lambda b: dict(enumerate("none linesAndChars lines snapToChars".split())).get(_u16(b))), 0x5033: ("flow", lambda b: ("lrTb" if not _u16(b) else "tbRl" if _u16(b) in (1, 3, 5) else None)), 0x5040: ("footnote_format", lambda b: NUMBER_FORMATS.get(b[0])), 0x5042: ("endnote_format", lambda b: NUMBER_FORMATS.get(b[0])), 0x703A: ("rsid", _u32), 0x5026: ("paper_request", _u16),
 }
 _SIDES = ("top", "left", "bottom", "right")
 #: Sides of a paragraph's borders, of four and of eight bytes.
@@ -229,7 +229,7 @@ def tabs(b: bytes, ranges: bool) -> list[tuple]:
         raise CorruptDocument("tab stops are out of order")
     out = [(place, "clear", None) for place in drop]
     for place, bits in zip(places, b[at + 1 + 2 * added :]):
-        kind = {0: "left", 1: "center", 2: "right", 3: "decimal", 4: "bar", 6: "num"}.get(bits & 7)
+        kind = ("left", "center", "right", "decimal", "bar", None, "num", None)[bits & 7]
         if kind is None or _LEADERS[bits >> 3 & 7] == "-":
             raise CorruptDocument("a tab stop of no kind")
         out.append((place, kind, _LEADERS[bits >> 3 & 7]))

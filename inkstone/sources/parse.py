@@ -24,7 +24,7 @@ from .ciphers import unlock
 from .compound import MAX_FILE, Compound, build
 from .errors import CorruptDocument, DocumentError
 from . import tables as R
-from .story import Names, Paragraph, Place, Spans, assemble, binary_fields, field_ends, read
+from .story import BINARY, Names, Paragraph, Place, Spans, assemble, binary_fields, field_ends, read
 
 _I, _L, _S, _B = pa.int32(), pa.int64(), pa.string(), pa.bool_()
 _PROPS = pa.map_(_S, _S)
@@ -281,7 +281,7 @@ def parse_document(data: bytes, password: str | None = None, wanted: frozenset[s
                 elif text[cp] == "\x01" and props.get("special"):
                     if props.get("data"):
                         binary_data += 1
-                        if around.get(cp) in ("HYPERLINK", "NOTEREF", "PAGEREF", "REF"):
+                        if around.get(cp) in BINARY:
                             ignored.add(cp)
                             consumed += 1
                         else:

@@ -75,7 +75,8 @@ class Names:
 
 #: Fields whose result, once it spans paragraphs, is kept as the text it is.
 _LONG = ("INDEX", "TOA", "TOC")
-_BINARY = ("HYPERLINK", "NOTEREF", "PAGEREF", "REF")
+#: Fields that keep binary data, which is no text, in their instructions.
+BINARY = frozenset("HYPERLINK NOTEREF PAGEREF REF".split())
 
 
 def kind_of(instruction: str) -> str:

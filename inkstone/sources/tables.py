@@ -16,7 +16,8 @@ from .errors import CorruptDocument, take
 CELL_SIDES = ("top", "left", "bottom", "right")
 _ROW_SIDES = (*CELL_SIDES, "inside_horizontal", "inside_vertical")
 _EDGES = (*CELL_SIDES, "diagonal_down", "diagonal_up")
-FLOWS = {0: "lrTb", 1: "tbRl", 3: "btLr", 4: "lrTbV", 5: "tbRlV"}
+FLOWS = dict(zip((0, 1, 3, 4, 5), "lrTb tbRl btLr lrTbV tbRlV".split()))
+_MERGED, _ALIGNED = dict(zip((1, 3), ("continue", "restart"))), (None, "center", "bottom", None)
 WIDTHS = ("nil", "auto", "pct", "dxa")
 MAX_CELLS, MAX_TWIPS = 63, 31680
 _LOOK = ("first_row", "last_row", "first_column", "last_column", "no_row_bands", "no_column_bands")
@@ -92,9 +93,9 @@ def definition(b: bytes) -> dict:
         own = {
             "width": width if bits >> 9 & 7 == 3 else None,
             "merge": (None, "continue", "restart", "restart")[bits & 3],
-            "vertical_merge": {1: "continue", 3: "restart"}.get(bits >> 5 & 3),
+            "vertical_merge": _MERGED.get(bits >> 5 & 3),
             "flow": FLOWS[flow] if flow else None,
-            "align": {1: "center", 2: "bottom"}.get(bits >> 7 & 3),
+            "align": _ALIGNED[bits >> 7 & 3],
             "fit_text": bool(bits & 0x1000) or None,
             "no_wrap": bool(bits & 0x2000) or None,
             "hide_mark": bool(bits & 0x4000) or None,
@@ -181,7 +182,7 @@ def _flowed(row: dict, b: bytes) -> dict:
 
 def _vertical(row: dict, b: bytes) -> dict:
     _check(len(b) == 2 and b[1] in (0, 1, 3), "a vertical merge of no kind")
-    return _changed(row, b[0], b[0] + 1, vertical_merge={1: "continue", 3: "restart"}.get(b[1]))
+    return _changed(row, b[0], b[0] + 1, vertical_merge=_MERGED.get(b[1]))
 
 
 def _aligned(row: dict, b: bytes) -> dict:
@@ -293,8 +294,7 @@ def _height(row: dict, b: bytes) -> dict:
 
 
 ANCHORS = (("margin", "page", "text", None), ("text", "margin", "page", None))  # of the vertical and of the horizontal place
-_ACROSS = {0: "left", 0xFFFC: "center", 0xFFF8: "right", 0xFFF4: "inside", 0xFFF0: "outside"}
-_DOWN = {0: "inline", 0xFFFC: "top", 0xFFF8: "center", 0xFFF4: "bottom", 0xFFF0: "inside", 0xFFEC: "outside"}
+_ACROSS, _DOWN = ({-4 * k & 0xFFFF: name for k, name in enumerate(names.split())} for names in ("left center right inside outside", "inline top center bottom inside outside"))
 
 
 def position(b: bytes, axis: str) -> dict:

@@ -427,7 +427,7 @@ def comments(refs: bytes, texts: bytes, owners: bytes, ranges: dict[int, tuple[i
             raise CorruptDocument("an author's name is too long")
         authors.append(part(owners, at + 2, 2 * n).decode("utf-16-le", "replace"))
         at += 2 + 2 * n
-    if len(set(authors)) != len(authors):
+    if len(authors) > len(set(authors)):
         raise CorruptDocument("an author is there twice")
     out = notes(refs, texts, 30)
     for c in out:
@@ -605,7 +605,7 @@ def settings(data: bytes, version: int = 0xD9) -> tuple[dict, set[str]]:
         kind = late >> 4 & 7
         if kind not in (0, 1, 2, 3, 7):
             raise CorruptDocument("a document is protected in no way")
-        protection, conflict = {0: "trackedChanges", 1: "comments", 2: "forms", 3: "readOnly"}.get(kind), False
+        protection, conflict = dict(enumerate("trackedChanges comments forms readOnly".split())).get(kind), False
     if conflict:
         said.add("PROTECTION_MODE_CONFLICT")
     if protection == "trackedChanges" and out.get("track_changes") is False:
