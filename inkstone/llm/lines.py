@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .blobs import pack, ranges, split, unpack, unpack_all
-from .shared import Counts, KeySet, PairMap, discard, fresh, parts, repeated_ids, staged, unused
+from .shared import Counts, KeySet, PairMap, by_shard, discard, fresh, parts, repeated_ids, staged, unused
 
 THRESHOLD = 0.8
 _EPS = 1e-9
@@ -94,7 +94,7 @@ def count_words(docs: DataFrame) -> Counts:
         h, n = unpack_all(table["data"].to_pylist())
         return pa.table({"n": pa.array([counts.save(table["shard"][0].as_py(), h, n.astype(np.int64))], pa.int64())})
 
-    _slim(docs).mapInArrow(run, "shard int, data binary").groupBy("shard").applyInArrow(save, "n bigint").count()
+    by_shard(_slim(docs).mapInArrow(run, "shard int, data binary"), shards).groupBy("shard").applyInArrow(save, "n bigint").count()
     return counts
 
 
@@ -243,7 +243,7 @@ class Removed:
             kinds = np.concatenate([np.full(len(c[1]), c[0], np.int32) for c in out]) if out else np.zeros(0, np.int32)
             return pa.table([pa.array(kinds), *(pa.array(c) for c in columns[:6]), pa.array(columns[6].astype(np.int32))], _FOUND.replace(" bigint", "").replace(" int", "").split(", "))
 
-        shuffled = _slim(docs).mapInArrow(run, "shard int, kind int, data binary").groupBy("shard").applyInArrow(reduce, _FOUND)
+        shuffled = by_shard(_slim(docs).mapInArrow(run, "shard int, kind int, data binary"), counts.shards).groupBy("shard").applyInArrow(reduce, _FOUND)
         found = staged(shuffled, "line-pairs")
         discard(spark, counts.path)
         equal = found.filter("kind = 0").select("yd", "yr", "yl")

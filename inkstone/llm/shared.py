@@ -21,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder of this session."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not one_process(spark):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="shared-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -81,6 +86,8 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
     their heaps no longer hold: a heap that has grown under one stage would else leave the workers of the next no room."""
     for t in tables:
         remove(t if isinstance(t, str) else t.staged_at)
+    if one_process(spark):  # no executors beside the driver, whose heap is the user's
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     n = spark.sparkContext.defaultParallelism
@@ -164,6 +171,14 @@ def parts(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n if n <= 4096 else int(64 * n**0.5))
 
 
+def by_shard(df: DataFrame, shards: int) -> DataFrame:
+    """``df`` with each value of ``shard`` in a partition of its own: hashed, some partitions would take several shards and the
+    largest would be several times the mean. A group by ``shard`` then needs no other shuffle."""
+    from pyspark.sql import functions as F
+
+    return df.repartitionById(shards, F.col("shard"))
+
+
 class KeySet:
     """Integers in sorted files of the shared folder: tasks map the files and search them, so nothing is broadcast."""
 
