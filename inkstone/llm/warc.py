@@ -38,11 +38,13 @@ SCHEMA = (
     "content_type string, content_length bigint, block_digest string, payload_digest string, headers string, content string"
 )
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_HIDDEN = frozenset("script style noscript template svg head".split())
+_HIDDEN = frozenset("noscript svg head".split())
 _RAW = frozenset("script style template".split())
 _BLOCK = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr td th table section article nav header footer aside main blockquote pre title hr dl dt dd form figure".split())
+_TAG = re.compile(r"<(?:!--|/?([a-zA-Z][^\s/<>]*)|[/!?])")
+_TAGS = re.compile(r"<[/!?a-zA-Z][^<>]*>?")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
-_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _HIDDEN | {"title"}}
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW | {"title"}}
 _SPACE = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r"\s*\n\s*")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
@@ -58,37 +60,30 @@ def record_id(*said: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(chr(0).join(said).encode()).digest()[:16], version=5)}>"
 
 
-def scan(page: str, hidden: frozenset[str]) -> Iterator[tuple[str, int, int, str]]:
+def scan(page: str) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, name) of what a page consists of, in order: ``text``, ``tag`` and ``hidden``, the last for comments
-    and for elements so named, with all they hold."""
-    at = 0
-    while at < len(page):
-        lt = page.find("<", at)
-        if lt < 0:
-            lt = len(page)
+    and for scripts, styles and templates with all they hold."""
+    at, n = 0, len(page)
+    while m := _TAG.search(page, at):
+        lt = m.start()
         if lt > at:
             yield "text", at, lt, ""
-        if lt == len(page):
-            return
-        if page.startswith("<!--", lt):
+        if m[0] == "<!--":
             end = page.find("-->", lt + 4)
-            at = len(page) if end < 0 else end + 3
+            at = n if end < 0 else end + 3
             yield "hidden", lt, at, ""
             continue
-        if not (following := page[lt + 1 : lt + 2]) or not (following in "/!?" or (following.isascii() and following.isalpha())):
-            yield "text", lt, lt + 1, ""
-            at = lt + 1
-            continue
-        gt = page.find(">", lt)
-        at = len(page) if gt < 0 else gt + 1
-        m = _NAME.match(page, lt, at)
-        name = m[1].lower() if m else ""
-        if name in hidden and following != "/":
+        gt = page.find(">", m.end())
+        at = n if gt < 0 else gt + 1
+        name = (m[1] or "").lower()
+        if name in _RAW and page[lt + 1] != "/":
             closed = _ENDS[name].search(page, at)
-            at = closed.end() if closed else len(page)
+            at = closed.end() if closed else n
             yield "hidden", lt, at, name
         else:
             yield "tag", lt, at, name
+    if at < n:
+        yield "text", at, n, ""
 
 
 def unescaped(text: str) -> str:
@@ -96,14 +91,6 @@ def unescaped(text: str) -> str:
     return entities.unescape(_FAR.sub("\ufffd", text)) if "&" in text else text
 
 
-def text_of(page: str) -> str:
-    """What a reader sees of a page: blocks on lines of their own, runs of space as one."""
-    out = []
-    for kind, a, b, name in scan(page, _HIDDEN):
-        out.append(page[a:b] if kind == "text" else " " if kind == "hidden" else "\n" if name in _BLOCK else "")
-    return _LINES.sub("\n", _SPACE.sub(" ", unescaped("".join(out)))).strip()
-
-
 def attribute(tag: str, name: str) -> str | None:
     """The first value of an attribute of a tag; none where it has no value."""
     start = _NAME.match(tag)
@@ -113,21 +100,44 @@ def attribute(tag: str, name: str) -> str | None:
     return None
 
 
-def about(page: str) -> dict:
-    """Title, language and links of a page, outside of comments, scripts, styles and templates."""
-    title, lang, links, at = None, None, [], 0
-    for kind, a, b, name in scan(page, _RAW):
-        if kind != "tag" or a < at or page[a + 1] == "/":
+def lines_of(text: str) -> str:
+    return _LINES.sub("\n", _SPACE.sub(" ", unescaped(text))).strip()
+
+
+def read(page: str) -> tuple[str, dict]:
+    """What a reader sees of a page, blocks on lines of their own and runs of space as one; and its title, language and
+    links, those of its head too, in one pass."""
+    out, inside = [], None  # the hidden element that the place is in
+    title, lang, links, titled = None, None, [], 0
+    for kind, a, b, name in scan(page):
+        if kind == "text":
+            if inside is None:
+                out.append(page[a:b])
+            continue
+        if kind == "hidden":
+            if inside is None:
+                out.append(" ")
             continue
-        if name == "title" and title is None:
-            end = _ENDS["title"].search(page, b)
-            at = end.end() if end else len(page)
-            title = " ".join(text_of(page[b : end.start() if end else len(page)]).split())
-        elif name == "html" and lang is None:
-            lang = attribute(page[a:b], "lang")
-        elif name == "a" and (link := attribute(page[a:b], "href")) is not None:
-            links.append(unescaped(link))
-    return {"title": title, "lang": lang, "links": links}
+        closing = page[a + 1 : a + 2] == "/"
+        if not closing and a >= titled:
+            if name == "a":
+                if (link := attribute(page[a:b], "href")) is not None:
+                    links.append(unescaped(link))
+            elif name == "title" and title is None:
+                end = _ENDS["title"].search(page, b)
+                titled = end.end() if end else len(page)
+                title = " ".join(unescaped(_TAGS.sub("", page[b : end.start() if end else len(page)])).split())
+            elif name == "html" and lang is None:
+                lang = attribute(page[a:b], "lang")
+        if name in _HIDDEN:
+            if not closing and inside is None:
+                inside = name
+            elif closing and inside == name:
+                inside = None
+                out.append(" ")
+        elif inside is None and name in _BLOCK:
+            out.append("\n")
+    return lines_of("".join(out)), {"title": title, "lang": lang, "links": links}
 
 
 def serialise(headers: list[tuple[str, str]] | dict[str, str], block: bytes) -> bytes:
@@ -215,7 +225,8 @@ def derivatives(headers: list[tuple[str, str]] | dict[str, str], block: bytes) -
     pairs = list(headers.items()) if isinstance(headers, dict) else headers
     status, http_headers, body = http(block)
     page = decoded(body, value_of(http_headers, "Content-Type"))
-    text = text_of(page).encode("utf-8", "replace")
+    text, html = read(page)
+    text = text.encode("utf-8", "replace")
     headers = {"WARC-Record-ID": "", "WARC-Target-URI": "about:blank", "WARC-Date": DATE, "WARC-Payload-Digest": digest(body), "WARC-Block-Digest": digest(block)}
     headers |= {name: v for name in headers if (v := value_of(pairs, name)) is not None}
     source, target, date = headers["WARC-Record-ID"], headers["WARC-Target-URI"], headers["WARC-Date"]
@@ -223,7 +234,7 @@ def derivatives(headers: list[tuple[str, str]] | dict[str, str], block: bytes) -
     said = {
         "envelope": {"warc-headers": pairs, "http-status": status, "http-headers": http_headers, "payload-digest": headers["WARC-Payload-Digest"], "block-digest": headers["WARC-Block-Digest"]},
         "conversion": {"record-id": conversion_id, "digest": digest(text), "length": len(text)},
-        "html": about(page),
+        "html": html,
     }
     info = json.dumps(said, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
 
