@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .blobs import pack, split, unpack, unpack_all
-from .shared import existing, fresh, parts, put
+from .shared import by_shard, discard, existing, fresh, parts, put
 from .succinct import EliasFano, Packed, search, sections, split_sections
 
 DISCOUNT = 0.75
 BITS = 10
 _FLOOR = 32.0  # nats: the smallest probability that quantisation tells apart
+#: Files of a model that a task keeps open from slice to slice; a worker keeps none.
+_OPEN = 256
 BEGIN, END = (np.array([h], np.uint64) for h in (0x0123456789ABCDEF, 0xFEDCBA9876543210))
 SCHEMA = "doc_id bigint, tokens bigint, log_prob double, perplexity double"
 
@@ -66,6 +68,15 @@ def _levels() -> np.ndarray:
     return np.concatenate([[0.0], np.exp(-_FLOOR * np.arange(top) / (top - 1))])
 
 
+def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys in the order of (a, b), whatever their size: side by side where 64 bits hold both, else by rank."""
+    width = int(b.max()).bit_length() if len(b) else 0
+    if width + (int(a.max()).bit_length() if len(a) else 0) > 64:
+        a, b = (np.unique(x, return_inverse=True)[1] for x in (a, b))
+        width = int(b.max()).bit_length()
+    return (a.astype(np.uint64) << np.uint64(width)) | b.astype(np.uint64)
+
+
 class Model(NamedTuple):
     """Where the files of a model are; ``offsets[s]`` is the first id of vocabulary shard s, its last entry the size."""
 
@@ -125,6 +136,7 @@ class Model(NamedTuple):
         return np.where(known, restore(p), 1 / (self.total + self.size + 1)), np.where(known, restore(weight), 1.0)
 
 
+@lru_cache(maxsize=_OPEN)
 def _unigrams(uri: str) -> list[Packed]:
     return [Packed.decode(x) for x in split_sections(existing(uri))]
 
@@ -143,15 +155,15 @@ class Trie(NamedTuple):
     def encode(a: np.ndarray, b: np.ndarray, c: np.ndarray, none: int, count_of) -> tuple[bytes, np.ndarray, np.ndarray]:  # noqa: ANN001
         """The trie of all (a, b, c) of a shard, repeats included; ``none`` stands for no third word. Also each first
         word with its number of distinct second words."""
-        order = np.argsort((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
+        order = np.argsort(together(a, b))
         a, b, c = a[order], b[order], c[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         pair = np.cumsum(new) - 1
-        key = np.sort((pair << 32) | c)
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        n = np.diff(np.append(np.flatnonzero(first), len(key)))
-        key = key[first]
-        pair, third = key >> 32, key & 0xFFFFFFFF
+        order = np.argsort(together(pair, c))
+        pair, c = pair[order], c[order]
+        first = np.concatenate([[True], (pair[1:] != pair[:-1]) | (c[1:] != c[:-1])])
+        n = np.diff(np.append(np.flatnonzero(first), len(pair)))
+        pair, third = pair[first], c[first]
         a, b = a[new], b[new]
         pair_n = np.bincount(pair, weights=n).astype(np.int64)
         go_on = third != none
@@ -197,6 +209,7 @@ class Trie(NamedTuple):
         return search(self.third, first, end, c.astype(np.uint64))
 
 
+@lru_cache(maxsize=_OPEN)
 def _trie(uri: str) -> Trie | None:
     data = existing(uri)
     return Trie.decode(data) if len(data) else None
@@ -242,13 +255,12 @@ def train(docs: DataFrame) -> Model:
         put(f"{path}/words/{shard}", h[first].tobytes() + n.tobytes())
         return pa.table([pa.array([shard], pa.int32()), pa.array([len(first)], pa.int64()), pa.array([int(n[h[first] != BEGIN].sum())], pa.int64())], ["shard", "size", "n"])
 
-    sizes = texts.mapInArrow(count, "shard int, data binary").groupBy("shard").applyInArrow(save_words, "shard int, size bigint, n bigint").collect()
+    sizes = by_shard(texts.mapInArrow(count, "shard int, data binary"), shards).groupBy("shard").applyInArrow(save_words, "shard int, size bigint, n bigint").collect()
     per_shard = np.zeros(shards, np.int64)
     for r in sizes:
         per_shard[r["shard"]] = r["size"]
     model = Model(path, shards, np.concatenate([[0], np.cumsum(per_shard)]), sum(r["n"] for r in sizes))
-    if model.size >= 1 << 32:
-        raise ValueError("a vocabulary of more than 2^32 words needs wider keys")
+    discard(docs.sparkSession)  # the counts of words are in their files
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches, "text"):
@@ -263,7 +275,7 @@ def train(docs: DataFrame) -> Model:
             a, b = x[i], x[i + 1]
             c = np.where(first[np.minimum(i + 1, len(h) - 1)], x[i + 2], model.size)
             shard = model.pair_shard(a, b)
-            order = np.argsort((shard << 32) | a)
+            order = np.argsort(together(shard, a))
             a, b, c = a[order], b[order], c[order]
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             yield blobs([(k, pack(np.diff(a[u:v], prepend=0), b[u:v], c[u:v])) for k, (u, v) in enumerate(zip(cuts[:-1], cuts[1:])) if u < v])
@@ -292,8 +304,9 @@ def train(docs: DataFrame) -> Model:
 
     # A shard whose words begin no pair (</s> alone) sends an empty blob, so that its file is written too.
     every = docs.sparkSession.createDataFrame([(r["shard"], bytearray(pack(np.zeros(0, np.int64), np.zeros(0, np.int64)))) for r in sizes], "shard int, data binary")
-    kinds = texts.mapInArrow(send, "shard int, data binary").groupBy("shard").applyInArrow(save_trie, "shard int, data binary")
+    kinds = by_shard(texts.mapInArrow(send, "shard int, data binary"), shards).groupBy("shard").applyInArrow(save_trie, "shard int, data binary")
     kinds.union(every).groupBy("shard").applyInArrow(save_unigrams, "n bigint").count()
+    discard(docs.sparkSession)  # all that was shuffled is in the model
     return model
 
 
@@ -318,7 +331,6 @@ def log_probs(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     after = np.flatnonzero(np.append(i[1:] == i[:-1] + 1, False))  # pairs that the next pair continues
     c = np.full(len(i), -1)
     c[after] = b[after + 1]
-    key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
     by_shard = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[by_shard], np.arange(model.shards + 1))
     for s in range(model.shards):
@@ -326,16 +338,18 @@ def log_probs(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
         trie = _trie(f"{model.path}/trie/{s}") if len(at) else None
         if trie is None:
             continue
-        pair, back = np.unique(key[at], return_inverse=True)
-        node, found = trie.pairs((pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        own_a, own_b = a[at], b[at]
+        pair, one, back = np.unique(together(own_a, own_b), return_index=True, return_inverse=True)
+        node, found = trie.pairs(own_a[one], own_b[one])
         hit = np.flatnonzero(found)
         alpha, weight = np.zeros(len(pair)), np.ones(len(pair))
         alpha[hit], weight[hit] = restore(trie.pair_p[node[hit]]), restore(trie.pair_weight[node[hit]])
         lower[at] += alpha[back]
         weight2[at] = weight[back]
         go = np.flatnonzero(found[back] & (c[at] >= 0))
-        triple, again = np.unique((node[back[go]].astype(np.uint64) << np.uint64(32)) | c[at[go]].astype(np.uint64), return_inverse=True)
-        leaf, seen = trie.triples((triple >> np.uint64(32)).astype(np.int64), (triple & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        pair_of, third = node[back[go]], c[at[go]]
+        triple, one, again = np.unique(together(pair_of, third), return_index=True, return_inverse=True)
+        leaf, seen = trie.triples(pair_of[one], third[one])
         value = np.zeros(len(triple))
         value[seen] = restore(trie.triple_p[leaf[seen]])
         alpha3[at[go]] = value[again]
@@ -361,6 +375,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column("doc_id"), pa.array(tokens), pa.array(np.round(logs, 6), mask=none), pa.array(np.round(perplexity, 6), mask=none)],
                 ["doc_id", "tokens", "log_prob", "perplexity"],
             )
+        _trie.cache_clear()
+        _unigrams.cache_clear()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

@@ -78,6 +78,24 @@ def test_probabilities_add_up():
         assert everything > 0.99
 
 
+def test_words_beyond_32_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for top in (5, 1 << 33, 1 << 45):
+        a, b = rng.integers(0, top, 500), rng.integers(0, top, 500)
+        a[:50], b[:50] = a[50:100], b[50:100]
+        key = M.together(a, b)
+        assert sorted(zip(a.tolist(), b.tolist())) == [(int(a[i]), int(b[i])) for i in np.lexsort((np.arange(500), key))] and len(np.unique(key)) == len(set(zip(a.tolist(), b.tolist())))
+    # a trie of such words
+    base = 1 << 40
+    a, b, c = (np.array(x) + base for x in ([1, 1, 2], [5, 5, 6], [7, 8, 7]))
+    data, contexts, successors = M.Trie.encode(a, b, c, base + 99, lambda x: np.full(len(x), 4))
+    trie = M.Trie.decode(np.frombuffer(data, np.uint8))
+    place, found = trie.pairs(np.array([1, 2, 2]) + base, np.array([5, 6, 5]) + base)
+    assert found.tolist() == [True, True, False] and trie.triples(place[:2], np.array([8, 7]) + base)[1].tolist() == [True, True]
+
+
 def test_quantiser():
     import numpy as np
 
