@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.operators.lineage import cut
 from inkstone.sinks import docx
 from inkstone.sources import builder, parse
 from inkstone.sources import drawing as D
@@ -184,7 +185,7 @@ def _links(url: str | None, page: int | None) -> bytes:
 @query("""SELECT page_id, ([false, false, true, true, false, true, false])[page_id % 7 + 1] AS live, CASE WHEN ([false, false, true, true, false, true, false])[page_id % 7 + 1] THEN 1 ELSE 0 END::BIGINT AS live_in_package, 'here' AS text FROM pages""")
 def doc_unsafe_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("page", F.col("page_id"))
-    found = parse.parse(made(pages, _links, "page_id", ["url", "page"]), "page_id", relations=(*docx._NEEDED, "fields"))
+    found = cut(parse.parse(made(pages, _links, "page_id", ["url", "page"]), "page_id", relations=(*docx._NEEDED, "fields")))  # read by both sides
 
     @F.arrow_udf("bigint")
     def instructions(files: pa.Array) -> pa.Array:
@@ -207,7 +208,7 @@ def _headed(name: str | None, market: str | None) -> bytes:
 
 @query("""SELECT c_custkey, section, slot, text, 3::BIGINT AS parts FROM customer, LATERAL (SELECT unnest([0, 1, 1]) AS section, unnest(['even_header', 'odd_header', 'first_header']) AS slot, unnest([c_name, c_mktsegment, '']) AS text)""")
 def doc_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parse.parse(made(table(spark, sf_dir, "customer"), _headed, "c_custkey", ["c_name", "c_mktsegment"]), "c_custkey", relations=docx._NEEDED)
+    found = cut(parse.parse(made(table(spark, sf_dir, "customer"), _headed, "c_custkey", ["c_name", "c_mktsegment"]), "c_custkey", relations=docx._NEEDED))  # read by both sides
 
     @F.arrow_udf("bigint")
     def parts(files: pa.Array) -> pa.Array:
@@ -239,7 +240,7 @@ def _pictured(k: int, name: str | None) -> bytes:
 
 @query("SELECT p_partkey, len(p_name) + 8 AS image_bytes, 'Word.Picture.8' AS prog_id, 1::BIGINT AS media, 1::BIGINT AS embedded, 'kept' AS text, 1::BIGINT AS loose FROM part")
 def doc_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _parts(spark, sf_dir, _pictured, ["p_name"], *docx._NEEDED, "diagnostics")
+    found = cut(_parts(spark, sf_dir, _pictured, ["p_name"], *docx._NEEDED, "diagnostics"))  # read by both sides
 
     @F.arrow_udf("array<bigint>")
     def counted(files: pa.Array) -> pa.Array:
@@ -277,7 +278,7 @@ def _remarked(name: str | None, key: int | None) -> bytes:
 @query("""SELECT c_custkey, id, author, range_end, text, 1::BIGINT AS missing, 1::BIGINT AS ranges FROM customer, LATERAL (SELECT unnest([0, 1]) AS id, unnest(['Ann', 'Bob']) AS author, unnest([len(c_name), NULL]) AS range_end, unnest(['one', 'two ' || c_custkey]) AS text)""")
 def doc_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey"))
-    found = parse.parse(made(customers, _remarked, "c_custkey", ["c_name", "key"]), "c_custkey", relations=(*docx._NEEDED, "diagnostics"))
+    found = cut(parse.parse(made(customers, _remarked, "c_custkey", ["c_name", "key"]), "c_custkey", relations=(*docx._NEEDED, "diagnostics")))  # read by both sides
 
     @F.arrow_udf("bigint")
     def ranges(files: pa.Array) -> pa.Array:
@@ -423,7 +424,7 @@ def _noted(name: str | None, key: int | None) -> bytes:
 @query("SELECT c_custkey, 'endnote' AS kind, c_custkey || chr(10) || 'more' AS text, CASE WHEN c_custkey % 3 = 0 THEN '*' END AS custom, 2::BIGINT AS paragraphs FROM customer")
 def doc_endnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey"))
-    found = parse.parse(made(customers, _noted, "c_custkey", ["c_name", "key"]), "c_custkey", relations=docx._NEEDED)
+    found = cut(parse.parse(made(customers, _noted, "c_custkey", ["c_name", "key"]), "c_custkey", relations=docx._NEEDED))  # read by both sides
 
     @F.arrow_udf("bigint")
     def paragraphs(files: pa.Array) -> pa.Array:
@@ -522,7 +523,7 @@ def _imaged(k: int, name: str | None) -> bytes:
 
 @query("""SELECT p_partkey, (['bmp', 'emf', 'jpeg'])[p_partkey % 3 + 1] AS format, (CASE p_partkey % 3 WHEN 0 THEN 58 WHEN 1 THEN len(p_name) ELSE len(p_name) + 5 END)::BIGINT AS bytes, 'picture' AS kind, 1::BIGINT AS media FROM part""")
 def doc_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _parts(spark, sf_dir, _imaged, ["p_name"], *docx._NEEDED)
+    found = cut(_parts(spark, sf_dir, _imaged, ["p_name"], *docx._NEEDED))  # read by both sides
 
     @F.arrow_udf("bigint")
     def media(files: pa.Array) -> pa.Array:
@@ -572,7 +573,7 @@ def _marked(k: int, size: int) -> bytes:
 @query("""SELECT p_partkey, name, story, column_first, column_last, marks FROM part, LATERAL (SELECT unnest(['a', 'b', 'c']) AS name, unnest(['main', 'main', NULL]) AS story, unnest([CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 3 END, NULL, NULL]) AS column_first,
   unnest([CASE WHEN p_partkey % 2 = 1 THEN p_partkey % 3 + 1 END, NULL, NULL]) AS column_last, 'Start0,End0,Start1,End1' AS marks)""")
 def doc_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _parts(spark, sf_dir, _marked, ["p_size"], *docx._NEEDED)
+    found = cut(_parts(spark, sf_dir, _marked, ["p_size"], *docx._NEEDED))  # read by both sides
 
     @F.arrow_udf("string")
     def marks(files: pa.Array) -> pa.Array:
@@ -604,7 +605,7 @@ def _boxed(k: int, name: str | None) -> bytes:
 
 @query("""SELECT p_partkey, p_name AS text, CASE WHEN p_partkey % 2 = 1 THEN 100 ELSE 0 END AS l, CASE WHEN p_partkey % 2 = 1 THEN 300 ELSE 400 END AS r, p_name AS said, (p_partkey % 2)::BIGINT AS grouped FROM part""")
 def doc_textboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _parts(spark, sf_dir, _boxed, ["p_name"], *docx._NEEDED, "stats")
+    found = cut(_parts(spark, sf_dir, _boxed, ["p_name"], *docx._NEEDED, "stats"))  # read by both sides
 
     @F.arrow_udf("string")
     def said(files: pa.Array) -> pa.Array:
