@@ -160,3 +160,13 @@ def test_documents_of_any_size_lose_no_allocation_table(spark, tmp_path):
     wrote(tmp_path, "documents", doc_id=[2 * k + 1 for k in range(len(sizes))] + [2, 4], text=["x" * n for n in sizes] + ["x" * 57_500, None])
     got, want = against(spark, "doc_inspect", tmp_path)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["stream_documents", "stream_windows", "stream_sessions"])
+def test_streams_of_tables_of_several_files(spark, tmp_path, name):
+    for k in range(2):
+        wrote(tmp_path, f"part-{k}", name="documents.parquet", doc_id=[2 * k, 2 * k + 1], text=["a\nb", "c"])
+        at = pa.array([datetime(2024, 1, 1) + timedelta(hours=9 * j) for j in range(6 * k, 6 * k + 6)], pa.timestamp("us"))
+        wrote(tmp_path, f"part-{k}", name="events.parquet", ts=at, user_id=[1, 2] * 3, event_type=["x", "y"] * 3, value=[1.5] * 6)
+    got, want = against(spark, name, tmp_path)
+    assert got and got == want
