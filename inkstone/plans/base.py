@@ -23,3 +23,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+MADE = 4000  # rows of which a task makes documents
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of a stored table dealt to tasks by their number. A document takes its time however few bytes its row has, and a
+    file of a million such rows is one split or a few."""
+    rows = df.count()  # of a stored table: its files say so
+    tasks = max(-(-rows // MADE), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // 100)), 1)
+    return df.repartition(tasks, *by)

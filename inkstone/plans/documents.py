@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkstone.sinks import docx
 from inkstone.sources import builder, parse
 
-from .base import query, table
+from .base import query, spread, table
 from .text_model import PARAGRAPHS
 
 
@@ -91,7 +91,7 @@ def _chat(turns: list[dict]) -> bytes:
 
 @query("SELECT conv_id, 1::BIGINT AS tables, count(*) AS table_rows, (2 * count(*))::BIGINT AS cells, sum(1 + len(string_split(coalesce(text, ''), chr(10))))::BIGINT AS paragraphs FROM conversations GROUP BY conv_id")
 def doc_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     found = parse.parse(made(turns, _chat, "conv_id", ["turns"]), "conv_id", relations=("nodes",))
     of = lambda kind: F.size(F.filter("nodes", lambda n: n["kind"] == kind)).cast("bigint")
     return found.select("conv_id", of("table").alias("tables"), of("row").alias("table_rows"), of("cell").alias("cells"), of("paragraph").alias("paragraphs"))
@@ -104,7 +104,7 @@ def _linked(url: str | None, page: int | None) -> bytes:
 @query("""SELECT page_id, 'HYPERLINK' AS field_type, 'HYPERLINK "' || url || '"' AS instruction, true AS live, 'Page ' || page_id || ': here and there' AS text FROM pages
 UNION ALL SELECT page_id, 'DDE', 'DDE server', false, 'Page ' || page_id || ': here and there' FROM pages""")
 def doc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("page", F.col("page_id"))
+    pages = spread(table(spark, sf_dir, "pages")).withColumn("page", F.col("page_id"))
     found = parse.parse(made(pages, _linked, "page_id", ["url", "page"]), "page_id", relations=("paragraphs", "fields"))
     each = found.select("page_id", F.element_at("paragraphs", 1)["text"].alias("text"), F.inline("fields"))
     return each.select("page_id", "field_type", "instruction", "live", "text")
@@ -127,7 +127,7 @@ def _formatted(name: str | None, brand: str | None, size: int | None) -> bytes:
 @query("""SELECT p_partkey, 0 AS paragraph, p_name AS text, true AS bold, false AS italic, 20 AS half_points, NULL::VARCHAR AS bookmark FROM part
 UNION ALL SELECT p_partkey, 1, p_brand, false, true, CASE WHEN p_size < 2 THEN 20 ELSE p_size END, 'b' || p_size FROM part""")
 def doc_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parse.parse(made(table(spark, sf_dir, "part"), _formatted, "p_partkey", ["p_name", "p_brand", "p_size"]), "p_partkey", relations=("bookmarks", "inlines"))
+    found = parse.parse(made(spread(table(spark, sf_dir, "part")), _formatted, "p_partkey", ["p_name", "p_brand", "p_size"]), "p_partkey", relations=("bookmarks", "inlines"))
     each = found.select("p_partkey", F.element_at("bookmarks", 1).alias("mark"), F.inline("inlines"))
     on = lambda k: F.coalesce(F.col("props")[k] == "true", F.lit(False))
     return each.select(
@@ -169,7 +169,7 @@ def doc_error_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, n, true AS sound FROM (WITH " + PARAGRAPHS.strip() + " SELECT doc_id, count(*) AS n FROM paras GROUP BY doc_id)")
 def doc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made_ = docx.packages(parsed_documents(spark, sf_dir, *docx._NEEDED), "doc_id")
+    made_ = docx.converted(made(table(spark, sf_dir, "documents"), _plain, "doc_id", ["text"]), "doc_id", checked=True)
 
     @F.arrow_udf("bigint")
     def paragraphs(files: pa.Array) -> pa.Array:

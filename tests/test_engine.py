@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkstone.operators import intervals as I
 from inkstone.operators import relations as R
-from inkstone.plans import catalogue
+from inkstone.plans import base, catalogue
 from inkstone.sinks import docx
 from inkstone.sources import builder, parse
 from inkstone.streaming import ingest
@@ -170,3 +170,26 @@ def test_streams_of_tables_of_several_files(spark, tmp_path, name):
         wrote(tmp_path, f"part-{k}", name="events.parquet", ts=at, user_id=[1, 2] * 3, event_type=["x", "y"] * 3, value=[1.5] * 6)
     got, want = against(spark, name, tmp_path)
     assert got and got == want
+
+
+@pytest.mark.parametrize("name", ["doc_bookmarks", "doc_images", "doc_media", "doc_textboxes", "doc_comments", "doc_endnotes", "doc_headers", "doc_unsafe_links"])
+def test_packages_are_of_their_own_row(spark, tmp_path, name):
+    """A document is read and packaged in one pass, so that rows with equal keys do not meet each other."""
+    wrote(tmp_path, "part", p_partkey=[1, 1, 2, 2], p_name=["a b", "c", "d", "e f"], p_size=pa.array([1, 2, 3, 3], pa.int32()))
+    wrote(tmp_path, "customer", c_custkey=[1, 1, 2], c_name=["a", "bc", "d"], c_mktsegment=["x", "y", "z"])
+    wrote(tmp_path, "pages", page_id=[1, 1, 2, 2], url=["http://a/", "http://b/"] * 2)
+    got, want = against(spark, name, tmp_path)
+    assert got == want
+    plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["doc_lists", "doc_formatting", "doc_properties", "doc_comments"])
+def test_documents_of_small_rows_are_dealt_by_number(spark, tmp_path, name):
+    n = 2 * base.MADE + 1
+    keys = list(range(n))
+    wrote(tmp_path, "part", p_partkey=keys, p_name=["n"] * n, p_brand=["b"] * n, p_size=pa.array([1] * n, pa.int32()))
+    wrote(tmp_path, "customer", c_custkey=keys, c_name=["n"] * n, c_mktsegment=["m"] * n)
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    each = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(each) >= 3 and max(each) < 2 * sum(each) / len(each)
