@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 MADE = 4000  # rows of which a task makes documents
 
 
+ROWS = 250_000  # of a narrow table, that a task sorts and hashes
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a stored table by ``key``, in tasks whose number follows that of the rows: their memory does not grow with the
+    table, and none of it is held before the shuffle."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS)), key)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """Rows of a stored table dealt to tasks by their number. A document takes its time however few bytes its row has, and a
     file of a million such rows is one split or a few."""

@@ -10,7 +10,7 @@ from inkstone.functions import scalars as S
 from inkstone.operators import intervals as I
 from inkstone.operators import relations as R
 
-from .base import query, table
+from .base import by_key, query, table
 
 
 @query("""SELECT event_id, last_view FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS)
@@ -195,7 +195,7 @@ def bracket_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT DISTINCT l_orderkey, l_linenumber AS cell FROM lineitem)
 SELECT c.l_orderkey, c.cell, max(o.ord) AS style FROM c LEFT JOIN o ON o.l_orderkey = c.l_orderkey AND o.lo <= c.cell AND c.cell < o.hi GROUP BY ALL""")
 def cell_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = by_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", "l_partkey"), "l_orderkey")
     cells = li.select("l_orderkey", F.col("l_linenumber").alias("cell")).distinct()
     ranges = li.filter("l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_suppkey").bitwiseAND(F.lit(3).cast("bigint"))).alias("hi"), (F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("style"))
     return R.range_overrides(cells, ranges, ["l_orderkey"], "cell", "lo", "hi", "style", "style")

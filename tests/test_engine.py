@@ -193,3 +193,13 @@ def test_documents_of_small_rows_are_dealt_by_number(spark, tmp_path, name):
     df = catalogue.QUERIES[name](spark, str(tmp_path))
     each = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(each) >= 3 and max(each) < 2 * sum(each) / len(each)
+
+
+def test_tasks_by_key_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(base, "ROWS", 100)
+    n = 1000
+    wrote(tmp_path, "lineitem", l_orderkey=[k // 4 for k in range(n)], l_linenumber=pa.array([k % 4 for k in range(n)], pa.int32()), l_returnflag=["R" if k % 3 else "N" for k in range(n)], l_suppkey=list(range(n)), l_partkey=list(range(n)))
+    got, want = against(spark, "cell_overrides", tmp_path)
+    assert got == want
+    df = catalogue.QUERIES["cell_overrides"](spark, str(tmp_path))
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 6  # of ten
