@@ -198,7 +198,7 @@ def test_documents_of_small_rows_are_dealt_by_number(spark, tmp_path, name):
 def test_tasks_by_key_follow_the_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(base, "ROWS", 100)
     n = 1000
-    wrote(tmp_path, "lineitem", l_orderkey=[k // 4 for k in range(n)], l_linenumber=pa.array([k % 4 for k in range(n)], pa.int32()), l_returnflag=["R" if k % 3 else "N" for k in range(n)], l_suppkey=list(range(n)), l_partkey=list(range(n)))
+    wrote(tmp_path, "lineitem", l_orderkey=[k // 4 for k in range(n)], l_linenumber=pa.array([k % 4 for k in range(n)], pa.int32()), l_returnflag=["R" if k % 3 else "N" for k in range(n)], l_suppkey=list(range(n)), l_partkey=list(range(n)), l_shipdate=list(range(n)))
     got, want = against(spark, "cell_overrides", tmp_path)
     assert got == want
     df = catalogue.QUERIES["cell_overrides"](spark, str(tmp_path))
