@@ -242,3 +242,14 @@ def test_images():
     with pytest.raises(CorruptDocument):
         D.image(bytes(17) + b"no png", 0xF01E, 0x6E0, 0, 23)
     assert D.polygon(struct.pack("<HHHhhhh", 2, 2, 4, 0, 0, 10, 5)) == [(0, 0), (21600, 21600)]
+
+
+@pytest.mark.parametrize("cipher", ["rc4", "capi"])
+def test_blocks_of_one_key_are_made_once(cipher):
+    ciphers._pad.cache_clear()
+    whole = builder.document("abc\r" * 600, password="secret", cipher=cipher)  # two streams of several blocks
+    made = ciphers._pad.cache_info().misses
+    assert parse.parse_document(whole, "secret")["stats"]["paragraph_count"] == 600
+    assert ciphers._pad.cache_info().misses == made <= 20 < ciphers._pad.cache_info().hits
+    ciphers._pad.cache_clear()
+    assert builder.document("abc\r" * 600, password="secret", cipher=cipher) == whole
